@@ -18,11 +18,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from promptlens.llm.arrowtext import Prefix, U, byte_values, covered, mix, signed, spans, word_values, words
 from promptlens.llm.blocks import Blocks, spread
+from promptlens.llm.graph import cut
 
 #: The bytes by which prefix doubling lengthens both sides of an anchor, before all of a window is compared.
 OFFSETS = (17, 34, 68)
@@ -238,13 +239,30 @@ def _same(a: DataFrame, b: DataFrame, *names: str) -> Column:
     return cond
 
 
-def _index(docs: DataFrame, unit: str, width: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Anchors by document, blocks, and the blocks whose anchor is shared by different blocks."""
+def _over(*names: str) -> WindowSpec:
+    return Window.partitionBy(*names)
+
+
+def _index(docs: DataFrame, unit: str, width: int, gram: int) -> DataFrame:
+    """Anchors by document that are not alone: their block's copies, its first holder, whether other blocks share the anchor.
+
+    One shuffle by anchor serves both counts. An anchor's rows are at most one for each document and
+    block; what is sent is small against the text even if every document holds it.
+    """
     kind = docs.schema["id"].dataType.simpleString()
-    anchors = docs.mapInArrow(_anchors(unit, width, gram), f"id {kind}, anchor long, mark long, n long")
-    blocks = anchors.groupBy("anchor", "mark").agg(F.sum("n").alias("many"), F.min("id").alias("first"), F.max("id").alias("last"), F.count_if(F.col("id").isNull()).alias("nulls"))
-    shared = blocks.groupBy("anchor").agg(F.min("mark").alias("a"), F.max("mark").alias("z")).where("a <> z").select("anchor")
-    return anchors, blocks, blocks.join(shared, "anchor", "left_semi")
+    anchors = docs.mapInArrow(_anchors(unit, width, gram), f"id {kind}, anchor long, mark long, n long").repartition("anchor")
+    block = _over("anchor", "mark")
+    rows = (
+        anchors.withColumn("many", F.sum("n").over(block))
+        .withColumn("first", F.min("id").over(block))
+        .withColumn("opened", F.min("mark").over(_over("anchor")) != F.max("mark").over(_over("anchor")))
+    )
+    return cut(rows.where("many > 1 or opened").select("id", "mark", "many", "first", "opened"))
+
+
+def _asked(rows: DataFrame) -> DataFrame:
+    """Blocks to be opened, by the document that speaks for all its copies: their earliest holder, or those without an id."""
+    return rows.where(F.col("opened") & F.col("id").eqNullSafe(F.col("first"))).select("id", "mark", "many")
 
 
 def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -272,18 +290,14 @@ def rlz_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     if docs.schema["id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError("rlz_dedup orders documents by an integer id")
     docs = docs.withColumn("id", F.col("id").cast("long"))
-    anchors, blocks, opened = _index(docs, "word", window, gram)
-    later = lambda d, k: d.isNull() | (d > k)
-    wide = blocks.where("first is not null and (last > first or nulls > 0)").select(F.col("anchor").alias("a"), F.col("mark").alias("m"), "first")
-    whole = anchors.join(wide, (F.col("anchor") == F.col("a")) & (F.col("mark") == F.col("m")) & later(F.col("id"), F.col("first")))
-    # The earliest holder speaks for a block; null ids, having no order, speak only where nobody else does.
-    asked = opened.groupBy(F.col("first").alias("id")).agg(F.collect_list("mark").alias("marks"), F.collect_list("many").alias("many"))
+    rows = _index(docs, "word", window, gram)
+    later = F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("first")))
+    asked = _asked(rows).groupBy("id").agg(F.collect_list("mark").alias("marks"), F.collect_list("many").alias("many"))
     text = docs.join(asked, _same(docs, asked, "id")).drop(asked["id"])
     found = text.mapInArrow(_windows("word", window, gram), "id long, window long, n long, single boolean")
-    early = found.groupBy("window").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count_if(F.col("id").isNull()).alias("nulls")).where("first is not null and (last > first or nulls > 0)").select(F.col("window").alias("w"), "first")
-    part = found.join(early, (F.col("window") == F.col("w")) & later(F.col("id"), F.col("first")))
+    part = found.withColumn("first", F.min("id").over(_over("window"))).where(later)
     flags = (
-        whole.select("id", "mark", F.col("first").alias("source"), F.lit(None).cast("long").alias("window"))
+        rows.where(later).select("id", "mark", F.col("first").alias("source"), F.lit(None).cast("long").alias("window"))
         .union(part.select("id", F.lit(None).cast("long"), F.lit(None).cast("long"), "window"))
         .groupBy("id")
         .agg(F.collect_list("mark").alias("marks"), F.collect_list("source").alias("sources"), F.collect_list("window").alias("windows"))
@@ -305,15 +319,13 @@ def doubling_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = _docs(df, id_col, text_col)
     kind = docs.schema["id"].dataType.simpleString()
-    anchors, blocks, opened = _index(docs, "byte", window, gram)
-    copies = blocks.where("many > 1").select(F.col("anchor").alias("a"), F.col("mark").alias("m"))
-    whole = anchors.join(copies, (F.col("anchor") == F.col("a")) & (F.col("mark") == F.col("m")))
-    opened = opened.select(F.col("first").alias("id"), "mark", "many")
+    rows = _index(docs, "byte", window, gram)
+    opened = _asked(rows)
     asked = opened.groupBy("id").agg(F.collect_list("mark").alias("marks"), F.collect_list("many").alias("many"))
     text = docs.join(asked, _same(docs, asked, "id")).drop(asked["id"])
     names = text.mapInArrow(_sides(window, gram), f"id {kind}, mark long, n long, level int, name long")
-    twice = names.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name")
-    alone = names.join(twice, "name", "left_anti").select("id", "mark", F.col("level") % 2 == 0, F.element_at(F.array(*map(F.lit, OFFSETS)), (F.col("level") / 2).cast("int") + 1) - 1)
+    alone = names.withColumn("all", F.sum("n").over(_over("name"))).where(F.col("all") == 1)
+    alone = alone.select("id", "mark", F.col("level") % 2 == 0, F.element_at(F.array(*map(F.lit, OFFSETS)), (F.col("level") / 2).cast("int") + 1) - 1)
     alone = alone.toDF("id", "mark", "to_left", "reach")
     rest = window - gram
     # one row for each opened block: how far windows can repeat to the left and right of its anchor
@@ -329,10 +341,9 @@ def doubling_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     text = docs.join(reach, _same(docs, reach, "id")).drop(reach["id"])
     found = text.mapInArrow(_windows("byte", window, gram), f"id {kind}, window long, n long, single boolean")
-    often = found.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("window").alias("w"))
-    part = found.where("single").join(often, F.col("window") == F.col("w"))
+    part = found.withColumn("all", F.sum("n").over(_over("window"))).where(F.col("single") & (F.col("all") > 1))
     flags = (
-        whole.select("id", "mark", F.lit(None).cast("long").alias("window"))
+        rows.where("many > 1").select("id", "mark", F.lit(None).cast("long").alias("window"))
         .union(part.select("id", F.lit(None).cast("long"), "window"))
         .groupBy("id")
         .agg(F.collect_list("mark").alias("marks"), F.collect_list("window").alias("windows"))
