@@ -149,7 +149,7 @@ def _opened(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """id, n_shingles, node (equal sets share it), component_id (smallest id reachable by links).
+    """id, n_shingles, node (equal sets share it), group (linked nodes share it), component_id (smallest id reachable by links).
 
     Two documents are linked when 100 * |intersection| >= percent * |union|.
     """
@@ -174,4 +174,27 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # the empty set is a node that many documents share but that links nothing
     by_group = joined.where("n > 0").groupBy("g").agg(F.min("id").alias("least"))
     out = joined.join(by_group, "g", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "node", F.col("g").alias("group"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of df, all columns, without all but one of each group of linked documents.
+
+    The smallest id stays, a null id only if there is no other. Rows without a word are in no group.
+    """
+    found = jaccard_components(df, id_col, text_col, width, percent).where("n_shingles > 0")
+    first = F.struct(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`").alias("id"), "node")
+    stays = found.groupBy("group").agg(F.min(first).alias("s")).select(F.col("s.id").alias("__of"), F.col("s.node").alias("__at"))
+    source = df.withColumn("__text", F.col(f"`{text_col}`").cast("string"))
+    names = [*df.columns, "__node", "__n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, off in spans(batch.column(batch.num_columns - 1)):
+                s = Sets(data, off, width)
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), pa.array(s.node), pa.array(s.size)], names)
+
+    schema = source.drop("__text").schema.add("__node", "long").add("__n", "long")
+    marked = source.mapInArrow(run, schema)
+    grouped = marked.where("__n > 0").join(stays, marked[f"`{id_col}`"].eqNullSafe(F.col("__of")) & (F.col("__node") == F.col("__at")))
+    return grouped.dropDuplicates([id_col, "__node"]).select(*df.columns).unionByName(marked.where("__n = 0").select(*df.columns))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptlens.llm import bpe, html, jaccard, mixing, quality, sharding
+from promptlens.llm import bpe, forest, html, jaccard, katz, mixing, quality, sharding
 from promptlens.llm.substring import doubling_dedup, rlz_dedup
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -48,11 +48,19 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.systematic_mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -68,7 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_sharding": op5_sharding,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_quality_rules": op7_quality_rules,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_mixing": op9_mixing,
     "op10_html_extraction": op10_html_extraction,
 }
@@ -97,6 +107,13 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id""",
     "op5_sharding": f"""
 SELECT doc_id, slot, printf('shard-%02d', {sharding.lookup_table(SHARDS)}[slot + 1]) AS shard
 FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {sharding.TABLE_SIZE} AS slot FROM documents)""",
+    "op8_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.vec_id),
+m AS (SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id)
+SELECT m.vec_id, (SELECT count(*) FROM l WHERE l.a = m.vec_id)::BIGINT AS n_links, c AS component_id, m.vec_id = c AS kept FROM m""",
     "op9_mixing": f"""
 WITH d AS (SELECT doc_id, source, coalesce(len({_WORDS.format("text")}), 0)::BIGINT AS size,
     floor(('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE * {mixing.CELLS})::INT AS cell FROM documents),

@@ -160,7 +160,7 @@ def _sides(width: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def _final(unit: str, width: int, gram: int, sources: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _final(unit: str, width: int, gram: int, sources: bool, characters: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         for batch in batches:
             for lo, hi, data, off in spans(batch.column("text")):
@@ -181,6 +181,12 @@ def _final(unit: str, width: int, gram: int, sources: bool) -> Callable[[Iterato
                 np.add.at(step, b.lo[known], 1)
                 np.add.at(step, b.hi[known] + width, -1)
                 gone = (np.cumsum(step[:-1]) > 0) | covered(total, s, width)
+                if characters and total:
+                    # a character goes only if all its bytes do
+                    heads = np.flatnonzero((chunk.data & 0xC0) != 0x80)
+                    heads = np.union1d(heads, [0])
+                    whole_ = np.logical_and.reduceat(gone, heads)
+                    gone = np.repeat(whole_, np.diff(np.append(heads, total)))
                 # a span begins where a removed item follows a kept one or the row's beginning
                 before = np.zeros(total, bool)
                 before[1:] = gone[:-1]
@@ -208,6 +214,7 @@ def _final(unit: str, width: int, gram: int, sources: bool) -> Callable[[Iterato
                     "spans": pa.array(found, pa.list_(pa.int64())),
                     "kept": pa.array(kept, pa.binary()),
                 }
+                columns |= {c: batch.column(c).slice(lo, rows) for c in batch.schema.names if c.startswith("held_")}
                 if sources:
                     columns["factors"] = _factors(batch, lo, rows, b, at, known, base)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
@@ -271,8 +278,9 @@ def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _result(docs: DataFrame, flags: DataFrame, run: Callable, extra: str = "") -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
+    held = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name.startswith("held_"))
     joined = docs.join(flags, _same(docs, flags, "id"), "left").drop(flags["id"])
-    return joined.mapInArrow(run, f"id {kind}, n_items long, n_removed long, n_spans long, spans array<long>, kept binary{extra}")
+    return joined.mapInArrow(run, f"id {kind}, n_items long, n_removed long, n_spans long, spans array<long>, kept binary{held}{extra}")
 
 
 def rlz_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 16) -> DataFrame:
@@ -306,7 +314,7 @@ def rlz_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     return out.withColumnRenamed("id", id_col)
 
 
-def doubling_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 64) -> DataFrame:
+def doubling_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 64, characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Prefix doubling: remove every byte of a `window`-byte string that occurs more than once anywhere.
 
     Positions are the anchors of `blocks.py`. A first ranking by their `gram` bytes drops unique ones,
@@ -316,10 +324,13 @@ def doubling_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     question are then ranked at their full length. Copies lose all occurrences, the first included.
 
     Returns id, n_items (bytes), n_removed, n_spans, spans (flat begins and ends), kept (bytes).
+    With `characters`, a run gives up the parts of characters at its ends, so kept stays valid UTF-8.
+    `carry` names further columns of each row to return.
     """
-    docs = _docs(df, id_col, text_col)
+    # every pass reads the same columns, so that one exchange of the texts serves them all
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(f"`{c}`").alias(f"held_{i}") for i, c in enumerate(carry)))
     kind = docs.schema["id"].dataType.simpleString()
-    rows = _index(docs, "byte", window, gram)
+    rows = _index(docs.select("id", "text"), "byte", window, gram)
     opened = _asked(rows)
     asked = opened.groupBy("id").agg(F.collect_list("mark").alias("marks"), F.collect_list("many").alias("many"))
     text = docs.join(asked, _same(docs, asked, "id")).drop(asked["id"])
@@ -348,4 +359,7 @@ def doubling_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy("id")
         .agg(F.collect_list("mark").alias("marks"), F.collect_list("window").alias("windows"))
     )
-    return _result(docs, flags, _final("byte", window, gram, False)).withColumnRenamed("id", id_col)
+    out = _result(docs, flags, _final("byte", window, gram, False, characters))
+    for i, c in enumerate(carry):
+        out = out.withColumnRenamed(f"held_{i}", c)
+    return out.withColumnRenamed("id", id_col)
