@@ -5,9 +5,10 @@ expects target / size of its source copies. Within a source the expected copies
 fixed order, one offset is added, and a document is emitted once for each whole number that its
 stretch crosses, so every document gets the floor or the ceiling of its expectation.
 
-Distribution: documents are dealt to cells by a hash of their id, counted by (source, cell), and
-ranked inside a cell by size; the counts of earlier cells give each cell its start. No source is
-gathered in one task, however large.
+Distribution: the order is by size, so that long and short documents are taken alike. Documents are
+dealt to cells by the leading bits of their size, and within them by a hash of their id; they are
+counted by (source, cell) and ranked inside a cell; the counts of earlier cells give each cell its
+start. No source is gathered in one task, however large.
 
 Edge cases: a null text has size 0; a null source is a source of its own, the last; a source without
 words has target 0 and is not taken; rows that repeat an id are documents of their own; an empty
@@ -20,8 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Cells of a source; each holds a thousandth of it.
-CELLS = 1024
+#: Cells for sizes that agree in length and leading bits; an octave of sizes has 8 times as many.
+CELLS = 16
 
 
 def unit(text: Column) -> Column:
@@ -29,6 +30,13 @@ def unit(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(float(2**32))
 
 
+def _cell(size: Column, chance: Column) -> Column:
+    """The number of a size's cell: sizes in different cells are in the cells' order."""
+    bits = F.length(F.bin(size))
+    lead = F.call_function("shiftright", size, F.greatest(bits - 4, F.lit(0))).bitwiseAND(F.lit(7).cast("long"))
+    return ((bits * 8 + lead) * CELLS + F.floor(chance * CELLS)).cast("int")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """source, source_size, target for (source, source_size): one row a source, so small.
 
@@ -65,7 +73,7 @@ def systematic_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "sou
     size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
     name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
     small = base.select(
-        F.col(f"`{source_col}`").alias("source"), size.alias("size"), F.pmod(F.floor(unit(F.concat(F.lit(seed), name)) * CELLS), F.lit(CELLS)).cast("int").alias("cell"), F.col(f"`{id_col}`").alias("id"), F.struct(*(base[f"`{c}`"] for c in names)).alias("row")
+        F.col(f"`{source_col}`").alias("source"), size.alias("size"), _cell(size, unit(F.concat(F.lit(seed), name))).alias("cell"), F.col(f"`{id_col}`").alias("id"), F.struct(*(base[f"`{c}`"] for c in names)).alias("row")
     )
     cells = small.groupBy("source", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     sizes = cells.groupBy("source").agg(F.sum("words").alias("source_size"))

@@ -115,8 +115,9 @@ r(vec_id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN
 m AS (SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id)
 SELECT m.vec_id, (SELECT count(*) FROM l WHERE l.a = m.vec_id)::BIGINT AS n_links, c AS component_id, m.vec_id = c AS kept FROM m""",
     "op9_mixing": f"""
-WITH d AS (SELECT doc_id, source, coalesce(len({_WORDS.format("text")}), 0)::BIGINT AS size,
-    floor(('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE * {mixing.CELLS})::INT AS cell FROM documents),
+WITH e AS (SELECT doc_id, source, coalesce(len({_WORDS.format("text")}), 0)::BIGINT AS size,
+    floor(('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE * {mixing.CELLS})::INT AS part FROM documents),
+d AS (SELECT *, ((length(bin(size)) * 8 + ((size >> greatest(length(bin(size)) - 4, 0)::INT) & 7)) * {mixing.CELLS} + part)::INT AS cell FROM e),
 c AS (SELECT source, cell, count(*) AS n, sum(size)::BIGINT AS words FROM d GROUP BY source, cell),
 st AS (SELECT source, cell, coalesce(sum(n) OVER (PARTITION BY source ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM c),
 z AS (SELECT source, sum(words)::BIGINT AS source_size FROM c GROUP BY source),
