@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from promptlens.llm.arrowtext import spans
 
 #: Words and fragments that a worker remembers; beyond this the cache starts anew.
-CACHE = 150_000
+CACHE = 300_000
 _PLAIN = re.compile(rb"[\x21-\x7e]+\Z")
 # The split pattern of the vocabulary's file, for lower-case printable ASCII.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -35,14 +36,17 @@ class ForcedBoundaryBPE:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         self.library = Tokenizer.from_file(path)
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
-        pairs = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.rank = {p: i for i, p in enumerate(pairs)}
+        merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        # the merge rules, once for fragments that end a word and once for the others
+        self.ends = BPE(vocab=self.vocab, merges=merges, end_of_word_suffix=self.suffix, cache_capacity=0) if self.suffix else BPE(vocab=self.vocab, merges=merges, cache_capacity=0)
+        self.inside = BPE(vocab=self.vocab, merges=merges, cache_capacity=0)
         self.tokens = {i: t for t, i in self.vocab.items()}
         special = {}
         for t in spec["added_tokens"]:
@@ -56,7 +60,9 @@ class ForcedBoundaryBPE:
         for t in self.vocab:
             body = t.removesuffix(self.suffix) if self.suffix else t
             self.inner.update(map("".join, zip(body, body[1:])))
+        #: What words became: those met lately, and those of the time before, which come back when met again.
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.fragments: dict[tuple[str, bool], list[int]] = {}
 
     def cuts(self, piece: str) -> list[str]:
@@ -70,34 +76,13 @@ class ForcedBoundaryBPE:
         return out
 
     def fragment(self, text: str, last: bool) -> list[int]:
-        """Merge pairs of lowest rank first; the last fragment of a piece carries the word end."""
+        """The ids of one fragment; the last of a piece carries the word end."""
         known = self.fragments.get((text, last))
         if known is not None:
             return known
-        parts = list(text)
-        if last:
-            parts[-1] += self.suffix
-        rank = self.rank
-        while len(parts) > 1:
-            ranks = [rank.get(p, 1 << 60) for p in zip(parts, parts[1:])]
-            least = min(ranks)
-            if least == 1 << 60:
-                break
-            a, b = parts[i := ranks.index(least)], parts[i + 1]
-            merged = parts[:i]
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == a and parts[i + 1] == b:
-                    merged.append(a + b)
-                    i += 2
-                else:
-                    merged.append(parts[i])
-                    i += 1
-            parts = merged
-        # a symbol outside the vocabulary is dropped, as the library does without an unknown token
-        ids = [self.vocab[p] for p in parts if p in self.vocab]
         if len(self.fragments) >= CACHE:
             self.fragments.clear()
-        self.fragments[text, last] = ids
+        ids = self.fragments[text, last] = [t.id for t in (self.ends if last else self.inside).tokenize(text)]
         return ids
 
     def pieces(self, word: bytes) -> list[str]:
@@ -108,6 +93,10 @@ class ForcedBoundaryBPE:
 
     def word(self, word: bytes) -> bytes:
         """The ids of what stands between ASCII white space, as 32-bit numbers."""
+        out = self.older.get(word)
+        if out is not None:
+            self.words[word] = out
+            return out
         ids: list[int] = []
         for part in self.at_special.split(word) if self.at_special and b"<|" in word else (word,):
             if part in self.special:
@@ -118,19 +107,27 @@ class ForcedBoundaryBPE:
                     for i, text in enumerate(found, 1):
                         ids += self.fragment(text, i == len(found))
         if len(self.words) >= CACHE:
-            self.words.clear()
+            self.older, self.words = self.words, {}
         out = self.words[word] = np.array(ids, np.int32).tobytes()
         return out
 
     def encode(self, text: bytes) -> bytes:
-        known, missing = self.words, self.word
-        return b"".join([known.get(w) or missing(w) for w in text.split()])
+        out, missing = [], self.word
+        for w in text.split():
+            out.append(self.words.get(w) or missing(w))
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
         """As the library without a decoder: the tokens with one space between."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
+@lru_cache(maxsize=2)
+def coder(path: str) -> ForcedBoundaryBPE:
+    """The encoder of a file; a worker keeps it, and what it remembers, from task to task."""
+    return ForcedBoundaryBPE(path)
+
+
 def encode(df: DataFrame, path: str, text_col: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """All columns, the text's ids (array of int) and, if decoded names a column, their decoded text."""
     keep = [c for c in df.columns if c not in (ids, decoded)]
@@ -140,7 +137,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids: str = "ids", d
         schema = schema.add(decoded, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ForcedBoundaryBPE(path)
+        bpe = coder(path)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for lo, hi, data, off in spans(texts):
@@ -165,7 +162,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     schema = source.drop("__ids").schema.add(out, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ForcedBoundaryBPE(path)
+        bpe = coder(path)
         for batch in batches:
             texts = [None if x is None else bpe.decode(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], schema.names)
