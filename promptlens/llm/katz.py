@@ -135,7 +135,7 @@ def _pack(partitions: int):
                 home = b % partitions
                 out = {k: [] for k in ("p", "b", "heads", "sizes", "tails", "times", "rows", "train", "ids")}
                 flags = np.packbits(train).tobytes() + len(train).to_bytes(4, "little")
-                texts = json.dumps(ids[lo:hi]).encode()
+                texts = json.dumps([ids[lo:hi], n.tolist()]).encode()
                 for i in range(partitions):
                     h0, h1, p0, p1, t0, t1 = cuts[i], cuts[i + 1], pair_cut[i], pair_cut[i + 1], token_cut[i], token_cut[i + 1]
                     if h0 == h1 and i != home:
@@ -160,13 +160,13 @@ class _Part:
         sizes = np.concatenate([np.frombuffer(x, np.uint32) for x in get("sizes")])
         self.head = np.repeat(np.concatenate(heads), sizes)
         self.tail = np.concatenate([_from_seven(x) for x in get("tails")])
-        self.times = np.concatenate([np.frombuffer(x, np.uint32) for x in get("times")]).astype(np.int64)
+        self.times = np.concatenate([np.frombuffer(x, np.uint32) for x in get("times")])
         rows = [np.frombuffer(x, np.uint16) for x in get("rows")]
-        self.row = np.concatenate([r + s for r, s in zip(rows, self.start, strict=False)]) if rows else np.zeros(0, np.int64)
+        self.row = np.concatenate([r + np.int32(s) for r, s in zip(rows, self.start, strict=False)])
         self.ids = table.column("ids")
         self.key = mix(self.head + mix(self.tail))
         train = np.concatenate(self.flags)[self.row]
-        at = np.concatenate(([0], np.cumsum(self.times)[:-1])) if len(self.times) else np.zeros(0, np.int64)
+        at = np.concatenate(([0], np.cumsum(self.times, dtype=np.int64)[:-1])) if len(self.times) else np.zeros(0, np.int64)
         #: Occurrences of each entry in training rows.
         self.seen = np.add.reduceat(train.astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
 
@@ -243,9 +243,10 @@ def _score(uni: list[float], most_: float, total: int, distinct: int, unseen: fl
         if len(keys):
             entry = entry + np.where(hit, gain[known][place], 0.0)
         n = int(part.start[-1])
-        spread = np.repeat(np.arange(len(part.key)), part.times)
-        sums = [np.bincount(part.row, weights=x[spread], minlength=n) for x in (base[of], entry, (real & (count > 0))[of].astype(float), real[of].astype(float))]
-        blob = [np.stack([x[lo:hi] for x in sums]).tobytes() for lo, hi in zip(part.start[:-1], part.start[1:], strict=True)]
+        sums = []
+        for each, kind in ((base[of], np.float64), (entry, np.float64), ((real & (count > 0))[of].astype(np.float64), np.float32)):
+            sums.append(np.bincount(part.row, weights=np.repeat(each, part.times), minlength=n).astype(kind))
+        blob = [b"".join(x[lo:hi].tobytes() for x in sums) for lo, hi in zip(part.start[:-1], part.start[1:], strict=True)]
         return pa.table({"b": pa.array(part.b, pa.int64()), "sums": pa.array(blob, pa.binary()), "ids": part.ids.cast(pa.binary())})
 
     return run
@@ -255,13 +256,18 @@ def _gather(total: int, distinct: int, end_count: int, end: float):
     """Each chunk's rows, from the sums of all partitions."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids = next(json.loads(x.as_py()) for x in table.column("ids") if x.is_valid)
-        sums = np.sum([np.frombuffer(x.as_py()).reshape(4, -1) for x in table.column("sums")], axis=0)
+        ids, words_ = next(json.loads(x.as_py()) for x in table.column("ids") if x.is_valid)
+        n = len(ids)
+        sums = [np.zeros(n) for _ in range(3)]
+        for x in table.column("sums"):
+            raw = x.as_py()
+            for total_, part in zip(sums, (np.frombuffer(raw, np.float64, n), np.frombuffer(raw, np.float64, n, 8 * n), np.frombuffer(raw, np.float32, n, 16 * n)), strict=True):
+                total_ += part
         base = sums[0] + np.log10((end_count + 0.1) / (total + 0.1 * (distinct + 1)))
         columns = [
             pa.array(ids, pa.int64()),
             pa.array([not in_training(x) for x in ids]),
-            pa.array(np.rint(sums[3]).astype(np.int64) + 1),
+            pa.array(np.array(words_, np.int64) + 1),
             pa.array(np.rint(sums[2]).astype(np.int64) + (end_count > 0)),
             pa.array(np.full(len(ids), total)),
             pa.array(base),
@@ -280,7 +286,7 @@ def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     uni = cut(docs.mapInArrow(_unigrams, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")))
     few = {r["r"]: r for r in uni.groupBy(F.least("c", F.lit(CUT + 2)).alias("r")).agg(F.count("*").alias("n"), F.sum("c").alias("all")).collect()}
     total, distinct = sum(r["all"] for r in few.values()), sum(r["n"] for r in few.values())
