@@ -71,7 +71,7 @@ def read_run(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     data = raw.withColumn("model_key", checked)
     files = raw.groupBy("__model", "__path").agg(F.count("*").alias("n_records")).toDF("model_key", "path", "n_records")
     body = without_lists(data.drop("__path", "__model"))
-    meta = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "metadata.json").option("wholetext", "true").text(folder)
+    meta = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="metadata.json")
     meta = meta.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/metadata\.json$", 1).alias("model_key"), F.from_json("value", "expected_records long, repetitions long, status string").alias("m")).select("model_key", "m.*")
     seen = body.groupBy("model_key").agg(F.count("*").alias("observed_records"), F.max("repetition").alias("observed_repetitions"))
     done = seen.join(meta, "model_key", "left").select("model_key", "observed_records", "expected_records", "observed_repetitions", F.col("repetitions").alias("expected_repetitions"), (F.col("observed_records") == F.col("expected_records")).alias("complete"))
