@@ -2,8 +2,9 @@
 
 Rules look at counts of the whole text and vote good, bad, or abstain. Expectation-maximisation over
 all documents' votes estimates how often each rule is right on good and on bad documents; a document
-is kept when the posterior probability of good, given its votes, reaches a half. Votes are counted by
-pattern first, so that the model is fitted on one row for each of at most 3 ** rules patterns.
+is kept when the posterior probability of good, given its votes, reaches a half. To abstain says
+nothing. Votes are counted by pattern first, so that the model is fitted on one row for each of at
+most 3 ** rules patterns.
 
 Edge cases: a null or empty text has no words, all counts are 0 and it fails the base rule; a line
 without a word is no line; with an empty table the model keeps its prior. Other columns stay.
@@ -82,59 +83,57 @@ def text_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def rules() -> dict[str, Column]:
-    """Each rule's vote: 1 good, -1 bad, 0 abstains. A vote for bad needs clear evidence; so does one for good."""
+    """Each rule's vote: 1 good, -1 bad, 0 abstains. Lengths never speak for a text, only against it."""
     c = F.col
     n = F.greatest(c("n_words"), F.lit(1))
     lines = F.greatest(c("n_lines"), F.lit(1))
     mean = c("word_chars") / n
     vote = lambda good, bad: F.when(bad, -1).when(good, 1).otherwise(0)
+    never = F.lit(False)
     return {
-        "length": vote(c("n_words") >= 20, c("n_words") < 5),
-        "word_length": vote(mean.between(2.5, 12), (mean < 1.5) | (mean > 20)),
-        "symbols": vote(c("n_symbols") * 100 <= c("n_words") * 5, c("n_symbols") * 100 > c("n_words") * 25),
-        "lines": vote(c("n_dup_lines") * 10 <= lines, c("n_dup_lines") * 10 > lines * 3),
-        "repeats": vote(c("n_repeat_words") * 100 <= n * 5, c("n_repeat_words") * 100 > n * 20),
-        "letters": vote(c("n_letters") * 10 >= c("word_chars") * 8, c("n_letters") * 10 < c("word_chars") * 5),
+        "length": vote(never, c("n_words") < 5),
+        "word_length": vote(never, (mean < 1.5) | (mean > 20)),
+        "symbols": vote(c("n_symbols") == 0, c("n_symbols") * 100 > c("n_words") * 10),
+        "lines": vote(c("n_dup_lines") == 0, c("n_dup_lines") * 10 > lines * 3),
+        "repeats": vote(c("n_repeat_words") == 0, c("n_repeat_words") * 100 > n * 20),
+        "letters": vote(c("n_letters") * 100 >= c("word_chars") * 93, c("n_letters") * 100 < c("word_chars") * 80),
     }
 
 
 @dataclass
 class LabelModel:
-    """Two-class model of rules that err independently: prior of good; chance of each vote by class."""
+    """Two-class model of rules that err independently: prior of good; chance of a bad and a good vote by class."""
 
     prior: float
-    chance: np.ndarray  # class (bad, good) x rule x vote (-1, 0, 1)
+    chance: np.ndarray  # class (bad, good) x rule x vote (bad, good) among those cast
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        rule = np.arange(votes.shape[1])
-        log = np.log(self.chance[:, rule, votes + 1]).sum(axis=2) + np.log([[1 - self.prior], [self.prior]])
-        return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
+        log = np.log(self.chance)
+        score = [(votes < 0) @ log[k, :, 0] + (votes > 0) @ log[k, :, 1] for k in (0, 1)]
+        odds = score[0] - score[1] + np.log(1 - self.prior) - np.log(self.prior)
+        return 1 / (1 + np.exp(np.clip(odds, -700, 700)))
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelModel:
+def fit(votes: np.ndarray, counts: np.ndarray, strength: float = 0.1, rounds: int = 200) -> LabelModel:
     """Expectation-maximisation over vote patterns and how often each occurs.
 
-    It starts from rules that are right three times in four, and keeps each rule better than chance:
-    a vote for good is never likelier on bad documents than on good ones, nor the other way round.
+    It starts from, and is held to by imaginary votes worth `strength` of all documents: 85 per cent
+    good documents, rules that call them good 96 times in 100, and say either of bad ones.
     """
     k = votes.shape[1]
-    model = LabelModel(0.8, np.tile(np.array([[[0.5, 0.25, 0.25]], [[0.08, 0.25, 0.67]]]), (1, k, 1)))
-    start, weight = model.chance, 2.0
-    total = counts.sum()
+    start, share = np.tile(np.array([[[0.5, 0.5]], [[0.04, 0.96]]]), (1, k, 1)), 0.85
+    model, total = LabelModel(share, start), counts.sum()
+    weight = strength * total
+    cast = np.stack([votes < 0, votes > 0], 2).astype(float)
     for _ in range(rounds if total else 0):
         good = model.posterior(votes)
         by_class = np.stack([(1 - good) * counts, good * counts])
-        chance = np.stack([[[x[votes[:, r] == v].sum() for v in (-1, 0, 1)] for r in range(k)] for x in by_class]) + weight * start
+        chance = np.einsum("cp,prv->crv", by_class, cast) + weight * start
         chance /= chance.sum(axis=2, keepdims=True)
-        for v, better, worse in ((0, 0, 1), (2, 1, 0)):
-            wrong = chance[worse, :, v] > chance[better, :, v]
-            mean = (chance[0, :, v] + chance[1, :, v]) / 2
-            chance[:, wrong, v] = mean[wrong]
-        chance /= chance.sum(axis=2, keepdims=True)
-        prior = float(np.clip((by_class[1].sum() + 1.6) / (total + 2), 0.05, 0.999))
+        prior = float((by_class[1].sum() + weight * share) / (total + weight))
         moved = abs(prior - model.prior) + np.abs(chance - model.chance).max()
         model = LabelModel(prior, chance)
-        if moved < 1e-9:
+        if moved < 1e-10:
             break
     return model
 
