@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from promptlens.operators.cleaning import FUNCTION_WORDS
 from promptlens.operators.quality import FLAGS
-from promptlens.plans.queries import EXPECTED_DOMAINS, METRICS, _AUDIT, _SUMMARY
+from promptlens.plans.queries import EXPECTED_DOMAINS, METRICS, _AUDIT
 from promptlens.plans.views import GENERATIONS, PROMPTS, REPEATED
 
 _SPACE = r"\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
