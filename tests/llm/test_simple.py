@@ -1,10 +1,7 @@
 import hashlib
-import html as H
-import json
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from promptlens.llm import bpe, html, mixing, quality, sharding
 
@@ -159,4 +156,19 @@ def test_html_extraction(spark):
     assert got[1] == want
     assert got[2] == got[3] == "" and got[4] == "short" and got[5] == "Cut off here <b>" and got[6].startswith("deep") and got[7].startswith("no tags")
     assert html.extract_text(df.limit(0)).count() == 0
-    assert H.unescape("&amp;") == "&" and json.loads("1") == 1
+
+
+PARAGRAPHS = ["First paragraph of the story, with commas, several words, and enough text to score well.", "Second paragraph goes on, at some length, to say more about the same subject, and ends.", "Third paragraph, short but fine, closes the article with a last thought about everything."]
+BODY = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+
+
+@pytest.mark.parametrize("page", [
+    f'<div id="header"><a href="/">Home</a></div><div id="content"><h1>Title</h1>{BODY}</div><div id="sidebar"><p>Popular posts, many of them, are listed here for you.</p></div>',
+    f'<body><h1>Title</h1>{BODY}<div class="comments"><h2>Comments</h2><p>I like this, really, a lot, more than that.</p></div></body>',
+    f'<body><div class="cookie-banner"><p>We use cookies to make this site better, faster, and so on.</p></div><div class="with-sidebar"><div class="post"><h1>Title</h1>{BODY}</div><form><p>Join our list, now, it is free.</p></form></div>',
+    f'<table><tr><td><a href=a>Menu one</a><br><a href=b>Menu two</a></td><td><h1>Title</h1>{BODY}</td></tr></table>',
+    f'<article><h1>Title</h1><div class="notice">Sign in to read more, please.</div>{BODY}<ul><li><a href=1>Related one</a><li><a href=2>Related two</a></ul><aside>Aside, text, here.</aside></article><article class="comment"><p>Nice, thanks, a lot.</p></article>',
+    f'<div class="container"><h1>Title</h1>' + "".join(f'<div class="sec"><p>{x}</p></div>' for x in PARAGRAPHS) + "</div>",
+])
+def test_html_layouts(page):
+    assert html.main_text(page) == "\n".join(["Title", *PARAGRAPHS])
