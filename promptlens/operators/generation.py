@@ -143,3 +143,37 @@ def generate(occurrences: DataFrame, generator: Callable[[list[str], int], list[
 
     schema = S.StructType([*todo.schema.fields, S.StructField("generation", S.StringType()), S.StructField("status", S.StringType())])
     return todo.groupBy("batch_index").applyInPandas(run, schema)
+
+
+def http_generator(url: str, model: str, options: dict | None = None, timeout: float = 120.0) -> Callable[[list[str], int], list[str | None]]:
+    """A generator that asks a local model server for each text; a failed call gives None instead of ending the run.
+
+    The server takes {"model", "prompt", "options", "stream": false} and answers {"response"}.
+    """
+    import json
+    import urllib.request
+
+    def run(texts: list[str], seed: int) -> list[str | None]:
+        out: list[str | None] = []
+        for text in texts:
+            body = json.dumps({"model": model, "prompt": text, "options": {**(options or {}), "seed": seed}, "stream": False}).encode()
+            try:
+                with urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/json"}), timeout=timeout) as answer:
+                    out.append(json.load(answer)["response"])
+            except (OSError, ValueError, KeyError):
+                out.append(None)
+        return out
+
+    return run
+
+
+def server_has(url: str, model: str, timeout: float = 5.0) -> bool:
+    """Whether a model server answers and lists the model ({"models": [{"name"}]})."""
+    import json
+    import urllib.request
+
+    try:
+        with urllib.request.urlopen(url, timeout=timeout) as answer:
+            return any(m.get("name", "").split(":")[0] == model.split(":")[0] for m in json.load(answer).get("models", []))
+    except (OSError, ValueError):
+        return False

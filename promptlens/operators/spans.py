@@ -217,3 +217,25 @@ def person_preview(text: str, entities: list[dict]) -> str:
         out += [text[at : e["start_char"]], "Person"]
         at = e["end_char"]
     return "".join([*out, text[at:]])
+
+
+def pilot_sample(texts: DataFrame, n: int, diagnostic: str) -> DataFrame:
+    """n texts by a stable hash, and the first text outside them that holds `diagnostic`, marked by sample_kind.
+
+    n is the feature's limit.
+    """
+    drawn = texts.orderBy(F.md5(F.concat(F.lit("42:"), "text_id").cast("binary")), "text_id").limit(n).withColumn("sample_kind", F.lit("random"))
+    rest = texts.where(F.contains("text_full", F.lit(diagnostic))).join(drawn.select("text_id"), "text_id", "left_anti")
+    return drawn.unionByName(rest.orderBy("text_id").limit(1).withColumn("sample_kind", F.lit("diagnostic")).select(*drawn.columns))
+
+
+def pilot(texts: DataFrame, recognizer, batch: int = 64) -> tuple[DataFrame, dict[str, float]]:
+    """Entities of a sample, one row each, and how long recognition took for how many texts."""
+    import time
+
+    began = time.perf_counter()
+    found = recognize(texts, recognizer, batch).persist()
+    n = found.count()
+    took = time.perf_counter() - began
+    rows = found.select("text_id", F.inline(F.from_json("entities_json", ENTITY_JSON)))
+    return rows, {"texts": n, "seconds": took, "texts_per_second": n / took if took else 0.0}

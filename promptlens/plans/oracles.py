@@ -242,4 +242,16 @@ ORACLE: dict[str, str] = {
     "sc7_repeated_keys": f"WITH {_R} SELECT model_key, prompt_id, repetition, count(*) AS n FROM v_repeated GROUP BY ALL HAVING count(*) > 1",
     "ge1_model_input": f"WITH {_G} SELECT ord, 'Continue: ' || prompt AS model_input FROM v_generations",
     "ge3_completion": f"WITH {_G}, i AS (SELECT ord, [((ord + 3) * x) % 29 for x in range(1, 13)] AS ids FROM v_generations), p AS (SELECT ord, list_min(list_filter(range(1, 13), lambda x: ids[x] IN (0, 7))) AS spot FROM i) SELECT ord, coalesce(spot - 1, 12)::INT AS n_ids, CASE WHEN spot IS NULL THEN 'max_new_tokens' ELSE 'eos_token' END AS finish_reason FROM p",
+    "jn11_unexpected_ids": f"WITH {_G} SELECT prompt_id, repetition, model_key FROM v_generations WHERE ord % 17 = 2",
+    "jn12_so4_setdiff": f"WITH {_P} SELECT categoria FROM v_prompts EXCEPT ALL SELECT categoria FROM v_prompts WHERE ord % 3 = 0",
+    "so1_bind_rows": f"WITH {_P}, {_G} SELECT ord, prompt, NULL AS generation FROM v_prompts UNION ALL SELECT ord, NULL, generation FROM v_generations",
+    "so2_distinct": f"WITH {_P} SELECT DISTINCT dominio, categoria, entita FROM v_prompts",
+    "so3_union": f"WITH {_P}, {_G} SELECT dominio FROM v_prompts UNION SELECT domain FROM v_generations",
+    "sl1_sorted": f"WITH {_P} SELECT dominio, categoria, ord FROM v_prompts ORDER BY dominio, categoria DESC NULLS LAST, ord",
+    "sl2_first_n": f"WITH {_P} SELECT ord, prompt FROM v_prompts ORDER BY ord LIMIT 50",
+    "wn8_row_ids": f"WITH {_P} SELECT ord, row_number() OVER (PARTITION BY dominio ORDER BY ord) AS id_riga FROM v_prompts",
+    "wn9_first_per_group": f"WITH {_P}, c AS (SELECT dominio, categoria, count(*) AS n_prompt FROM v_prompts GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY dominio ORDER BY n_prompt, categoria) AS posizione FROM c QUALIFY posizione <= 3",
+    "jn1_labels": f"WITH {_QA} " + " UNION ALL ".join(f"SELECT '{c}' AS controllo, '{k}' AS classe, {_ROUNDED(c)} AS n_prompt, {_PCT.format(_ROUNDED(c))} AS percentuale, '{k}' AS etichetta FROM qa" for k, c in _ALL_FLAGS),
+    "ag26_completeness": f"WITH {_G}, c AS (SELECT model_key, count(*) AS observed_records, max(repetition) AS observed_repetitions FROM v_generations WHERE ord % 19 <> 4 GROUP BY model_key) SELECT m.model_key, coalesce(observed_records, 0) AS observed_records, 500 AS expected_records, observed_repetitions, 5 AS expected_repetitions, coalesce(observed_records, 0) = 500 AS complete FROM (SELECT unnest(['base', 'post', 'other']) AS model_key) m LEFT JOIN c ON c.model_key = m.model_key",
+    "ge10_few_shot": f"WITH {_G} SELECT ord, 'Continue.' || chr(10) || chr(10) || 'Prompt: A' || chr(10) || 'Continuation: b.' || chr(10) || chr(10) || 'Prompt: ' || prompt || chr(10) || 'Continuation:' AS model_input FROM v_generations",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptlens.functions import text as T
@@ -240,6 +240,26 @@ def pr1_nul(spark: SparkSession, d: str) -> DataFrame:
     return prepare.prepare_texts(raw).select("ord", "audit_n_nul", "audit_has_nul", "audit_nul_columns", "text_preparation_status")
 
 
+# Relational steps that the scripts take by themselves
+def _keys(spark, d, where):
+    return view(spark, d, "v_generations").where(where).select("prompt_id", "repetition", "model_key")
+
+
+_simple("jn11_unexpected_ids", lambda s, d: _keys(s, d, "true").join(_keys(s, d, "ord % 17 <> 2"), ["prompt_id", "repetition", "model_key"], "left_anti"))
+_simple("jn12_so4_setdiff", lambda s, d: _p(s, d).select("categoria").exceptAll(_p(s, d).where("ord % 3 = 0").select("categoria")))
+_simple("so1_bind_rows", lambda s, d: _p(s, d).select("ord", "prompt").unionByName(view(s, d, "v_generations").select("ord", "generation"), allowMissingColumns=True))
+_simple("so2_distinct", lambda s, d: _p(s, d).select("dominio", "categoria", "entita").distinct())
+_simple("so3_union", lambda s, d: _p(s, d).select("dominio").union(view(s, d, "v_generations").select("domain")).distinct())
+_simple("sl1_sorted", lambda s, d: _p(s, d).select("dominio", "categoria", "ord").orderBy("dominio", F.desc_nulls_last("categoria"), "ord"))
+_simple("sl2_first_n", lambda s, d: _p(s, d).orderBy("ord").limit(50).select("ord", "prompt"))
+_simple("wn8_row_ids", lambda s, d: _p(s, d).select("ord", (F.row_number().over(Window.partitionBy("dominio").orderBy("ord"))).alias("id_riga")))
+_simple("wn9_first_per_group", lambda s, d: eda.bars(eda.category_counts(_p(s, d))).where("posizione <= 3"))
+_simple("jn1_labels", lambda s, d: quality.flag_summary(_audit(s, d)).join(F.broadcast(s.createDataFrame([(c, k) for k, cs in quality.FLAGS.items() for c in cs], "controllo string, etichetta string")), "controllo", "left"))
+_simple("ag26_completeness", lambda s, d: audit.completeness(view(s, d, "v_generations").where("ord % 19 <> 4"), s.createDataFrame([("base", 500, 5), ("post", 500, 5), ("other", 500, 5)], "model_key string, expected_records long, expected_repetitions int")))
+_simple("sl7_ne10_pilot_sample", lambda s, d: spans.pilot_sample(spans.ner_input(_prepared(s, d)), 50, "Mrs. Brown"), "text_id", "sample_kind")
+_simple("ge10_few_shot", lambda s, d: view(s, d, "v_generations").select("ord", generation.few_shot(F.col("prompt"), [("A", "b.")], "Continue.").alias("model_input")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit's summary by model: scan, Unicode flags, a window and filtered aggregates."""
     return QUERIES["ag16_summary_by_model"](spark, sf_dir)

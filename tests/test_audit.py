@@ -9,7 +9,7 @@ SCHEMA = "prompt_id string, model_key string, repetition int, domain string, cat
 
 
 def rows(cases):
-    return [(i, "qwen3_8b_base", 1, "gender", "female", "Example", p, g, s, float(n), f) for i, p, g, s, n, f in cases]
+    return [(i, "model_a", 1, "gender", "female", "Example", p, g, s, float(n), f) for i, p, g, s, n, f in cases]
 
 
 BASE = rows([
@@ -54,7 +54,7 @@ def test_summary_and_grid(flagged, spark):
     _, df = flagged
     s = audit.summarize(df).first()
     assert (s.n_nonempty_ok, s.n_han_ok, s.pct_han_nonempty_ok, s.n_empty_generation) == (5, 3, 60.0, 1)
-    assert audit.paired_grid(df, ["qwen3_8b_base", "other"]).where("n_records = 0").count() == 7
+    assert audit.paired_grid(df, ["model_a", "other"]).where("n_records = 0").count() == 7
     twice = audit.add_flags(spark.createDataFrame([*BASE, BASE[0]], SCHEMA))
     assert twice.where("audit_duplicate_key").count() == 2
     none = audit.summarize(df.where("prompt_id = 'e'")).first()
