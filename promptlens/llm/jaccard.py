@@ -1,15 +1,17 @@
 """N-gram Jaccard join by a token-group matrix.
 
 Documents are sets of word shingles. Equal sets are one node. Similar nodes are partitioned into
-groups: nodes propose hubs that share many of their lowest-hashed shingles, exact comparison turns
-proposals into links, and linked nodes are one group. The matrix holds, for each group, the union of
-its members' prefix shingles. A node's overlap with a group's union bounds its overlap with every
-member; only groups whose bound reaches what a link needs are opened, and each of their members is
-compared exactly. Links inside a group need no further search: they cannot change a component.
-
-The prefix. A link of x and y needs |x & y| >= t * max(|x|, |y|). With the shingles of all documents
-in one order (by hash), the first n - ceil(t * n) + s(n) shingles of both sets then share at least
-min(s(x), s(y)), where s(n) = max(1, floor(n / 20)). So shingles beyond the prefix, and prefix
+groups: each joins the hub that shares most of its lowest-hashed shingles. The matrix holds, for each
+group, the union of its members' prefix shingles. A node's overlap with a group's union bounds its
+overlap with every member; only groups whose bound reaches what a link needs are opened, the node's
+own among them. An opened group's members are compared exactly with the nodes that opened it, in
+blocks of bounded size; a block sends on a spanning forest of its links, never all pairs.
+
+The prefix. A link of x and y needs |x & y| >= need(x, y) = ceil(p (|x| + |y|) / (100 + p)) for p per
+cent. Shingles of all documents are in one order (by hash), and a prefix holds the first
+n - ceil(p n / 100) + s(n), with s(n) = max(1, floor(n / 20)). Of two sets, the one whose prefix ends
+first misses at most rest(n) = n - |prefix| shared shingles, so the prefixes share at least
+need(x, y) - max(rest(x), rest(y)), which is never below 1. Shingles beyond the prefix, and prefix
 shingles that only one node holds, need not be shuffled or joined.
 
 Edge cases: a null or blank text has the empty set and links with nothing; fewer words than a
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from promptlens.llm.arrowtext import Prefix, U, lowered, mix, signed, spans, word_values, words
 from promptlens.llm.graph import components, cut
 
-#: Hubs that a shingle offers in a round of proposals; proposals that a node takes up; rounds.
-HUBS, TAKEN, ROUNDS = 4, 2, 3
+#: Hubs that a shingle offers; the most nodes on a side of a block; bits of the filter on nodes.
+HUBS, BLOCK, FILTER_BITS = 2, 512, 1 << 26
 
 
 class Sets:
@@ -76,10 +78,6 @@ def _map(width: int, percent: int, what: str):
                 if what == "nodes":
                     yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(s.size), pa.array(s.node)], ["id", "n", "node"])
                     continue
-                if what == "sets":
-                    full = pa.ListArray.from_arrays(pa.array(s.first.astype(np.int32)), pa.array(signed(s.values)))
-                    yield pa.RecordBatch.from_arrays([pa.array(s.node), full], ["node", "tokens"])
-                    continue
                 size = s.size
                 take = np.minimum(size, size - _need(size, percent) + _spare(size))
                 place = np.arange(len(s.values)) - s.first[s.owner]
@@ -90,62 +88,176 @@ def _map(width: int, percent: int, what: str):
     return run
 
 
-def _close(a: str, b: str, percent: int) -> Column:
-    """Whether sets of these sizes can be linked at all."""
-    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
+def _rest(n: Column, percent: int) -> Column:
+    """Shingles beyond the prefix."""
+    return n - F.least(n, n - F.ceil(n * percent / 100) + _spare(n))
+
 
+def _bound(n: Column, m: Column, percent: int) -> Column:
+    """How many prefix shingles sets of n and m share at least if they are linked."""
+    return F.ceil((n + m) * percent / F.lit(100 + percent)) - F.greatest(_rest(n, percent), _rest(m, percent))
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets pass the exact test."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    same = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b")
 
+def _least(n: Column, low: Column, high: Column, percent: int) -> Column:
+    """The smallest bound for a partner of low to high shingles: it is at one end of the sizes that can be linked.
 
-def _regroup(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """Groups (node, g) after linking nodes: g is the component of the groups."""
-    ends = links.join(groups.select(F.col("node").alias("a"), F.col("g").alias("ga")), "a").join(groups.select(F.col("node").alias("b"), F.col("g").alias("gb")), "b")
-    found = components(ends.select(F.col("ga").alias("a"), F.col("gb").alias("b")))
-    return cut(groups.join(found.withColumnRenamed("id", "g"), "g", "left").select("node", F.coalesce("component", "g").alias("g")))
+    Rounding may move a bound between the ends by one.
+    """
+    m, k = F.greatest(low, F.ceil(n * percent / 100)), F.least(high, F.floor(n * 100 / F.lit(percent)))
+    return F.greatest(F.lit(1), F.least(_bound(n, m, percent), _bound(n, k, percent)) - 1)
 
 
 def _active(rows: DataFrame, percent: int) -> DataFrame:
     """Prefix rows of nodes that can still be linked: enough of their shingles are shared."""
     by_token, by_node = Window.partitionBy("token"), Window.partitionBy("node")
-    least = F.ceil(F.col("n") * percent / 100)
+    n = F.col("n")
     for _ in range(2):
-        rows = rows.withColumn("c", F.count("*").over(by_node)).where(F.col("c") >= _spare(least)).drop("c")
+        rows = rows.withColumn("c", F.count("*").over(by_node)).where(F.col("c") >= _least(n, F.lit(1), n * 2 + 2, percent)).drop("c")
         rows = rows.withColumn("c", F.count("*").over(by_token)).where("c > 1").drop("c")
     return rows
 
 
-def _proposals(rows: DataFrame, groups: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Pairs (a, b): for each node the hubs that share most of its shingles, outside its group."""
-    held = rows.join(groups, "node")
-    hub = F.struct(F.xxhash64(F.lit(seed), "node").alias("h"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"))
-    # the lowest few of each shingle's holders, one from each of HUBS classes so that partial aggregation keeps one row a class
-    offered = held.groupBy("token", F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(HUBS))).agg(F.min(hub).alias("hub")).select("token", "hub.*").drop("h")
-    met = held.join(offered, "token").where((F.col("g") != F.col("gb")) & _close("n", "nb", percent))
-    score = met.groupBy(F.col("node").alias("a"), "n", "b").agg(F.count("*").alias("o"))
-    score = score.where(F.col("o") >= _spare(F.ceil(F.col("n") * percent / 100)))
-    best = Window.partitionBy("a").orderBy(F.desc("o"), "b")
-    return score.withColumn("r", F.row_number().over(best)).where(F.col("r") <= TAKEN).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _groups(rows: DataFrame, percent: int) -> DataFrame:
+    """node and g: the hub that shares most of the node's prefix, the node itself if none shares enough.
+
+    A shingle offers as hubs the lowest-hashed holder of each of HUBS classes, so that partial
+    aggregation keeps one row a class however many hold it.
+    """
+    hub = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("b"), F.col("n").alias("nb"))
+    offered = rows.groupBy("token", F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(HUBS))).agg(F.min(hub).alias("hub")).select("token", "hub.*").drop("h")
+    n, m = F.col("n"), F.col("nb")
+    met = rows.join(offered, "token").where((100 * n >= percent * m) & (100 * m >= percent * n))
+    score = met.groupBy("node", "n", "b", "nb").agg(F.count("*").alias("o")).where(F.col("o") >= _bound(n, m, percent))
+    best = score.groupBy("node").agg(F.max(F.struct("o", -F.col("b"), "b")).alias("x")).select("node", F.col("x.b").alias("g"))
+    return rows.select("node", "n").distinct().join(best, "node", "left").select("node", "n", F.coalesce("g", "node").alias("g"))
 
 
 def _opened(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b): the members of each group whose token union overlaps enough with a node of a smaller group."""
-    sizes = groups.join(rows.groupBy("node").agg(F.first("n").alias("n")), "node")
-    about = sizes.groupBy("g").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
-    held = rows.join(groups, "node").join(about, "g")
-    matrix = held.groupBy("token", F.col("g").alias("gb")).agg(F.first("members").alias("mb"), F.first("low").alias("low"), F.first("high").alias("high"))
+    """(a, gb): nodes with the groups they open, of two groups from the smaller side; groups of two or more open themselves."""
+    about = groups.groupBy("g").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
+    held = rows.join(groups.select("node", "g"), "node")
+    matrix = held.select("token", "g").distinct().join(about, "g").select("token", F.col("g").alias("gb"), F.col("members").alias("mb"), "low", "high")
+    query = held.join(about.select("g", "members"), "g").select("token", F.col("node").alias("a"), "n", "g", "members")
+    n = F.col("n")
     smaller = (F.col("members") < F.col("mb")) | ((F.col("members") == F.col("mb")) & (F.col("g") < F.col("gb")))
-    fits = (100 * F.col("high") >= percent * F.col("n_")) & (100 * F.col("n_") >= percent * F.col("low"))
-    query = held.select("token", F.col("node").alias("a"), F.col("n").alias("n_"), "g", "members")
-    bound = query.join(matrix, "token").where(smaller & fits).groupBy("a", "n_", "gb").agg(F.count("*").alias("o"))
-    bound = bound.where(F.col("o") >= _spare(F.ceil(F.col("n_") * percent / 100)))
-    members = sizes.select(F.col("g").alias("gb"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    return bound.join(members, "gb").where(_close("n_", "nb", percent)).select("a", "b").distinct()
+    fits = (100 * F.col("high") >= percent * n) & (100 * n >= percent * F.col("low"))
+    shared = query.join(matrix, "token").where(smaller & fits).groupBy("a", "n", "gb", "low", "high").agg(F.count("*").alias("o"))
+    others = shared.where(F.col("o") >= _least(n, F.col("low"), F.col("high"), percent)).select("a", "gb")
+    own = groups.join(about.where("members > 1").select("g"), "g").select(F.col("node").alias("a"), F.col("g").alias("gb"))
+    return others.union(own)
+
+
+def _blocks(opened: DataFrame, groups: DataFrame) -> DataFrame:
+    """node, block, asks: who stands on which side of which block of a group and the nodes that opened it."""
+    asking = opened.groupBy("gb").agg(F.count("*").alias("asking"))
+    sizes = groups.groupBy("g").agg(F.count("*").alias("members")).join(asking, F.col("g") == F.col("gb")).drop("gb")
+    cuts = sizes.select("g", F.ceil(F.col("members") / BLOCK).cast("int").alias("nm"), F.ceil(F.col("asking") / BLOCK).cast("int").alias("nq"))
+    deal = lambda c, n: F.pmod(F.xxhash64(F.lit(5), c), n).cast("int")
+    ask = opened.join(cuts, F.col("gb") == F.col("g")).select(F.col("a").alias("node"), "g", deal("a", F.col("nq")).alias("q"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"), F.lit(True).alias("asks"))
+    stand = groups.join(cuts, "g").select("node", "g", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), deal("node", F.col("nm")).alias("m"), F.lit(False).alias("asks"))
+    return ask.unionByName(stand).select("node", F.xxhash64("g", "q", "m").alias("block"), "asks")
+
+
+def _compare(percent: int):
+    """Spanning forests of the exact links in the blocks of one partition."""
+
+    def forest(tokens: list[np.ndarray], asks: np.ndarray, node: np.ndarray) -> Iterator[tuple[int, int]]:
+        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
+        if not len(a) or not len(b):
+            return
+        size = np.array([len(t) for t in tokens])
+        flat = np.concatenate(tokens)
+        owner = np.repeat(np.arange(len(tokens)), size)
+        _, place, n = np.unique(flat, return_inverse=True, return_counts=True)
+        keep = n[place] > 1
+        _, place = np.unique(place[keep], return_inverse=True)
+        owner = owner[keep]
+        side = np.zeros(len(tokens), np.int64)
+        side[a], side[b] = np.arange(len(a)), np.arange(len(b))
+        same = np.zeros((len(a), len(b)), np.float32)
+        width = int(place.max()) + 1 if len(place) else 0
+        # dense pieces of the token axis: products of small matrices count the shared tokens
+        step = max(1, (1 << 22) // max(1, len(tokens)))
+        order = np.argsort(place, kind="stable")
+        place, owner = place[order], owner[order]
+        for lo in range(0, width, step):
+            i, j = np.searchsorted(place, (lo, lo + step))
+            o, p, q = owner[i:j], place[i:j] - lo, asks[owner[i:j]]
+            left, right = np.zeros((len(a), min(step, width - lo)), np.float32), np.zeros((len(b), min(step, width - lo)), np.float32)
+            left[side[o[q]], p[q]] = 1
+            right[side[o[~q]], p[~q]] = 1
+            same += left @ right.T
+        same = same.astype(np.int64)
+        linked = (100 * same >= percent * (size[a][:, None] + size[b][None, :] - same)) & (node[a][:, None] != node[b][None, :])
+        # the forest, row by row: each row joins what its links hold together
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for i in range(len(a)):
+            x = int(node[a[i]])
+            for y in node[b[np.flatnonzero(linked[i])]].tolist():
+                rx, ry = find(x), find(y)
+                if rx != ry:
+                    root[rx] = ry
+                    yield x, y
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        block = table.column("block").to_numpy()
+        asks, node = table.column("asks").to_numpy(zero_copy_only=False), table.column("node").to_numpy()
+        lists = table.column("tokens").chunk(0) if table.num_rows else pa.array([], pa.list_(pa.int64()))
+        off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        order = np.argsort(block, kind="stable")
+        ends = np.flatnonzero(np.append(block[order][1:] != block[order][:-1], True)) + 1 if len(order) else []
+        pairs, lo = [], 0
+        for hi in ends:
+            rows = order[lo:hi]
+            lo = hi
+            pairs += forest([flat[off[r] : off[r + 1]] for r in rows], asks[rows], node[rows])
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+    return run
+
+
+def _filter(nodes: DataFrame, bits: int = FILTER_BITS) -> bytes:
+    """A Bloom filter of two probes over nodes, of a fixed size whatever their number: at most bits / 64 numbers reach the driver."""
+    word = lambda h: F.shiftrightunsigned(F.col(h), 6).alias("w")
+    probes = nodes.select(F.explode(F.array(F.pmod("node", F.lit(bits)), F.pmod(F.shiftrightunsigned("node", 32), F.lit(bits)))).alias("h"))
+    words_ = probes.select(word("h"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("h", F.lit(64)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(bits // 64, np.int64)
+    got = words_.toArrow()
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    return out.tobytes()
+
+
+def _passes(node: np.ndarray, held: np.ndarray) -> np.ndarray:
+    bits = len(held) * 64
+    ok = np.ones(len(node), bool)
+    for h in (np.mod(node, bits), np.mod((node.view(U) >> U(32)).view(np.int64), bits)):
+        ok &= (held[h >> 6] >> (h & 63)) & 1 == 1
+    return ok
+
+
+def _sets(docs: DataFrame, active: DataFrame, width: int, percent: int) -> DataFrame:
+    """node and tokens of the active nodes, each once. A filter on nodes keeps other texts' sets from being shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(_filter(active))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(held.value, np.int64)
+        for batch in batches:
+            for _, _, data, off in spans(batch.column("text")):
+                s = Sets(data, off, width)
+                ok = np.flatnonzero(_passes(s.node, bits))
+                if len(ok):
+                    full = pa.ListArray.from_arrays(pa.array(s.first.astype(np.int32)), pa.array(signed(s.values))).take(pa.array(ok))
+                    yield pa.RecordBatch.from_arrays([pa.array(s.node[ok]), full], ["node", "tokens"])
+
+    full = docs.select("text").mapInArrow(run, "node long, tokens array<long>")
+    return full.join(active, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -162,14 +274,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = prefix.withColumn("lo", F.min("node").over(token)).withColumn("hi", F.max("node").over(token)).where("lo <> hi").drop("lo", "hi").distinct()
     rows = cut(_active(shared, percent))
     active = rows.select("node").distinct()
-    some = nodes.join(active, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    text = docs.join(some.select("id"), docs["id"].eqNullSafe(some["id"]), "left_semi").select("text")
-    full = text.mapInArrow(_map(width, percent, "sets"), "node long, tokens array<long>")
-    sets = cut(full.join(active, "node", "left_semi").dropDuplicates(["node"]))
-    groups = cut(active.select("node", F.col("node").alias("g")))
-    for seed in range(ROUNDS):
-        groups = _regroup(groups, _linked(_proposals(rows, groups, seed, percent), sets, percent))
-    groups = _regroup(groups, _linked(_opened(rows, groups, percent), sets, percent))
+    groups = cut(_groups(rows, percent))
+    work = _blocks(_opened(rows, groups, percent), groups)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    filled = work.join(_sets(docs, active, width, percent), "node").withColumn("part", F.pmod("block", F.lit(parts)))
+    links = filled.groupBy("part").applyInArrow(_compare(percent), "a long, b long")
+    groups = components(links).select(F.col("id").alias("node"), F.col("component").alias("g"))
     joined = nodes.join(groups, "node", "left").withColumn("g", F.coalesce("g", "node"))
     # the empty set is a node that many documents share but that links nothing
     by_group = joined.where("n > 0").groupBy("g").agg(F.min("id").alias("least"))
@@ -197,4 +307,6 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     schema = source.drop("__text").schema.add("__node", "long").add("__n", "long")
     marked = source.mapInArrow(run, schema)
     grouped = marked.where("__n > 0").join(stays, marked[f"`{id_col}`"].eqNullSafe(F.col("__of")) & (F.col("__node") == F.col("__at")))
-    return grouped.dropDuplicates([id_col, "__node"]).select(*df.columns).unionByName(marked.where("__n = 0").select(*df.columns))
+    # rows that repeat an id and a set: the first by all columns, so that reruns agree
+    one = grouped.groupBy(F.col(f"`{id_col}`"), "__node").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("__row")).select("__row.*")
+    return one.unionByName(marked.where("__n = 0").select(*df.columns))
