@@ -7,12 +7,41 @@ a 64-bit polynomial fingerprint from prefix sums, so a fingerprint of any length
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 U = np.uint64
+#: Bytes of rows that Spark hands to Python at once, so that neither side holds thousands of long texts.
+BATCH = "8m"
+
+
+def frugal(spark: SparkSession) -> None:
+    """Keep the batches of this session small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function over batches that gives freed memory back to the system at its end: workers are kept between tasks."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+    return wrapped
+
+
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -58,7 +87,7 @@ class Prefix:
         return mix((self.sums[width:] - self.sums[:-width]) * self.inverse[: len(self.sums) - width] + U(width))
 
 
-def spans(batch: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def spans(batch: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string array at about limit bytes: first row, end row, bytes, offsets from 0.
 
     A row is never cut; null counts as empty.

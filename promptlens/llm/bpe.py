@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from promptlens.llm.arrowtext import spans
+from promptlens.llm.arrowtext import frugal, spans, trimmed
 
 #: Words and fragments that a worker remembers; beyond this the cache starts anew.
-CACHE = 300_000
+CACHE, FRAGMENTS = 80_000, 20_000
 _PLAIN = re.compile(rb"[\x21-\x7e]+\Z")
 # The split pattern of the vocabulary's file, for lower-case printable ASCII.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -40,7 +40,9 @@ class ForcedBoundaryBPE:
 
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
-        self.library = Tokenizer.from_file(path)
+        # only what splits texts is kept of the library's tokenizer, not its model
+        whole = Tokenizer.from_file(path)
+        self.normalizer, self.pre_tokenizer = whole.normalizer, whole.pre_tokenizer
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -48,6 +50,7 @@ class ForcedBoundaryBPE:
         self.ends = BPE(vocab=self.vocab, merges=merges, end_of_word_suffix=self.suffix, cache_capacity=0) if self.suffix else BPE(vocab=self.vocab, merges=merges, cache_capacity=0)
         self.inside = BPE(vocab=self.vocab, merges=merges, cache_capacity=0)
         self.tokens = {i: t for t, i in self.vocab.items()}
+        known = set(self.vocab)
         special = {}
         for t in spec["added_tokens"]:
             if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]:
@@ -57,9 +60,10 @@ class ForcedBoundaryBPE:
         self.special = special
         self.at_special = re.compile(b"(" + b"|".join(map(re.escape, special)) + b")") if special else None
         self.inner: set[str] = set()
-        for t in self.vocab:
+        for t in known:
             body = t.removesuffix(self.suffix) if self.suffix else t
             self.inner.update(map("".join, zip(body, body[1:])))
+        del self.vocab, known, model, spec, merges
         #: What words became: those met lately, and those of the time before, which come back when met again.
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -80,7 +84,7 @@ class ForcedBoundaryBPE:
         known = self.fragments.get((text, last))
         if known is not None:
             return known
-        if len(self.fragments) >= CACHE:
+        if len(self.fragments) >= FRAGMENTS:
             self.fragments.clear()
         ids = self.fragments[text, last] = [t.id for t in (self.ends if last else self.inside).tokenize(text)]
         return ids
@@ -88,8 +92,8 @@ class ForcedBoundaryBPE:
     def pieces(self, word: bytes) -> list[str]:
         if _PLAIN.match(word):
             return _ASCII.findall(word.decode().lower())
-        text = self.library.normalizer.normalize_str(word.decode("utf-8", "replace"))
-        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)] if text else []
+        text = self.normalizer.normalize_str(word.decode("utf-8", "replace"))
+        return [p for p, _ in self.pre_tokenizer.pre_tokenize_str(text)] if text else []
 
     def word(self, word: bytes) -> bytes:
         """The ids of what stands between ASCII white space, as 32-bit numbers."""
@@ -130,6 +134,7 @@ def coder(path: str) -> ForcedBoundaryBPE:
 
 def encode(df: DataFrame, path: str, text_col: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """All columns, the text's ids (array of int) and, if decoded names a column, their decoded text."""
+    frugal(df.sparkSession)
     keep = [c for c in df.columns if c not in (ids, decoded)]
     source = df.select(*(df[f"`{c}`"] for c in keep), df[f"`{text_col}`"].cast("string").alias("__text"))
     schema = source.drop("__text").schema.add(ids, T.ArrayType(T.IntegerType()))
@@ -152,7 +157,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids: str = "ids", d
                     columns.append(pa.array([bpe.decode(flat[ends[i] : ends[i + 1]]) for i in range(hi - lo)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -167,4 +172,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
             texts = [None if x is None else bpe.decode(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)

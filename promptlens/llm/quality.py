@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from promptlens.llm.arrowtext import SPACE, Prefix, U, byte_values, covered, mix, spans, word_values, words
+from promptlens.llm.arrowtext import SPACE, Prefix, U, byte_values, covered, frugal, mix, spans, trimmed, word_values, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters")
 _SYMBOL = np.zeros(256, bool)
@@ -67,19 +68,18 @@ def _counts(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
 
 def text_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns but those named like a count, and the counts (long)."""
-    keep = [c for c in df.columns if c not in COUNTS]
-    source = df.select(*(df[f"`{c}`"] for c in keep), df[f"`{text_col}`"].cast("string").alias("__text"))
-    schema = source.drop("__text").schema
-    for c in COUNTS:
-        schema = schema.add(c, "long")
+    frugal(df.sparkSession)
+    source = df.drop(*COUNTS)
+    at, names = source.columns.index(text_col), [*source.columns, *COUNTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, off in spans(batch.column(batch.num_columns - 1)):
-                kept = [c.slice(lo, hi - lo) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x.astype(np.int64)) for x in _counts(data, off))], schema.names)
+            for lo, hi, data, off in spans(batch.column(at)):
+                kept = [c.slice(lo, hi - lo) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x.astype(np.int64)) for x in _counts(data, off))], names)
 
-    return source.mapInArrow(run, schema)
+    schema = T.StructType([*source.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)])
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def rules() -> dict[str, Column]:

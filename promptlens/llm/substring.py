@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from promptlens.llm.arrowtext import Prefix, U, byte_values, covered, mix, signed, spans, word_values, words
+from promptlens.llm.arrowtext import Prefix, U, byte_values, covered, frugal, mix, signed, spans, trimmed, word_values, words
 from promptlens.llm.blocks import Blocks, spread
 from promptlens.llm.graph import cut
 
@@ -83,7 +83,7 @@ def _anchors(unit: str, width: int, gram: int) -> Callable[[Iterator[pa.RecordBa
                 ids = batch.column("id").slice(lo, hi - lo).take(pa.array(b.row[at]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(signed(b.anchor[at])), pa.array(signed(b.mark[at])), pa.array(n)], ["id", "anchor", "mark", "n"])
 
-    return run
+    return trimmed(run)
 
 
 def _windows(unit: str, width: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -125,7 +125,7 @@ def _windows(unit: str, width: int, gram: int) -> Callable[[Iterator[pa.RecordBa
                 ids = batch.column("id").slice(lo, hi - lo).take(pa.array(row[first]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(signed(key[first])), pa.array(total), pa.array(single)], ["id", "window", "n", "single"])
 
-    return run
+    return trimmed(run)
 
 
 def _sides(width: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -157,7 +157,7 @@ def _sides(width: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 mark, n = signed(b.mark[pick])[which], many[at][which].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(mark), pa.array(n), pa.array(level.astype(np.int32)), pa.array(signed(name))], ["id", "mark", "n", "level", "name"])
 
-    return run
+    return trimmed(run)
 
 
 def _final(unit: str, width: int, gram: int, sources: bool, characters: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -219,7 +219,7 @@ def _final(unit: str, width: int, gram: int, sources: bool, characters: bool = F
                     columns["factors"] = _factors(batch, lo, rows, b, at, known, base)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return run
+    return trimmed(run)
 
 
 def _factors(batch: pa.RecordBatch, lo: int, rows: int, b: Blocks, at: np.ndarray, known: np.ndarray, base: np.ndarray) -> pa.Array:
@@ -294,6 +294,7 @@ def rlz_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     Returns id, n_items (words), n_removed, n_spans, spans (begin and end word of each removed run,
     flat), kept (bytes: the remaining words with one space between), factors (begin, end, source).
     """
+    frugal(df.sparkSession)
     docs = _docs(df, id_col, text_col)
     if docs.schema["id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError("rlz_dedup orders documents by an integer id")
@@ -327,6 +328,7 @@ def doubling_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     With `characters`, a run gives up the parts of characters at its ends, so kept stays valid UTF-8.
     `carry` names further columns of each row to return.
     """
+    frugal(df.sparkSession)
     # every pass reads the same columns, so that one exchange of the texts serves them all
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(f"`{c}`").alias(f"held_{i}") for i, c in enumerate(carry)))
     kind = docs.schema["id"].dataType.simpleString()
