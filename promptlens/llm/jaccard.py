@@ -14,6 +14,11 @@ first misses at most rest(n) = n - |prefix| shared shingles, so the prefixes sha
 need(x, y) - max(rest(x), rest(y)), which is never below 1. Shingles beyond the prefix, and prefix
 shingles that only one node holds, need not be shuffled or joined.
 
+Common shingles, those of many groups, are not joined: a node takes all of its own for shared and its
+bound on the others falls by their number. A node whose bound would fall below 1 opens no groups this
+way; others still open its group. What is left, pairs of such nodes, goes through the same join again
+with all their shingles in order of frequency, so that their prefixes hold the rarest first.
+
 Edge cases: a null or blank text has the empty set and links with nothing; fewer words than a
 shingle count as one shingle; rows that repeat an id are documents of their own, as are rows with a
 null id (their component is the smallest id they reach, or null). Other columns are ignored; an
@@ -28,12 +33,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from promptlens.llm.arrowtext import Prefix, U, lowered, mix, signed, spans, word_values, words
+from promptlens.llm.arrowtext import Prefix, U, frugal, lowered, mix, signed, spans, trimmed, word_values, words
 from promptlens.llm.graph import components, cut
 
 #: Hubs that a shingle offers; the most nodes on a side of a block; bits of the filter on nodes.
 HUBS, BLOCK, FILTER_BITS = 2, 512, 1 << 26
+#: Shingles of more groups than this are counted as shared without being joined.
+COMMON = 32
 
 
 class Sets:
@@ -85,7 +93,7 @@ def _map(width: int, percent: int, what: str):
                 row = s.owner[at]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(s.values[at])), pa.array(s.node[row]), pa.array(size[row])], ["token", "node", "n"])
 
-    return run
+    return trimmed(run)
 
 
 def _rest(n: Column, percent: int) -> Column:
@@ -118,7 +126,7 @@ def _active(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _groups(rows: DataFrame, percent: int) -> DataFrame:
-    """node and g: the hub that shares most of the node's prefix, the node itself if none shares enough.
+    """node and g: the hub that shares most of the node's prefix, the node itself if none shares a third of it.
 
     A shingle offers as hubs the lowest-hashed holder of each of HUBS classes, so that partial
     aggregation keeps one row a class however many hold it.
@@ -127,24 +135,50 @@ def _groups(rows: DataFrame, percent: int) -> DataFrame:
     offered = rows.groupBy("token", F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(HUBS))).agg(F.min(hub).alias("hub")).select("token", "hub.*").drop("h")
     n, m = F.col("n"), F.col("nb")
     met = rows.join(offered, "token").where((100 * n >= percent * m) & (100 * m >= percent * n))
-    score = met.groupBy("node", "n", "b", "nb").agg(F.count("*").alias("o")).where(F.col("o") >= _bound(n, m, percent))
+    score = met.groupBy("node", "n", "b", "nb").agg(F.count("*").alias("o")).where(3 * F.col("o") >= n - _rest(n, percent))
     best = score.groupBy("node").agg(F.max(F.struct("o", -F.col("b"), "b")).alias("x")).select("node", F.col("x.b").alias("g"))
     return rows.select("node", "n").distinct().join(best, "node", "left").select("node", "n", F.coalesce("g", "node").alias("g"))
 
 
-def _opened(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, gb): nodes with the groups they open, of two groups from the smaller side; groups of two or more open themselves."""
+def _held(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Prefix rows with their node's group and its size, least and greatest member, and the groups of their token."""
     about = groups.groupBy("g").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
-    held = rows.join(groups.select("node", "g"), "node")
-    matrix = held.select("token", "g").distinct().join(about, "g").select("token", F.col("g").alias("gb"), F.col("members").alias("mb"), "low", "high")
-    query = held.join(about.select("g", "members"), "g").select("token", F.col("node").alias("a"), "n", "g", "members")
+    held = rows.join(groups.select("node", "g"), "node").join(about, "g")
+    spread = held.select("token", "g").distinct().groupBy("token").agg(F.count("*").alias("groups"))
+    # few rows are left, and each later plan begins with them
+    return cut(held.join(spread.where("groups > 1"), "token"))
+
+
+def _met(query: DataFrame, held: DataFrame, percent: int, which: Column, spared: Column) -> DataFrame:
+    """(a, gb): nodes with the groups whose unions share enough with them; spared: shingles taken for shared unseen."""
+    matrix = held.select("token", F.col("g").alias("gb"), F.col("members").alias("mb"), F.col("low").alias("lb"), F.col("high").alias("hb")).distinct()
     n = F.col("n")
-    smaller = (F.col("members") < F.col("mb")) | ((F.col("members") == F.col("mb")) & (F.col("g") < F.col("gb")))
-    fits = (100 * F.col("high") >= percent * n) & (100 * n >= percent * F.col("low"))
-    shared = query.join(matrix, "token").where(smaller & fits).groupBy("a", "n", "gb", "low", "high").agg(F.count("*").alias("o"))
-    others = shared.where(F.col("o") >= _least(n, F.col("low"), F.col("high"), percent)).select("a", "gb")
+    fits = (100 * F.col("hb") >= percent * n) & (100 * n >= percent * F.col("lb"))
+    shared = query.select("token", F.col("node").alias("a"), "n", "g", "members", spared.alias("spared")).join(matrix, "token").where(which & fits)
+    shared = shared.groupBy("a", "n", "spared", "gb", "lb", "hb").agg(F.count("*").alias("o"))
+    return cut(shared.where(F.col("o") + F.col("spared") >= _least(n, F.col("lb"), F.col("hb"), percent)).select("a", "gb"))
+
+
+def _opened(rows: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, gb): nodes with the groups they open; groups of two or more open themselves."""
+    about = groups.groupBy("g").agg(F.count("*").alias("members"))
     own = groups.join(about.where("members > 1").select("g"), "g").select(F.col("node").alias("a"), F.col("g").alias("gb"))
-    return others.union(own)
+    held = _held(rows, groups)
+    common = held.groupBy("node", "n").agg(F.count_if(F.col("groups") > COMMON).alias("common"))
+    n = F.col("n")
+    full = _least(n, F.lit(1), n * 2 + 2, percent) <= F.col("common")
+    rare = held.where(F.col("groups") <= COMMON)
+    query = rare.join(common.where(~full).select("node", "common"), "node")
+    first = _met(query, rare, percent, F.col("g") != F.col("gb"), F.col("common"))
+    # the nodes that hold too many common shingles, among each other
+    left = cut(common.where(full).select("node", "n"))
+    some = cut(sets.join(left, "node").select("node", "n", F.explode("tokens").alias("token")))
+    counted = some.join(some.groupBy("token").agg(F.count("*").alias("c")), "token")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("c", "token"))
+    prefix = counted.withColumn("r", place).where((F.col("r") <= n - _rest(n, percent)) & (F.col("c") > 1)).select("token", "node", "n")
+    again = _held(prefix, groups.join(left.select("node"), "node", "left_semi"))
+    smaller = (F.col("members") < F.col("mb")) | ((F.col("members") == F.col("mb")) & (F.col("g") < F.col("gb")))
+    return own.union(first).union(_met(again, again, percent, smaller, F.lit(0)))
 
 
 def _blocks(opened: DataFrame, groups: DataFrame) -> DataFrame:
@@ -256,7 +290,7 @@ def _sets(docs: DataFrame, active: DataFrame, width: int, percent: int) -> DataF
                     full = pa.ListArray.from_arrays(pa.array(s.first.astype(np.int32)), pa.array(signed(s.values))).take(pa.array(ok))
                     yield pa.RecordBatch.from_arrays([pa.array(s.node[ok]), full], ["node", "tokens"])
 
-    full = docs.select("text").mapInArrow(run, "node long, tokens array<long>")
+    full = docs.select("text").mapInArrow(trimmed(run), "node long, tokens array<long>")
     return full.join(active, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
@@ -265,6 +299,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Two documents are linked when 100 * |intersection| >= percent * |union|.
     """
+    frugal(df.sparkSession)
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     nodes = cut(docs.mapInArrow(_map(width, percent, "nodes"), f"id {kind}, n long, node long"))
@@ -275,9 +310,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = cut(_active(shared, percent))
     active = rows.select("node").distinct()
     groups = cut(_groups(rows, percent))
-    work = _blocks(_opened(rows, groups, percent), groups)
+    sets = cut(_sets(docs, active, width, percent))
+    work = _blocks(_opened(rows, groups, sets, percent), groups)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    filled = work.join(_sets(docs, active, width, percent), "node").withColumn("part", F.pmod("block", F.lit(parts)))
+    filled = work.join(sets, "node").withColumn("part", F.pmod("block", F.lit(parts)))
     links = filled.groupBy("part").applyInArrow(_compare(percent), "a long, b long")
     groups = components(links).select(F.col("id").alias("node"), F.col("component").alias("g"))
     joined = nodes.join(groups, "node", "left").withColumn("g", F.coalesce("g", "node"))
@@ -295,17 +331,16 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     found = jaccard_components(df, id_col, text_col, width, percent).where("n_shingles > 0")
     first = F.struct(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`").alias("id"), "node")
     stays = found.groupBy("group").agg(F.min(first).alias("s")).select(F.col("s.id").alias("__of"), F.col("s.node").alias("__at"))
-    source = df.withColumn("__text", F.col(f"`{text_col}`").cast("string"))
-    names = [*df.columns, "__node", "__n"]
+    names, at = [*df.columns, "__node", "__n"], df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, off in spans(batch.column(batch.num_columns - 1)):
+            for lo, hi, data, off in spans(batch.column(at)):
                 s = Sets(data, off, width)
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), pa.array(s.node), pa.array(s.size)], names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), pa.array(s.node), pa.array(s.size)], names)
 
-    schema = source.drop("__text").schema.add("__node", "long").add("__n", "long")
-    marked = source.mapInArrow(run, schema)
+    schema = T.StructType([*df.schema.fields, T.StructField("__node", T.LongType()), T.StructField("__n", T.LongType())])
+    marked = df.mapInArrow(trimmed(run), schema)
     grouped = marked.where("__n > 0").join(stays, marked[f"`{id_col}`"].eqNullSafe(F.col("__of")) & (F.col("__node") == F.col("__at")))
     # rows that repeat an id and a set: the first by all columns, so that reruns agree
     one = grouped.groupBy(F.col(f"`{id_col}`"), "__node").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("__row")).select("__row.*")

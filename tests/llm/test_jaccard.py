@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from promptlens.llm import jaccard
 from promptlens.llm.graph import components
 from promptlens.llm.jaccard import jaccard_components
 
@@ -35,8 +36,10 @@ def brute(docs, k, p):
     return sorted(((d, len(sets[i]), least.get(find(i))) for i, (d, _) in enumerate(docs)), key=repr)
 
 
-@pytest.mark.parametrize("seed,k,p", [(1, 4, 85), (2, 2, 70), (3, 5, 80)])
-def test_matches_brute_force(spark, seed, k, p):
+@pytest.mark.parametrize("seed,k,p,common,block", [(1, 4, 85, 32, 512), (2, 2, 70, 1, 3), (3, 5, 80, 2, 7), (4, 4, 85, 0, 1)])
+def test_matches_brute_force(spark, monkeypatch, seed, k, p, common, block):
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = random.Random(seed)
     vocab = [f"w{i}" for i in range(300)] + ["É", "é", "A", "a"]
     line = lambda n: [rng.choice(vocab) for _ in range(n)]
