@@ -8,8 +8,9 @@ never seen. Bigrams seen once are counted but not stored; their mass is backed o
 
 Distribution. Words travel as 56-bit fingerprints. Each chunk of texts is packed into one blob for
 each partition of the contexts: contexts, their successors, and the rows where each pair stands. The
-blobs are shuffled once and read by three branches of one plan: count statistics, the table of
-bigrams, and the scoring, which meets the table's partition. A context is never a row a token: equal
+blobs are shuffled once and read by all branches of one plan: count statistics, the table of bigrams,
+and the scoring, which meets the table's partition. Contexts of more tokens than a partition's mean
+are dealt over all partitions by their successors; what they hold in all is added to each. A context is never a row a token: equal
 pairs of a chunk are one entry. Each branch holds one partition at a time; `partitions` grows with
 the corpus. Sums go back to the chunk, not to the driver.
 
@@ -30,14 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptlens.llm.arrowtext import U, lowered, mix, spans, word_values, words
+from promptlens.llm.arrowtext import U, frugal, lowered, mix, spans, trimmed, word_values, words
 from promptlens.llm.graph import cut
 
 BEGIN, END = U(0x0101010101010100 & (2**56 - 1)), U(0x0202020202020200 & (2**56 - 1))
+NOBODY = U(2**64 - 1)
 #: Counts up to this are discounted.
 CUT = 5
 #: Bytes of text in a chunk.
-CHUNK = 6 << 20
+CHUNK = 8 << 20
 _X = "p int, b long, heads binary, sizes binary, tails binary, times binary, rows binary, train binary, ids binary"
 
 
@@ -91,6 +93,18 @@ def _seven(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed: their upper bytes are alike."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return len(x).to_bytes(4, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _spread_out(x: bytes, kind: type) -> np.ndarray:
+    n, width = int.from_bytes(x[:4], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(x[4:], n * width, "zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+
+
 def _from_seven(x: bytes) -> np.ndarray:
     raw = np.frombuffer(x, np.uint8).reshape(-1, 7)
     out = np.zeros((len(raw), 8), np.uint8)
@@ -98,8 +112,37 @@ def _from_seven(x: bytes) -> np.ndarray:
     return out.view(U).ravel()
 
 
-def _pack(partitions: int):
-    """Blobs of a chunk's pairs by the context's partition; its rows' ids go with one of them."""
+def _home(head: np.ndarray, partitions: int) -> np.ndarray:
+    """The partition of a context: rising with its id."""
+    return ((head >> U(24)) * U(partitions)) >> U(32)
+
+
+def _blobs(head: np.ndarray, tail: np.ndarray, rows: np.ndarray, p: np.ndarray | None, partitions: int) -> Iterator[tuple[int, dict[str, bytes], bool]]:
+    """Tokens sorted by partition, context and successor, as columns of bytes; without p, a context's own partition."""
+    order = np.lexsort((tail, head) if p is None else (tail, head, p))
+    head, tail, rows = head[order], tail[order], rows[order].astype(np.uint16)
+    p = _home(head, partitions) if p is None else p[order]
+    new_head = np.ones(len(head), bool)
+    new_head[1:] = (head[1:] != head[:-1]) | (p[1:] != p[:-1])
+    new = new_head.copy()
+    new[1:] |= tail[1:] != tail[:-1]
+    at, head_at = np.flatnonzero(new), np.flatnonzero(new_head)
+    times = np.diff(np.append(at, len(head))).astype(np.uint32)
+    pair_of = np.searchsorted(at, head_at)
+    size = np.diff(np.append(pair_of, len(at))).astype(np.uint32)
+    heads, tails = head[head_at], tail[at]
+    cuts = np.searchsorted(p[head_at], np.arange(partitions + 1).astype(U))
+    pair_cut, token_cut = np.append(pair_of, len(at))[cuts], np.append(head_at, len(head))[cuts]
+    for i in range(partitions):
+        h0, h1, p0, p1, t0, t1 = cuts[i], cuts[i + 1], pair_cut[i], pair_cut[i + 1], token_cut[i], token_cut[i + 1]
+        yield i, {"heads": _squeezed(heads[h0:h1]), "sizes": _squeezed(size[h0:h1]), "tails": _seven(tails[p0:p1]), "times": _squeezed(times[p0:p1]), "rows": _squeezed(rows[t0:t1])}, h1 > h0
+
+
+def _pack(partitions: int, hot: np.ndarray):
+    """Blobs of a chunk's pairs by the context's partition; its rows' ids go with one of them.
+
+    The pairs of a hot context are dealt over all partitions by context and successor.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial = TaskContext.get().partitionId(), 0
@@ -115,33 +158,24 @@ def _pack(partitions: int):
                 inner = np.ones(len(rows), bool)
                 inner[ends - n] = False
                 head[inner] = word
-                order = np.lexsort((tail, head))
-                head, tail, rows = head[order], tail[order], rows[order].astype(np.uint16)
-                new_head = np.ones(len(head), bool)
-                new_head[1:] = head[1:] != head[:-1]
-                new = new_head.copy()
-                new[1:] |= tail[1:] != tail[:-1]
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(head))).astype(np.uint32)
-                head_at = np.flatnonzero(new_head)
-                pair_of = np.searchsorted(at, head_at)
-                size = np.diff(np.append(pair_of, len(at))).astype(np.uint32)
-                heads, tails = head[head_at], tail[at]
-                p = ((heads >> U(24)) * U(partitions)) >> U(32)
-                cuts = np.searchsorted(p, np.arange(partitions + 1).astype(U))
-                pair_cut, token_cut = np.append(pair_of, len(at))[cuts], np.append(head_at, len(head))[cuts]
                 b = (part << 32) + serial
                 serial += 1
                 home = b % partitions
                 out = {k: [] for k in ("p", "b", "heads", "sizes", "tails", "times", "rows", "train", "ids")}
                 flags = np.packbits(train).tobytes() + len(train).to_bytes(4, "little")
                 texts = json.dumps([ids[lo:hi], n.tolist()]).encode()
-                for i in range(partitions):
-                    h0, h1, p0, p1, t0, t1 = cuts[i], cuts[i + 1], pair_cut[i], pair_cut[i + 1], token_cut[i], token_cut[i + 1]
-                    if h0 == h1 and i != home:
-                        continue
-                    for k, v in (("p", i), ("b", b), ("heads", _seven(heads[h0:h1])), ("sizes", size[h0:h1].tobytes()), ("tails", _seven(tails[p0:p1])), ("times", times[p0:p1].tobytes()), ("rows", rows[t0:t1].tobytes()), ("train", flags), ("ids", texts if i == home else None)):
-                        out[k].append(v)
+                spread = np.isin(head, hot) if len(hot) else np.zeros(len(head), bool)
+                cold = ~spread
+                sets = [(head[cold], tail[cold], rows[cold], None)]
+                if spread.any():
+                    h, t = head[spread], tail[spread]
+                    sets.append((h, t, rows[spread], ((mix(h + mix(t)) >> U(32)) * U(partitions)) >> U(32)))
+                for k, (h, t, r, p) in enumerate(sets):
+                    for i, columns, some in _blobs(h, t, r, p, partitions):
+                        mine = k == 0 and i == home
+                        if some or mine:
+                            for name, v in (columns | {"p": i, "b": b, "train": flags, "ids": texts if mine else None}).items():
+                                out[name].append(v)
                 kinds = {"p": pa.int32(), "b": pa.int64()}
                 yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()], list(out))
 
@@ -156,12 +190,12 @@ class _Part:
         get = lambda k: [x.as_py() for x in table.column(k)]
         self.flags = [np.unpackbits(np.frombuffer(x[:-4], np.uint8))[: int.from_bytes(x[-4:], "little")].astype(bool) for x in get("train")]
         self.start = np.concatenate(([0], np.cumsum([len(x) for x in self.flags]))).astype(np.int64)
-        heads = [_from_seven(x) for x in get("heads")]
-        sizes = np.concatenate([np.frombuffer(x, np.uint32) for x in get("sizes")])
+        heads = [_spread_out(x, U) for x in get("heads")]
+        sizes = np.concatenate([_spread_out(x, np.uint32) for x in get("sizes")])
         self.head = np.repeat(np.concatenate(heads), sizes)
         self.tail = np.concatenate([_from_seven(x) for x in get("tails")])
-        self.times = np.concatenate([np.frombuffer(x, np.uint32) for x in get("times")])
-        rows = [np.frombuffer(x, np.uint16) for x in get("rows")]
+        self.times = np.concatenate([_spread_out(x, np.uint32) for x in get("times")])
+        rows = [_spread_out(x, np.uint16) for x in get("rows")]
         self.row = np.concatenate([r + np.int32(s) for r, s in zip(rows, self.start, strict=False)])
         self.ids = table.column("ids")
         self.key = mix(self.head + mix(self.tail))
@@ -197,7 +231,7 @@ def _bigrams(least: int):
     return run
 
 
-def _score(uni: list[float], most_: float, total: int, distinct: int, unseen: float):
+def _score(uni: list[float], most_: float, hot: np.ndarray, hot_count: np.ndarray, total: int, distinct: int, unseen: float):
     """Sums over one partition's tokens for each row of each chunk."""
 
     def low(c: np.ndarray) -> np.ndarray:
@@ -209,9 +243,12 @@ def _score(uni: list[float], most_: float, total: int, distinct: int, unseen: fl
         if not table.num_rows:
             return pa.table({k: pa.array([], t) for k, t in (("b", pa.int64()), ("sums", pa.binary()), ("ids", pa.binary()))})
         part = _Part(table)
-        big = np.array([0.0] + [x if x is not None else 1.0 for x in (grams.column("d")[0].as_py() if grams.num_rows else [])] + [1.0])
         h, w = (grams.column(k).to_numpy().view(U) for k in ("h", "w"))
-        c, pw = grams.column("c").to_numpy(), grams.column("pw").to_numpy()
+        pw, held = (grams.column(k).to_numpy() for k in ("pw", "held"))
+        # rows without a successor: what hot contexts hold in all partitions
+        whole = w == NOBODY
+        hot_h, hot_mass, hot_held = h[whole], pw[whole], held[whole]
+        h, w, pw, held = h[~whole], w[~whole], pw[~whole], held[~whole]
         # contexts
         order = np.argsort(part.head, kind="stable")
         sorted_ = part.head[order]
@@ -222,10 +259,21 @@ def _score(uni: list[float], most_: float, total: int, distinct: int, unseen: fl
         of = np.empty(len(order), np.int64)
         of[order] = np.cumsum(new) - 1
         count = np.add.reduceat(part.seen[order], at) if len(at) else np.zeros(0, np.int64)
+        known_hot = np.searchsorted(hot, heads) if len(hot) else np.zeros(len(heads), np.int64)
+        known_hot[known_hot == len(hot)] = 0
+        is_hot = hot[known_hot] == heads if len(hot) else np.zeros(len(heads), bool)
+        count[is_hot] = hot_count[known_hot[is_hot]]
         g = np.searchsorted(heads, h)
-        star = big[np.minimum(c, len(big) - 1)] * c / np.maximum(count[g] if len(g) else 1, 1)
-        kept = np.bincount(g, weights=star, minlength=len(heads))
-        mass = np.bincount(g, weights=pw, minlength=len(heads))
+        star = held / np.maximum(count[g] if len(g) else 1, 1)
+        kept = np.bincount(g, weights=star, minlength=len(heads)).astype(float)
+        mass = np.bincount(g, weights=pw, minlength=len(heads)).astype(float)
+        if len(hot_h):
+            order_h = np.argsort(hot_h)
+            spot = np.searchsorted(hot_h[order_h], heads)
+            spot[spot == len(order_h)] = 0
+            spot = order_h[spot]
+            here = hot_h[spot] == heads
+            kept[here], mass[here] = hot_held[spot[here]] / np.maximum(count[here], 1), hot_mass[spot[here]]
         # a context whose successors give nothing up keeps one part in count + 1 for the others
         most = 1 - 1 / (count + 1.0)
         scale = np.where(kept > most, most / np.maximum(kept, 1e-300), 1.0)
@@ -278,7 +326,7 @@ def _gather(total: int, distinct: int, end_count: int, end: float):
     return run
 
 
-def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, partitions: int | None = None) -> DataFrame:
+def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, partitions: int | None = None, hot_share: float | None = None) -> DataFrame:
     """Scores of all texts by a model of those whose crc32(id) mod 10 is not 0.
 
     Returns id (long), held_out, n_tokens, n_known, train_tokens, base_score (add-0.1 unigrams) and
@@ -287,7 +335,7 @@ def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     partitions = partitions or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    uni = cut(docs.mapInArrow(_unigrams, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")))
+    uni = cut(docs.mapInArrow(trimmed(_unigrams), "w long, c long").groupBy("w").agg(F.sum("c").alias("c")))
     few = {r["r"]: r for r in uni.groupBy(F.least("c", F.lit(CUT + 2)).alias("r")).agg(F.count("*").alias("n"), F.sum("c").alias("all")).collect()}
     total, distinct = sum(r["all"] for r in few.values()), sum(r["n"] for r in few.values())
     ends = uni.where(F.col("w") == int(END)).first()
@@ -302,7 +350,14 @@ def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     low = F.element_at(F.array(*map(F.lit, [*d1, shrink])), F.least("c", F.lit(CUT + 1)).cast("int")) * F.col("c") / F.lit(max(total, 1))
     p_end = (d1[ends - 1] if ends <= CUT else shrink) * ends / total if ends else unseen
 
-    packed = docs.mapInArrow(_pack(partitions), _X)
+    # contexts of more tokens than a partition's mean, at most as many as partitions
+    most = total * (hot_share or 1 / partitions)
+    often = {int(r["w"]): r["c"] for r in uni.where((F.col("c") > most) & (F.col("w") != int(END))).collect()}
+    if ends > most:
+        often[int(BEGIN)] = ends
+    hot = np.array(sorted(often), np.int64)
+    hot_count = np.array([often[int(h)] for h in hot], np.int64)
+    packed = docs.mapInArrow(trimmed(_pack(partitions, hot.view(U))), _X)
     by_part = packed.groupBy("p")
     stats = by_part.applyInArrow(_statistics, "r long, n long").groupBy("r").agg(F.sum("n").alias("n"))
     # six numbers, as one row: broadcast to the table's rows
@@ -310,8 +365,16 @@ def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     line = stats.agg(*n).select(F.array(*(f"n{r}" for r in range(1, CUT + 2))).alias("n"))
     line = line.select(_discount_column(F.col("n")).alias("d"))
     grams = by_part.applyInArrow(_bigrams(least), "p int, h long, w long, c long")
-    table = grams.join(uni.select("w", low.alias("pw")), "w").crossJoin(F.broadcast(line)).select("p", "h", "w", "c", "pw", "d")
-    sums = by_part.cogroup(table.groupBy("p")).applyInArrow(_score(d1, shrink, total, distinct, unseen), "b long, sums binary, ids binary")
+    # a bigram's unigram probability and discounted count; six numbers are broadcast, not sent with each row
+    star = F.element_at(F.concat("d", F.array(F.lit(1.0))), F.least("c", F.lit(CUT + 1)).cast("int")) * F.col("c")
+    known = uni.select("w", low.alias("pw"))
+    table = grams.crossJoin(F.broadcast(line)).select("p", "h", "w", star.alias("held")).join(known, "w").select("p", "h", "w", "pw", "held")
+    if often:
+        some = spark.createDataFrame([(h,) for h in often], "h long")
+        held = grams.join(F.broadcast(some), "h").crossJoin(F.broadcast(line)).select("h", "w", star.alias("held")).join(known, "w").groupBy("h").agg(F.sum("pw").alias("pw"), F.sum("held").alias("held"))
+        everywhere = held.select(F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))).alias("p"), "h", F.lit(-1).cast("long").alias("w"), "pw", "held")
+        table = table.unionByName(everywhere)
+    sums = by_part.cogroup(table.groupBy("p")).applyInArrow(_score(d1, shrink, hot.view(U), hot_count, total, distinct, unseen), "b long, sums binary, ids binary")
     out = sums.groupBy("b").applyInArrow(_gather(total, distinct, ends, float(np.log10(p_end))), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
 

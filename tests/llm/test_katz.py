@@ -63,14 +63,14 @@ def corpus(n, seed):
     return [*docs, (None, "W1 w2"), (7, None), (7, "W3 " * 300), (10**12, ""), (5, "never seen before")]
 
 
-@pytest.mark.parametrize("n,parts", [(400, 5), (30, 1), (0, 3)])
-def test_matches_brute_force_and_sums_to_one(spark, n, parts):
+@pytest.mark.parametrize("n,parts,hot", [(400, 5, None), (400, 4, 0.003), (30, 1, 0.01), (0, 3, None)])
+def test_matches_brute_force_and_sums_to_one(spark, n, parts, hot):
     docs = corpus(n, n)
     brute = Brute(docs)
     for h in [*list(brute.bi)[:50], "nowhere"]:
         assert abs(sum(brute.p(w, h) for w in brute.c) + brute.alpha.get(h, 1.0) * brute.unseen - 1) < 1e-9
     df = spark.createDataFrame([(*d, 3) for d in docs], "doc_id long, text string, p int").repartition(3)
-    got = sorted((tuple(r) for r in katz_scores(df, partitions=parts).collect()), key=lambda r: (str(r[0]), r[2]))
+    got = sorted((tuple(r) for r in katz_scores(df, partitions=parts, hot_share=hot).collect()), key=lambda r: (str(r[0]), r[2]))
     want = sorted((brute.row(*d) for d in docs), key=lambda r: (str(r[0]), r[2]))
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
