@@ -1,7 +1,7 @@
 """Prompts, generations and entities in the shape the operators expect, over the driver's tables.
 
 The documents hold none of what the flags look for, so the views put it in: one anomaly for each
-remainder of the id, by SQL that Spark and DuckDB read alike. Every row of the table is used.
+remainder of the id, by SQL that Spark and DuckDB read alike. Every row of the table is used, and every text is whole.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ SELECT doc_id AS ord, {_DOMAIN} AS dominio,
     WHEN 12 THEN '' WHEN 13 THEN NULL WHEN 14 THEN 'The same prompt for all' WHEN 15 THEN concat(' lead ', t) WHEN 16 THEN '  '
     WHEN 17 THEN concat('\n', t) WHEN 18 THEN concat(t, '\n') WHEN 19 THEN concat('\n\n', t, '\n') WHEN 20 THEN '\n\n' WHEN 21 THEN concat('a\n\nb ', t)
     WHEN 22 THEN concat('cr\r\nlf ', t) WHEN 23 THEN 'the  SAME prompt for ALL ' WHEN 24 THEN concat(t, ' qz') WHEN 25 THEN concat('a]] b ', t, '.') ELSE t END AS prompt
-FROM (SELECT doc_id, lang, source, substr(text, 1, 80) AS t FROM documents)"""
+FROM (SELECT doc_id, lang, source, text AS t FROM documents)"""
 
 GENERATIONS = f"""
 SELECT doc_id AS ord, cast(cast(floor(doc_id / 10) AS bigint) AS string) AS prompt_id,
@@ -41,7 +41,7 @@ SELECT doc_id AS ord, cast(cast(floor(doc_id / 10) AS bigint) AS string) AS prom
   CASE WHEN cast(floor(doc_id / 10) AS bigint) % 13 = 4 THEN 'skipped_empty_prompt' WHEN doc_id % 53 = 5 THEN NULL WHEN doc_id % 53 = 6 THEN 'failed' ELSE 'ok' END AS status,
   cast(doc_id % 41 AS double) AS generated_tokens,
   CASE WHEN cast(floor(doc_id / 10) AS bigint) % 13 = 4 THEN 'not_generated_empty_prompt' WHEN doc_id % 3 = 0 THEN 'max_new_tokens' ELSE 'eos_token' END AS finish_reason
-FROM (SELECT doc_id, substr(text, 61, 100) AS t FROM documents)"""
+FROM (SELECT doc_id, text AS t FROM documents)"""
 
 #: Keys that occur twice, and attributes that differ between models.
 REPEATED = f"""
