@@ -4,7 +4,8 @@ Counts are discounted by Good-Turing; what a context's seen successors give up g
 their unigram probability, with a weight that makes the context's probabilities sum to one exactly.
 A token is evaluated recursively: a stored bigram has its discounted probability, any other the
 context's backoff weight times the unigram's, and an unknown word the unigram mass left for words
-never seen. Bigrams seen once are counted but not stored; their mass is backed off as well.
+never seen. Bigrams below a count of `least` are counted but not stored, and their mass is backed off
+as well; with least=1, as op6 has it, every bigram is stored.
 
 Distribution. Words travel as 56-bit fingerprints. Each chunk of texts is packed into one blob for
 each partition of the contexts: contexts, their successors, and the rows where each pair stands. The

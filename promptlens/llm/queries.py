@@ -49,7 +49,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.katz_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return katz.katz_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
