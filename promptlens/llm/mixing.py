@@ -90,5 +90,5 @@ def systematic_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "sou
 
 
 def repeated(df: DataFrame) -> DataFrame:
-    """Each row as often as its copies say."""
-    return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy") if "copies" in df.columns else df
+    """Each row as often as its copies say; sequence(1, 0) would count down, so rows without copies go first."""
+    return df.where(F.col("copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy") if "copies" in df.columns else df
