@@ -217,8 +217,9 @@ def ge3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("snk4_nested_json")
 def snk4(spark: SparkSession, d: str) -> DataFrame:
-    base = view(spark, d, "v_generations").where("model_key = 'base'")
-    return source.nested_json(base.select("repetition", F.concat("domain", F.lit(".json")).alias("source_file"), "category", "subject", F.col("ord").alias("prompt_index"), F.col("ord").alias("record_order"), "generation"))
+    """Every model's generations, the file named after model and domain."""
+    every = view(spark, d, "v_generations")
+    return source.nested_json(every.select("repetition", F.concat_ws("/", "model_key", F.concat("domain", F.lit(".json"))).alias("source_file"), "category", "subject", F.col("ord").alias("prompt_index"), F.col("ord").alias("record_order"), "generation"))
 
 
 @query("src7_ga17_ga18_nul")
