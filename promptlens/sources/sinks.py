@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 
 #: The most rows of a single-file report; larger tables go out through Spark.
 REPORT_ROWS = 1_000_000
+#: The most rows of a LaTeX table.
+LATEX_ROWS = 1_000
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -68,8 +70,10 @@ def write_json(value: object, path: str) -> None:
 
 
 def latex_table(df: DataFrame, label: str, value: str, caption: str) -> str:
-    """A small table of counts with thin spaces between thousands and a total."""
-    rows = df.select(label, value).limit(1000).collect()
+    """A small table of counts with thin spaces between thousands and a total; more than LATEX_ROWS rows are an error."""
+    rows = df.select(label, value).limit(LATEX_ROWS + 1).collect()
+    if len(rows) > LATEX_ROWS:
+        raise ValueError("too many rows for a LaTeX table: use write_report")
     shown = lambda n: f"{n:,}".replace(",", r"\,")
     safe = lambda s: "".join("\\" + c if c in "&%$#_{}" else c for c in str(s))
     body = "\n".join(f"{safe(r[0])} & {shown(r[1])} \\\\" for r in rows)
