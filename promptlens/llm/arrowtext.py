@@ -1,8 +1,12 @@
 """Vectorised text primitives over Arrow string buffers.
 
 Everything here works on the UTF-8 bytes that Spark hands to Python, without building a Python
-string per row: white space is found with a lookup table, and every substring, word and window gets
-a 64-bit polynomial fingerprint from prefix sums, so a fingerprint of any length costs two lookups.
+string per row: white space is found with a lookup table, words are fingerprinted eight bytes at a
+time, and every slice of a sequence gets a polynomial fingerprint modulo 2**61 - 1 from prefix sums,
+so a fingerprint of any length costs two lookups. The modulus is prime: for two given sequences of n
+items that differ, at most n of the 2**61 bases give one fingerprint. (Modulo 2**64 there are
+sequences, such as those of Thue and Morse, that no base tells apart; `Rolling` works that way and
+is only used to choose places, never to tell contents apart.)
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import SparkSession
 
 U = np.uint64
@@ -44,22 +49,15 @@ def trimmed(run: Callable) -> Callable:
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTE = np.random.RandomState(20240229).randint(1, 2**63 - 1, 256, dtype=np.int64).astype(U) * U(2) + U(1)
+PRIME = (1 << 61) - 1
+_P, _HALF, _LOW29 = U(PRIME), U(0xFFFFFFFF), U((1 << 29) - 1)
+_ODD, _BASE = 0x9E3779B97F4A7C15 | 1, 0x1D5C3F7A9B24E681
+_BYTE = np.random.RandomState(20240229).randint(1, PRIME, 256, dtype=np.int64).astype(U)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base modulo 2**64, and of its inverse."""
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 16)
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            line = np.full(size, base, dtype=U)
-            line[0] = 1
-            _powers[i] = np.multiply.accumulate(line)
-    return _powers[0][:n], _powers[1][:n]
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], U)
+#: Words of more bytes are fingerprinted one by one.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,22 +67,84 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime."""
+    x = (x & _P) + (x >> U(61))
+    return x - _P * (x >= _P)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, of numbers below it: 2**61 counts as 1."""
+    a1, a0, b1, b0 = a >> U(32), a & _HALF, b >> U(32), b & _HALF
+    cross, low = a1 * b0 + a0 * b1, a0 * b0
+    return _reduced(((a1 * b1) << U(3)) + (cross >> U(29)) + ((cross & _LOW29) << U(32)) + (low & _P) + (low >> U(61)))
+
+
+def _grown(base: int, size: int, modulus: int) -> np.ndarray:
+    """base ** 0 .. base ** (size - 1)."""
+    out, n = np.ones(size, U), 1
+    while n < size:
+        step, take = U(pow(base, n, modulus)), min(n, size - n)
+        out[n : n + take] = product(out[:take], np.full(take, step)) if modulus == PRIME else out[:take] * step
+        n += take
+    return out
+
+
+_powers: dict[int, list[np.ndarray]] = {PRIME: [np.ones(1, U)] * 2, 2**64: [np.ones(1, U)] * 2}
+
+
+def powers(n: int, modulus: int = PRIME) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base, and of its inverse."""
+    held = _powers[modulus]
+    if len(held[0]) < n:
+        base = _BASE if modulus == PRIME else _ODD
+        size = max(n, 2 * len(held[0]), 1 << 16)
+        held[:] = [_grown(b, size, modulus) for b in (base, pow(base, -1, modulus))]
+    return held[0][:n], held[1][:n]
+
+
 class Prefix:
-    """Fingerprints of all slices of a sequence of 64-bit values."""
+    """Fingerprints of all slices of a sequence of 64-bit values, modulo 2**61 - 1."""
 
     def __init__(self, values: np.ndarray):
         power, self.inverse = powers(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, U)
-        np.cumsum(values * power[:-1], out=self.sums[1:])
+        terms = product(_reduced(values), power[:-1])
+        self.high, self.low = np.zeros(len(values) + 1, U), np.zeros(len(values) + 1, U)
+        np.cumsum(terms >> U(32), out=self.high[1:])
+        np.cumsum(terms & _HALF, out=self.low[1:])
 
     def slices(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return mix((self.sums[hi] - self.sums[lo]) * self.inverse[lo] + (hi - lo).astype(U))
+        high, low = self.high[hi] - self.high[lo], self.low[hi] - self.low[lo]
+        whole = _reduced((high >> U(29)) + ((high & _LOW29) << U(32)) + (low & _P) + (low >> U(61)))
+        return mix(product(whole, self.inverse[lo]) + mix((hi - lo).astype(U)))
 
     def windows(self, width: int) -> np.ndarray:
         """Fingerprints of every run of width values."""
+        at = np.arange(max(0, len(self.high) - width))
+        return self.slices(at, at + width)
+
+
+class Rolling:
+    """Numbers of all runs of a sequence of values, cheaply: equal runs get equal numbers, but not the other way round."""
+
+    def __init__(self, values: np.ndarray):
+        power, self.inverse = powers(len(values) + 1, 2**64)
+        self.sums = np.zeros(len(values) + 1, U)
+        np.cumsum(values * power[:-1], out=self.sums[1:])
+
+    def windows(self, width: int) -> np.ndarray:
         if len(self.sums) <= width:
             return np.zeros(0, U)
-        return mix((self.sums[width:] - self.sums[:-width]) * self.inverse[: len(self.sums) - width] + U(width))
+        return mix((self.sums[width:] - self.sums[:-width]) * self.inverse[: len(self.sums) - width])
+
+
+def runs(values: np.ndarray, width: int) -> np.ndarray:
+    """Fingerprints of every run of a few values, one bijection after another."""
+    n = max(0, len(values) - width + 1)
+    out = np.full(n, mix(np.array([width], U))[0])
+    for k in range(width):
+        out = mix(out + values[k : k + n])
+    return out
 
 
 def spans(batch: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -136,8 +196,22 @@ def byte_values(data: np.ndarray) -> np.ndarray:
 
 
 def word_values(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A fingerprint for each word."""
-    return Prefix(byte_values(data)).slices(start, end)
+    """A fingerprint for each word: of its length and its bytes, eight at a time, each step a bijection.
+
+    Words of one length of up to eight bytes never share one.
+    """
+    size = end - start
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(8, np.uint8)), 0, (1,))
+    out = mix(size.astype(U) * U(_ODD))
+    out = mix(out ^ (lanes[start] & _MASK[np.minimum(size, 8)]))
+    at, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(at):
+        left = size[at] - k
+        out[at] = mix(out[at] ^ (lanes[start[at] + k] & _MASK[np.minimum(left, 8)]))
+        at, k = at[left > 8], k + 8
+    for i in np.flatnonzero(size > LONG):
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+    return out
 
 
 def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -177,5 +251,13 @@ def covered(n: int, start: np.ndarray, width: int | np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def spread(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges lo..hi, ends left out."""
+    size = hi - lo
+    if not len(size):
+        return np.zeros(0, np.int64)
+    return np.repeat(lo - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

@@ -12,15 +12,15 @@ from __future__ import annotations
 
 import numpy as np
 
-from promptlens.llm.arrowtext import Prefix, U, inside, leftmost_minima, mix
+from promptlens.llm.arrowtext import Prefix, Rolling, U, inside, leftmost_minima, mix
 
 
 class Blocks:
     """Blocks of a run of rows: row, anchor (fingerprint), mark (fingerprint of the block), place (of the anchor), lo, hi (first and last window)."""
 
-    def __init__(self, prefix: Prefix, first: np.ndarray, width: int, gram: int):
+    def __init__(self, values: np.ndarray, prefix: Prefix, first: np.ndarray, width: int, gram: int):
         self.width = width
-        at = leftmost_minima(prefix.windows(gram), width - gram + 1)
+        at = leftmost_minima(Rolling(values).windows(gram), width - gram + 1)
         ok = np.flatnonzero(inside(first, width)) if len(at) else np.zeros(0, np.int64)
         row = np.searchsorted(first, ok, "right") - 1
         anchor = at[ok]
@@ -40,10 +40,3 @@ class Blocks:
         """One number for (row, anchor, mark)."""
         return mix(self.mark + mix(self.anchor + self.row.astype(U) * U(0x9E3779B97F4A7C15)))
 
-
-def spread(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """All numbers of the ranges lo..hi, ends included."""
-    size = hi - lo + 1
-    if not len(size):
-        return np.zeros(0, np.int64)
-    return np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptlens.llm.arrowtext import Prefix, U, frugal, lowered, mix, signed, spans, trimmed, word_values, words
+from promptlens.llm.arrowtext import U, frugal, lowered, mix, runs, signed, spans, trimmed, word_values, words
 from promptlens.llm.graph import components, cut
 
 #: Hubs that a shingle offers; the most nodes on a side of a block; bits of the filter on nodes.
@@ -49,14 +49,20 @@ class Sets:
 
     def __init__(self, data: np.ndarray, off: np.ndarray, width: int):
         rows = len(off) - 1
-        start, end, first = words(lowered(data), off)
-        prefix = Prefix(word_values(lowered(data), start, end))
+        data = lowered(data)
+        start, end, first = words(data, off)
+        word = word_values(data, start, end)
         row = np.repeat(np.arange(rows), np.diff(first))
-        key = prefix.windows(width)
+        key = runs(word, width)
         ok = np.flatnonzero(row[: len(key)] == row[width - 1 :][: len(key)]) if len(key) else np.zeros(0, np.int64)
-        few = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < width))
-        value = np.concatenate([key[ok], prefix.slices(first[few], first[few + 1])])
-        owner = np.concatenate([row[ok], few])
+        # fewer words than a shingle: the whole sequence, among the runs of its own length
+        value, owner = [key[ok]], [row[ok]]
+        for n in range(1, width):
+            few = np.flatnonzero(np.diff(first) == n)
+            if len(few):
+                value.append(runs(word, n)[first[few]])
+                owner.append(few)
+        value, owner = np.concatenate(value), np.concatenate(owner)
         order = np.lexsort((value, owner))
         value, owner = value[order], owner[order]
         new = np.ones(len(value), bool)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptlens.llm.arrowtext import SPACE, Prefix, U, byte_values, covered, frugal, mix, spans, trimmed, word_values, words
+from promptlens.llm.arrowtext import SPACE, U, covered, frugal, mix, runs, spans, trimmed, word_values, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters")
 _SYMBOL = np.zeros(256, bool)
@@ -45,7 +45,7 @@ def _counts(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     solid = ~SPACE[data]
     heads = _HEAD[data] & solid
     # repeated windows of words
-    key = Prefix(word_values(data, start, end)).windows(GRAM)
+    key = runs(word_values(data, start, end), GRAM)
     row = np.repeat(np.arange(rows), np.diff(first))
     ok = np.flatnonzero(row[: len(key)] == row[GRAM - 1 :][: len(key)]) if len(key) else np.zeros(0, np.int64)
     name = mix(key[ok] + row[ok].astype(U) * _SPOT)
@@ -59,10 +59,11 @@ def _counts(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     if len(cut):
         stop = stop - (data[stop - 1] == 10)
     line_row = np.searchsorted(off, cut, "right") - 1
-    line = mix(Prefix(byte_values(data)).slices(cut, stop) + line_row.astype(U) * _SPOT)
-    _, at = np.unique(line, return_index=True)
     n_lines = np.bincount(line_row, minlength=rows)
-    distinct = np.bincount(line_row[at], minlength=rows)
+    # the lines themselves are compared
+    raw, ends = data.tobytes(), np.cumsum(n_lines)
+    lines = [raw[i:j] for i, j in zip(cut.tolist(), stop.tolist(), strict=True)]
+    distinct = np.array([len(set(lines[j - n : j])) for n, j in zip(n_lines.tolist(), ends.tolist(), strict=True)], np.int64)
     return [np.diff(first), _per_row(heads, off), _per_row(_SYMBOL[data], off), n_lines - distinct, _per_row(again, first), n_lines, _per_row(_LETTER[data] & heads, off)]
 
 

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from promptlens.llm.arrowtext import Prefix, U, byte_values, covered, frugal, mix, signed, spans, trimmed, word_values, words
-from promptlens.llm.blocks import Blocks, spread
+from promptlens.llm.arrowtext import Prefix, U, byte_values, covered, frugal, mix, signed, spans, spread, trimmed, word_values, words
+from promptlens.llm.blocks import Blocks
 from promptlens.llm.graph import cut
 
 #: The bytes by which prefix doubling lengthens both sides of an anchor, before all of a window is compared.
@@ -36,10 +36,11 @@ class Chunk:
         self.data, self.off = data, off
         if unit == "word":
             self.start, self.end, self.first = words(data, off)
-            self.prefix = Prefix(word_values(data, self.start, self.end))
+            self.values = word_values(data, self.start, self.end)
         else:
             self.first = off
-            self.prefix = Prefix(byte_values(data))
+            self.values = byte_values(data)
+        self.prefix = Prefix(self.values)
 
     def kept(self, unit: str, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes that stay, with one space between words, and each row's offset in them."""
@@ -48,7 +49,7 @@ class Chunk:
         if unit == "byte":
             return self.data[stay], count
         lo, hi = self.start[stay], self.end[stay]
-        out = np.append(self.data, np.uint8(32))[spread(lo, hi)]
+        out = np.append(self.data, np.uint8(32))[spread(lo, hi + 1)]
         ends = np.cumsum(hi - lo + 1)
         out[ends - 1] = 32
         return out, np.concatenate(([0], ends))[count]
@@ -76,7 +77,7 @@ def _anchors(unit: str, width: int, gram: int) -> Callable[[Iterator[pa.RecordBa
         for batch in batches:
             for lo, hi, data, off in spans(batch.column("text")):
                 chunk = Chunk(unit, data, off)
-                b = Blocks(chunk.prefix, chunk.first, width, gram)
+                b = Blocks(chunk.values, chunk.prefix, chunk.first, width, gram)
                 if not len(b):
                     continue
                 _, at, n = np.unique(b.keys(), return_index=True, return_counts=True)
@@ -93,7 +94,7 @@ def _windows(unit: str, width: int, gram: int) -> Callable[[Iterator[pa.RecordBa
         for batch in batches:
             for lo, hi, data, off in spans(batch.column("text")):
                 chunk = Chunk(unit, data, off)
-                b = Blocks(chunk.prefix, chunk.first, width, gram)
+                b = Blocks(chunk.values, chunk.prefix, chunk.first, width, gram)
                 marks, of = _arrays(batch, "marks", lo, hi)
                 many, _ = _arrays(batch, "many", lo, hi)
                 at = _in_row(b.mark, b.row, marks, of)
@@ -114,7 +115,7 @@ def _windows(unit: str, width: int, gram: int) -> Callable[[Iterator[pa.RecordBa
                     # a repeated block inside one row is opened once: all its windows count many times
                     _, once = np.unique(mix(b.mark[pick] + b.row[pick].astype(U) * U(0x9E3779B97F4A7C15)), return_index=True)
                     pick, at, begin, end = pick[once], at[once], begin[once], end[once]
-                s = spread(begin, end)
+                s = spread(begin, end + 1)
                 size = end - begin + 1
                 key = chunk.prefix.slices(s, s + width)
                 row, n = np.repeat(b.row[pick], size), np.repeat(many[at].astype(np.int64), size)
@@ -135,7 +136,7 @@ def _sides(width: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         for batch in batches:
             for lo, hi, data, off in spans(batch.column("text")):
                 chunk = Chunk("byte", data, off)
-                b = Blocks(chunk.prefix, chunk.first, width, gram)
+                b = Blocks(chunk.values, chunk.prefix, chunk.first, width, gram)
                 marks, of = _arrays(batch, "marks", lo, hi)
                 many, _ = _arrays(batch, "many", lo, hi)
                 at = _in_row(b.mark, b.row, marks, of)
@@ -166,7 +167,7 @@ def _final(unit: str, width: int, gram: int, sources: bool, characters: bool = F
             for lo, hi, data, off in spans(batch.column("text")):
                 chunk = Chunk(unit, data, off)
                 total = int(chunk.first[-1])
-                b = Blocks(chunk.prefix, chunk.first, width, gram)
+                b = Blocks(chunk.values, chunk.prefix, chunk.first, width, gram)
                 rows = hi - lo
                 at = _in_row(b.mark, b.row, *_arrays(batch, "marks", lo, hi))
                 known = np.flatnonzero(at >= 0)
@@ -175,7 +176,7 @@ def _final(unit: str, width: int, gram: int, sources: bool, characters: bool = F
                 # windows in question stand in blocks that are not known as a whole
                 open_ = np.flatnonzero(at < 0)
                 open_ = open_[np.isin(b.row[open_], of)]
-                s = spread(b.lo[open_], b.hi[open_])
+                s = spread(b.lo[open_], b.hi[open_] + 1)
                 s = s[_in_row(whole[s], np.repeat(b.row[open_], b.hi[open_] - b.lo[open_] + 1), wanted, of) >= 0]
                 step = np.zeros(total + 1, np.int64)
                 np.add.at(step, b.lo[known], 1)
