@@ -5,7 +5,8 @@ turns, each claiming its next free slot, until the table is full. Slots differ b
 between shards, and adding or losing a shard moves few of them. A key is placed by one lookup.
 
 Edge cases: a null key has a place of its own (that of the empty string); equal keys always share a
-shard; an empty table stays empty. Columns of the input named `slot` or `shard` are replaced.
+shard; an empty table stays empty. Columns of the input named `slot` or `shard` are replaced, also if
+one of them is the key.
 """
 
 from __future__ import annotations
@@ -49,7 +50,8 @@ def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
 def assign_shards(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE) -> DataFrame:
     """All columns, the key's slot and its shard. The table, of fixed size, is broadcast."""
     spark = df.sparkSession
-    placed = df.drop("slot", "shard").withColumn("slot", slot_of(F.col(f"`{key}`"), size))
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("slot", "shard")]
+    placed = df.select(*kept, slot_of(F.col(f"`{key}`"), size).alias("slot"))
     names = [(i, shards[s]) for i, s in enumerate(lookup_table(shards, size))]
     table = spark.createDataFrame(names, "slot long, shard string")
-    return placed.join(F.broadcast(table), "slot").select(*placed.columns, "shard")
+    return placed.join(F.broadcast(table), "slot").select(*kept, "slot", "shard")
