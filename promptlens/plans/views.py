@@ -1,7 +1,7 @@
 """Prompts, generations and entities in the shape the operators expect, over the driver's tables.
 
 The documents hold none of what the flags look for, so the views put it in: one anomaly for each
-remainder of the id, by SQL that Spark and DuckDB read alike. Every row of the table is used, and every text is whole.
+remainder of the id, whole rows that repeat among them, by SQL that Spark and DuckDB read alike. Every row of the table is used, and every text is whole.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 _DOMAIN = "CASE lang WHEN 'en' THEN 'gender' WHEN 'fr' THEN 'profession' WHEN 'de' THEN 'race' ELSE 'religious_ideology' END"
 
 PROMPTS = f"""
-SELECT doc_id AS ord, {_DOMAIN} AS dominio,
-  CASE WHEN doc_id % 41 = 3 THEN concat(' ', upper(source), '  ') ELSE source END AS categoria,
-  concat('subj_', cast(doc_id % 37 AS string)) AS entita,
+SELECT doc_id AS ord, CASE WHEN doc_id % 29 = 14 THEN 'gender' ELSE {_DOMAIN} END AS dominio,
+  CASE WHEN doc_id % 29 = 14 THEN 'whole_row' WHEN doc_id % 41 = 3 THEN concat(' ', upper(source), '  ') ELSE source END AS categoria,
+  CASE WHEN doc_id % 29 = 14 THEN 'subj_row' ELSE concat('subj_', cast(doc_id % 37 AS string)) END AS entita,
   CASE cast(doc_id % 29 AS int)
     WHEN 0 THEN concat(t, ' ') WHEN 1 THEN concat('[[x]] ', t) WHEN 2 THEN concat(t, ' &amp; more ') WHEN 3 THEN concat('(open ', t)
     WHEN 4 THEN concat('say "', t) WHEN 5 THEN concat('tab\there ', t) WHEN 6 THEN concat('two  spaces ', t) WHEN 7 THEN concat('odd , comma ', t)
