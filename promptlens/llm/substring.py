@@ -4,12 +4,16 @@ Both operators index the corpus with the content-defined blocks of `blocks.py`.
 per hundred items) travel for all text; single windows travel for the blocks where copies begin and
 end. The text itself is shuffled once by its id and that exchange is read again by each pass.
 
+Groups. Rows that share an anchor, a block or a window meet by it. Anchors that hold more than a
+share of all rows are found on a sample of documents first; their rows are counted before they are
+shuffled and the counts are joined back, so that Spark can split them; no other rows pay for that.
+
 Edge cases, for both: a null or empty text has no items, is never changed and yields empty output.
 A null id is a document like any other (for `rlz_dedup`: later than all others, so never a source).
 Rows that repeat an id count as documents of their own, equally early. Other columns are ignored,
-whatever their names. An empty table gives an empty result.
+whatever their names, and so are names of the columns given. An empty table gives an empty result.
 
-Fingerprints have 64 bits; blocks compare two of them, windows one within a shared anchor.
+Fingerprints have 61 bits, modulo a prime; blocks compare two of them, windows one.
 """
 
 from __future__ import annotations
@@ -18,15 +22,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptlens.llm.arrowtext import Prefix, U, byte_values, covered, frugal, mix, signed, spans, spread, trimmed, word_values, words
+from promptlens.llm.arrowtext import Prefix, U, byte_values, frugal, mix, signed, spans, spread, trimmed, word_values, words
 from promptlens.llm.blocks import Blocks
 from promptlens.llm.graph import cut
 
-#: The bytes by which prefix doubling lengthens both sides of an anchor, before all of a window is compared.
-OFFSETS = (17, 34, 68)
+#: One document in so many is looked at for hot anchors; an anchor is hot above this share of a partition's rows.
+SAMPLED, HOT = 256, 0.25
 
 
 class Chunk:
@@ -73,6 +77,8 @@ def _in_row(keys: np.ndarray, rows: np.ndarray, wanted: np.ndarray, of: np.ndarr
 
 
 def _anchors(unit: str, width: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each row's distinct blocks, and how often it holds each."""
+
     def run(batches):
         for batch in batches:
             for lo, hi, data, off in spans(batch.column("text")):
@@ -87,126 +93,143 @@ def _anchors(unit: str, width: int, gram: int) -> Callable[[Iterator[pa.RecordBa
     return trimmed(run)
 
 
+def _asked_blocks(batch: pa.RecordBatch, lo: int, hi: int, chunk: Chunk, width: int, gram: int) -> tuple[Blocks, np.ndarray, np.ndarray]:
+    """A chunk's blocks, those of them that its rows' marks ask for, and each one's place among the marks."""
+    b = Blocks(chunk.values, chunk.prefix, chunk.first, width, gram)
+    at = _in_row(b.mark, b.row, *_arrays(batch, "marks", lo, hi))
+    pick = np.flatnonzero(at >= 0)
+    return b, pick, at[pick]
+
+
 def _windows(unit: str, width: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """All windows of the opened blocks; with a reach, those that its marks leave in question."""
+    """All windows of the opened blocks; over bytes, those that the block's reach leaves in question."""
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, off in spans(batch.column("text")):
                 chunk = Chunk(unit, data, off)
-                b = Blocks(chunk.values, chunk.prefix, chunk.first, width, gram)
-                marks, of = _arrays(batch, "marks", lo, hi)
+                b, pick, at = _asked_blocks(batch, lo, hi, chunk, width, gram)
                 many, _ = _arrays(batch, "many", lo, hi)
-                at = _in_row(b.mark, b.row, marks, of)
-                pick = np.flatnonzero(at >= 0)
-                if not len(pick):
-                    continue
-                at, begin, end = at[pick], b.lo[pick], b.hi[pick]
+                hot, _ = _arrays(batch, "hot", lo, hi)
+                begin, end = b.lo[pick], b.hi[pick]
                 if unit == "byte":
                     left, _ = _arrays(batch, "left", lo, hi)
                     right, _ = _arrays(batch, "right", lo, hi)
-                    place = b.place[pick]
-                    begin = np.maximum(begin, place - left[at].astype(np.int64))
-                    end = np.minimum(end, place + gram + right[at].astype(np.int64) - width)
-                    some = np.flatnonzero(begin <= end)
-                    pick, at, begin, end = pick[some], at[some], begin[some], end[some]
-                    if not len(pick):
-                        continue
+                    begin = np.maximum(begin, b.place[pick] - left[at].astype(np.int64))
+                    end = np.minimum(end, b.place[pick] + gram + right[at].astype(np.int64) - width)
                     # a repeated block inside one row is opened once: all its windows count many times
-                    _, once = np.unique(mix(b.mark[pick] + b.row[pick].astype(U) * U(0x9E3779B97F4A7C15)), return_index=True)
-                    pick, at, begin, end = pick[once], at[once], begin[once], end[once]
-                s = spread(begin, end + 1)
-                size = end - begin + 1
+                    some = np.flatnonzero(begin <= end)
+                    _, once = np.unique(mix(b.mark[pick[some]] + b.row[pick[some]].astype(U) * U(0x9E3779B97F4A7C15)), return_index=True)
+                    pick, at, begin, end = (x[some[once]] for x in (pick, at, begin, end))
+                if not len(pick):
+                    continue
+                s, size = spread(begin, end + 1), end - begin + 1
                 key = chunk.prefix.slices(s, s + width)
-                row, n = np.repeat(b.row[pick], size), np.repeat(many[at].astype(np.int64), size)
-                whole = mix(key + row.astype(U) * U(0x9E3779B97F4A7C15))
-                _, first, inverse = np.unique(whole, return_index=True, return_inverse=True)
+                row, n, of = np.repeat(b.row[pick], size), np.repeat(many[at].astype(np.int64), size), np.repeat(hot[at], size)
+                _, first, inverse = np.unique(mix(key + row.astype(U) * U(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True)
                 total = np.bincount(inverse, weights=n).astype(np.int64)
                 single = np.bincount(inverse, weights=n == 1) > 0
                 ids = batch.column("id").slice(lo, hi - lo).take(pa.array(row[first]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(signed(key[first])), pa.array(total), pa.array(single)], ["id", "window", "n", "single"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(signed(key[first])), pa.array(total), pa.array(single), pa.array(of[first] > 0)], ["id", "window", "n", "single", "hot"])
 
     return trimmed(run)
 
 
-def _sides(width: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each opened block, its anchor lengthened to either side by each offset, as far as its windows reach."""
+def levels(width: int, gram: int) -> list[int]:
+    """The bytes by which an anchor is lengthened to a side: each twice those before, the last up to a whole window."""
+    return sorted({max(1, (width - gram) >> k) for k in range(4)})
+
+
+def _stretches(width: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each opened block and side, its anchor's name and those of the stretches by which each round lengthens it, as far as its windows reach."""
+    far = levels(width, gram)
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, off in spans(batch.column("text")):
                 chunk = Chunk("byte", data, off)
-                b = Blocks(chunk.values, chunk.prefix, chunk.first, width, gram)
-                marks, of = _arrays(batch, "marks", lo, hi)
-                many, _ = _arrays(batch, "many", lo, hi)
-                at = _in_row(b.mark, b.row, marks, of)
-                pick = np.flatnonzero(at >= 0)
+                b, pick, at = _asked_blocks(batch, lo, hi, chunk, width, gram)
+                _, once = np.unique(mix(b.mark[pick] + b.row[pick].astype(U) * U(0x9E3779B97F4A7C15)), return_index=True)
+                pick, at = pick[once], at[once]
                 if not len(pick):
                     continue
-                _, once = np.unique(mix(b.mark[pick] + b.row[pick].astype(U) * U(0x9E3779B97F4A7C15)), return_index=True)
-                pick = pick[once]
-                at, place = at[pick], b.place[pick]
-                parts = []
-                for k, far in enumerate(OFFSETS):
-                    for side, ok in ((0, place - far >= b.lo[pick]), (1, place + gram + far <= b.hi[pick] + width)):
-                        p = place[ok]
-                        ends = (p - far, p + gram) if side == 0 else (p, p + gram + far)
-                        name = mix(chunk.prefix.slices(*ends) + U(2 * k + side))
-                        parts.append((np.flatnonzero(ok), name, np.full(len(p), 2 * k + side)))
-                which, name, level = (np.concatenate(x) for x in zip(*parts, strict=True))
-                ids = batch.column("id").slice(lo, hi - lo).take(pa.array(b.row[pick][which]))
-                mark, n = signed(b.mark[pick])[which], many[at][which].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(mark), pa.array(n), pa.array(level.astype(np.int32)), pa.array(signed(name))], ["id", "mark", "n", "level", "name"])
+                many, _ = _arrays(batch, "many", lo, hi)
+                hot, _ = _arrays(batch, "hot", lo, hi)
+                place = b.place[pick]
+                room = place - b.lo[pick], b.hi[pick] + width - place - gram
+                for side in (0, 1):
+                    reach = np.searchsorted(far, room[side], "right")
+                    some = np.flatnonzero(reach)
+                    p, names = place[some], np.zeros((len(some), len(far)), U)
+                    for k, (near, to) in enumerate(zip([0, *far], far, strict=False)):
+                        ok = np.flatnonzero(reach[some] > k)
+                        ends = (p[ok] - to, p[ok] - near) if side == 0 else (p[ok] + gram + near, p[ok] + gram + to)
+                        names[ok, k] = chunk.prefix.slices(*ends)
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(reach[some]))).astype(np.int32)), pa.array(signed(names[np.arange(len(far)) < reach[some][:, None]])))
+                    ids = batch.column("id").slice(lo, hi - lo).take(pa.array(b.row[pick[some]]))
+                    columns = [ids, pa.array(signed(b.mark[pick[some]])), pa.array(many[at[some]].astype(np.int64)), pa.array(np.full(len(some), side, np.int32)), pa.array(signed(b.anchor[pick[some]])), lists, pa.array(hot[at[some]] > 0)]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "n", "side", "rank", "names", "hot"])
 
     return trimmed(run)
 
 
-def _final(unit: str, width: int, gram: int, sources: bool, characters: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def factors(begin: np.ndarray, end: np.ndarray, source: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The greedy parse: begin, end, source and row of each factor.
+
+    begin and end are runs of windows that some reference block holds, in order, each with its source
+    and row. A factor takes in one run after another as long as the next begins where the last ended
+    and its source is the same; so it covers its windows' items, `width` of them at least.
+    """
+    new = np.ones(len(begin), bool)
+    new[1:] = (begin[1:] != end[:-1] + 1) | (row[1:] != row[:-1]) | (source[1:] != source[:-1])
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(begin)) - 1 if len(at) else at
+    return begin[at], end[last] + width, source[at], row[at]
+
+
+def _final(unit: str, width: int, gram: int, characters: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         for batch in batches:
             for lo, hi, data, off in spans(batch.column("text")):
                 chunk = Chunk(unit, data, off)
-                total = int(chunk.first[-1])
+                total, rows = int(chunk.first[-1]), hi - lo
                 b = Blocks(chunk.values, chunk.prefix, chunk.first, width, gram)
-                rows = hi - lo
                 at = _in_row(b.mark, b.row, *_arrays(batch, "marks", lo, hi))
                 known = np.flatnonzero(at >= 0)
-                whole = chunk.prefix.windows(width)
+                # windows in question stand in blocks that are not known as a whole: where factors begin and end
                 wanted, of = _arrays(batch, "windows", lo, hi)
-                # windows in question stand in blocks that are not known as a whole
                 open_ = np.flatnonzero(at < 0)
                 open_ = open_[np.isin(b.row[open_], of)]
-                s = spread(b.lo[open_], b.hi[open_] + 1)
-                s = s[_in_row(whole[s], np.repeat(b.row[open_], b.hi[open_] - b.lo[open_] + 1), wanted, of) >= 0]
+                size = b.hi[open_] - b.lo[open_] + 1
+                s, s_row = spread(b.lo[open_], b.hi[open_] + 1), np.repeat(b.row[open_], size)
+                hit = _in_row(chunk.prefix.slices(s, s + width), s_row, wanted, of)
+                s, s_row, hit = s[hit >= 0], s_row[hit >= 0], hit[hit >= 0]
+                block_source, window_source = (_arrays(batch, c, lo, hi)[0] for c in ("mark_sources", "window_sources"))
+                runs_ = np.concatenate([b.lo[known], s]), np.concatenate([b.hi[known], s]), np.concatenate([block_source[at[known]], window_source[hit]]), np.concatenate([b.row[known], s_row])
+                order = np.argsort(runs_[0], kind="stable")
+                begin, end, source, row = factors(*(x[order] for x in runs_), width)
                 step = np.zeros(total + 1, np.int64)
-                np.add.at(step, b.lo[known], 1)
-                np.add.at(step, b.hi[known] + width, -1)
-                gone = (np.cumsum(step[:-1]) > 0) | covered(total, s, width)
+                np.add.at(step, begin, 1)
+                np.add.at(step, end, -1)
+                gone = np.cumsum(step[:-1]) > 0
                 if characters and total:
                     # a character goes only if all its bytes do
-                    heads = np.flatnonzero((chunk.data & 0xC0) != 0x80)
-                    heads = np.union1d(heads, [0])
-                    whole_ = np.logical_and.reduceat(gone, heads)
-                    gone = np.repeat(whole_, np.diff(np.append(heads, total)))
+                    heads = np.union1d(np.flatnonzero((chunk.data & 0xC0) != 0x80), [0])
+                    gone = np.repeat(np.logical_and.reduceat(gone, heads), np.diff(np.append(heads, total)))
                 # a span begins where a removed item follows a kept one or the row's beginning
-                before = np.zeros(total, bool)
-                before[1:] = gone[:-1]
-                inner = chunk.first[:-1][chunk.first[:-1] < total]
-                before[inner] = False
-                begin = np.flatnonzero(gone & ~before)
-                after = np.zeros(total, bool)
-                after[:-1] = gone[1:]
+                before, after = np.zeros(total, bool), np.zeros(total, bool)
+                before[1:], after[:-1] = gone[:-1], gone[1:]
+                before[chunk.first[:-1][chunk.first[:-1] < total]] = False
                 last = chunk.first[1:] - 1
                 after[last[last >= 0]] = False
-                end = np.flatnonzero(gone & ~after) + 1
-                out, cut = chunk.kept(unit, gone)
+                span_begin, span_end = np.flatnonzero(gone & ~before), np.flatnonzero(gone & ~after) + 1
+                out, ends = chunk.kept(unit, gone)
                 sums = np.concatenate(([0], np.cumsum(gone)))[chunk.first]
-                per = np.searchsorted(begin, chunk.first)
-                base = chunk.first[:-1]
+                per, base = np.searchsorted(span_begin, chunk.first), chunk.first[:-1]
                 raw, kept, found = out.tobytes(), [], []
                 for i in range(rows):
-                    kept.append(raw[cut[i] : cut[i + 1] - (unit == "word" and cut[i + 1] > cut[i])])
-                    found.append(np.stack([begin[per[i] : per[i + 1]] - base[i], end[per[i] : per[i + 1]] - base[i]], 1).ravel())
+                    kept.append(raw[ends[i] : ends[i + 1] - (unit == "word" and ends[i + 1] > ends[i])])
+                    found.append(np.stack([span_begin[per[i] : per[i + 1]] - base[i], span_end[per[i] : per[i + 1]] - base[i]], 1).ravel())
                 columns = {
                     "id": batch.column("id").slice(lo, rows),
                     "n_items": pa.array(np.diff(chunk.first)),
@@ -216,114 +239,132 @@ def _final(unit: str, width: int, gram: int, sources: bool, characters: bool = F
                     "kept": pa.array(kept, pa.binary()),
                 }
                 columns |= {c: batch.column(c).slice(lo, rows) for c in batch.schema.names if c.startswith("held_")}
-                if sources:
-                    columns["factors"] = _factors(batch, lo, rows, b, at, known, base)
+                if unit == "word":
+                    lines = pa.StructArray.from_arrays([pa.array(x) for x in (begin - base[row], end - base[row], signed(source))], ["begin", "end", "source"])
+                    columns["factors"] = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)), lines)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return trimmed(run)
 
 
-def _factors(batch: pa.RecordBatch, lo: int, rows: int, b: Blocks, at: np.ndarray, known: np.ndarray, base: np.ndarray) -> pa.Array:
-    """The greedy parse: a factor takes in blocks as long as the next is known from the same earlier document."""
-    source, _ = _arrays(batch, "sources", lo, lo + rows)
-    out: list[list[dict]] = [[] for _ in range(rows)]
-    if len(known):
-        src, row = signed(source[at[known]]), b.row[known]
-        new = np.ones(len(known), bool)
-        new[1:] = (known[1:] != known[:-1] + 1) | (row[1:] != row[:-1]) | (src[1:] != src[:-1])
-        begin = np.flatnonzero(new)
-        end = np.append(begin[1:], len(known)) - 1
-        for i, j in zip(begin.tolist(), end.tolist(), strict=True):
-            r = int(row[i])
-            out[r].append({"begin": int(b.lo[known[i]] - base[r]), "end": int(b.hi[known[j]] + b.width - base[r]), "source": int(src[i])})
-    return pa.array(out, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("source", pa.int64())])))
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["id"].eqNullSafe(b["id"])
 
 
-def _same(a: DataFrame, b: DataFrame, *names: str) -> Column:
-    cond = a["id"].eqNullSafe(b["id"]) if "id" in names else F.lit(True)
-    for n in names:
-        if n != "id":
-            cond &= a[n] == b[n]
-    return cond
+def _told(rows: DataFrame, hot: bool, *facts: tuple[list[str], dict[str, Column]]) -> DataFrame:
+    """rows and, for each (keys, facts), facts about all that share the keys; of rows marked hot, facts are gathered before they meet their rows."""
+    out, some = rows.where("not hot") if hot else rows, cut(rows.where("hot")) if hot else None
+    for keys, named in facts:
+        out = out.withColumns({k: f.over(Window.partitionBy(*keys)) for k, f in named.items()})
+        if hot:
+            known = cut(some.groupBy(*keys).agg(*(f.alias(k) for k, f in named.items())))
+            some = some.join(known, keys)
+    return out.unionByName(some.select(*out.columns)) if hot else out
 
 
-def _over(*names: str) -> WindowSpec:
-    return Window.partitionBy(*names)
-
+def hot_anchors(docs: DataFrame, unit: str, width: int, gram: int, sampled: int = SAMPLED, least: int = 64) -> DataFrame | None:
+    """Anchors that hold more than HOT of a partition's rows in a sample of documents: at most partitions / HOT of them."""
+    kind = docs.schema["id"].dataType.simpleString()
+    some = docs.where(F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(sampled)) == 0).mapInArrow(_anchors(unit, width, gram), f"id {kind}, anchor long, mark long, n long")
+    counts = some.groupBy("anchor").agg(F.count("*").alias("c"))
+    share = HOT / int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = counts.where(F.col("c") >= least).crossJoin(F.broadcast(counts.agg(F.sum("c").alias("all")))).where(F.col("c") > F.col("all") * share)
+    rows = [r["anchor"] for r in found.select("anchor").collect()]
+    return docs.sparkSession.createDataFrame([(a,) for a in rows], "anchor long") if rows else None
 
-def _index(docs: DataFrame, unit: str, width: int, gram: int) -> DataFrame:
-    """Anchors by document that are not alone: their block's copies, its first holder, whether other blocks share the anchor.
 
-    One shuffle by anchor serves both counts. An anchor's rows are at most one for each document and
-    block; what is sent is small against the text even if every document holds it.
-    """
+def _index(docs: DataFrame, unit: str, width: int, gram: int, hot: DataFrame | None) -> DataFrame:
+    """Blocks by document that are not alone: their copies, their first holder, whether other blocks share the anchor."""
     kind = docs.schema["id"].dataType.simpleString()
-    anchors = docs.mapInArrow(_anchors(unit, width, gram), f"id {kind}, anchor long, mark long, n long").repartition("anchor")
-    block = _over("anchor", "mark")
-    rows = (
-        anchors.withColumn("many", F.sum("n").over(block))
-        .withColumn("first", F.min("id").over(block))
-        .withColumn("opened", F.min("mark").over(_over("anchor")) != F.max("mark").over(_over("anchor")))
-    )
-    return cut(rows.where("many > 1 or opened").select("id", "mark", "many", "first", "opened"))
+    anchors = docs.mapInArrow(_anchors(unit, width, gram), f"id {kind}, anchor long, mark long, n long")
+    if hot is None:
+        anchors = anchors.withColumn("hot", F.lit(False))
+    else:
+        anchors = anchors.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    # the first exchange, by anchor, serves both groupings
+    rows = _told(anchors, hot is not None, (["anchor"], {"low": F.min("mark"), "high": F.max("mark")}), (["anchor", "mark"], {"many": F.sum("n"), "first": F.min("id")}))
+    rows = rows.withColumn("opened", F.col("low") != F.col("high"))
+    return cut(rows.where("many > 1 or opened").select("id", "mark", "many", "first", "opened", "hot"))
 
 
 def _asked(rows: DataFrame) -> DataFrame:
     """Blocks to be opened, by the document that speaks for all its copies: their earliest holder, or those without an id."""
-    return rows.where(F.col("opened") & F.col("id").eqNullSafe(F.col("first"))).select("id", "mark", "many")
+    return rows.where(F.col("opened") & F.col("id").eqNullSafe(F.col("first"))).select("id", "mark", "many", F.col("hot").cast("long").alias("hot"))
 
 
-def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _lists(asked: DataFrame, *names: str) -> DataFrame:
+    """Each document's blocks to be opened, as lists of one order."""
+    return asked.groupBy("id").agg(F.collect_list(F.struct(*names)).alias("asked")).select("id", *(F.col(f"asked.{c}").cast("array<long>").alias("marks" if c == "mark" else c) for c in names))
 
 
 def _result(docs: DataFrame, flags: DataFrame, run: Callable, extra: str = "") -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
     held = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name.startswith("held_"))
-    joined = docs.join(flags, _same(docs, flags, "id"), "left").drop(flags["id"])
+    block, window = (F.filter("found", lambda x: x[c].isNotNull()) for c in ("mark", "window"))
+    flags = flags.groupBy("id").agg(F.collect_list(F.struct("mark", "window", "source")).alias("found"))
+    flags = flags.select("id", block["mark"].alias("marks"), block["source"].alias("mark_sources"), window["window"].alias("windows"), window["source"].alias("window_sources"))
+    joined = docs.join(flags, _same(docs, flags), "left").drop(flags["id"])
     return joined.mapInArrow(run, f"id {kind}, n_items long, n_removed long, n_spans long, spans array<long>, kept binary{held}{extra}")
 
 
-def rlz_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 16) -> DataFrame:
+def rlz_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 16, sampled: int = SAMPLED, least: int = 64) -> DataFrame:
     """Relative Lempel-Ziv parsing: remove words that an earlier document (a smaller id) holds as well.
 
-    Every block of every document is indexed. A document is factored greedily against that index: a
-    factor runs on as long as the next block is known from an earlier document. At factor boundaries,
-    where a block is not known as a whole, each window of `window` words is checked by itself, so a
-    word goes exactly when a window that covers it also starts in an earlier document.
+    Every block of every document is a reference block, indexed with its first holder. A document is
+    factored greedily from left to right against that index: a factor runs on as long as the next
+    block is held by the same earlier document. Where a block is not held as a whole, factors begin
+    or end inside it: its windows are looked up one by one, against those of all blocks that share its
+    anchor, and lengthen the factor or make one of their own. Factors, of `window` words at least,
+    are what is removed. Windows that straddle two factors are windows of such blocks, so a word goes
+    exactly when a window that covers it also starts in an earlier document.
 
     Returns id, n_items (words), n_removed, n_spans, spans (begin and end word of each removed run,
     flat), kept (bytes: the remaining words with one space between), factors (begin, end, source).
     """
     frugal(df.sparkSession)
-    docs = _docs(df, id_col, text_col)
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     if docs.schema["id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError("rlz_dedup orders documents by an integer id")
     docs = docs.withColumn("id", F.col("id").cast("long"))
-    rows = _index(docs, "word", window, gram)
+    hot = hot_anchors(docs, "word", window, gram, sampled, least)
+    rows = _index(docs, "word", window, gram, hot)
     later = F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("first")))
-    asked = _asked(rows).groupBy("id").agg(F.collect_list("mark").alias("marks"), F.collect_list("many").alias("many"))
-    text = docs.join(asked, _same(docs, asked, "id")).drop(asked["id"])
-    found = text.mapInArrow(_windows("word", window, gram), "id long, window long, n long, single boolean")
-    part = found.withColumn("first", F.min("id").over(_over("window"))).where(later)
-    flags = (
-        rows.where(later).select("id", "mark", F.col("first").alias("source"), F.lit(None).cast("long").alias("window"))
-        .union(part.select("id", F.lit(None).cast("long"), F.lit(None).cast("long"), "window"))
-        .groupBy("id")
-        .agg(F.collect_list("mark").alias("marks"), F.collect_list("source").alias("sources"), F.collect_list("window").alias("windows"))
-    )
-    out = _result(docs, flags, _final("word", window, gram, True), ", factors array<struct<begin:long,end:long,source:long>>")
+    asked = _lists(_asked(rows), "mark", "many", "hot")
+    text = docs.join(asked, _same(docs, asked)).drop(asked["id"])
+    found = text.mapInArrow(_windows("word", window, gram), "id long, window long, n long, single boolean, hot boolean")
+    part = _told(found, hot is not None, (["window"], {"first": F.min("id")})).where(later)
+    none = F.lit(None).cast("long")
+    flags = rows.where(later).select("id", "mark", none.alias("window"), F.col("first").alias("source")).union(part.select("id", none, "window", "first"))
+    out = _result(docs, flags, _final("word", window, gram), ", factors array<struct<begin:long,end:long,source:long>>")
     return out.withColumnRenamed("id", id_col)
 
 
-def doubling_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 64, characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def rounds(positions: DataFrame, far: list[int], hot: bool = False) -> list[DataFrame]:
+    """Prefix doubling from ranked positions: each round's rows with their new rank and how many positions share it.
+
+    positions: id, mark, n (copies), side, rank, names (of the stretches that each round adds), hot.
+    In round j those whose side reaches far[j] are sorted by (rank, name of the next stretch). The
+    smallest position of each such pair is the pair's rank. Positions of a unique rank go no further.
+    """
+    out = []
+    for j in range(len(far)):
+        here = positions.where(F.size("names") > j).withColumns({"old": F.col("rank"), "name": F.element_at("names", j + 1)}).drop("rank")
+        ranked = _told(here, hot, (["side", "old", "name"], {"all": F.sum("n"), "rank": F.min(F.xxhash64("id", "mark"))}))
+        out.append(ranked)
+        positions = ranked.where("all > 1").drop("old", "name", "all")
+    return out
+
+
+def doubling_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 64, characters: bool = False, carry: tuple[str, ...] = (), sampled: int = SAMPLED, least: int = 64) -> DataFrame:
     """Prefix doubling: remove every byte of a `window`-byte string that occurs more than once anywhere.
 
-    Positions are the anchors of `blocks.py`. A first ranking by their `gram` bytes drops unique ones,
-    a ranking by whole blocks settles those that repeat past the threshold. The others are ranked
-    again at growing offsets to either side (each pair of rank and lengthened name is one group in
-    Spark), until a name is unique: beyond that no window can repeat. Only the windows still in
-    question are then ranked at their full length. Copies lose all occurrences, the first included.
+    Positions are the anchors of `blocks.py`: equal windows hold equal anchors at equal places, so no
+    other position needs a rank. A first ranking, by their `gram` bytes, drops unique ones; a ranking
+    by whole blocks settles those that repeat past the threshold. The others are ranked in rounds (see
+    `rounds`) by pairs of their rank and the name of the stretch at a growing offset, to either side,
+    until their rank is unique or a whole window is reached. What is unique bounds how far windows
+    around the position can repeat; those still in question get their last rank at full length.
+    Copies lose all occurrences, the first included.
 
     Returns id, n_items (bytes), n_removed, n_spans, spans (flat begins and ends), kept (bytes).
     With `characters`, a run gives up the parts of characters at its ends, so kept stays valid UTF-8.
@@ -331,38 +372,29 @@ def doubling_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     frugal(df.sparkSession)
     # every pass reads the same columns, so that one exchange of the texts serves them all
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(f"`{c}`").alias(f"held_{i}") for i, c in enumerate(carry)))
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"held_{i}") for i, c in enumerate(carry)))
     kind = docs.schema["id"].dataType.simpleString()
-    rows = _index(docs.select("id", "text"), "byte", window, gram)
+    slim = docs.select("id", "text")
+    hot = hot_anchors(slim, "byte", window, gram, sampled, least)
+    rows = _index(slim, "byte", window, gram, hot)
     opened = _asked(rows)
-    asked = opened.groupBy("id").agg(F.collect_list("mark").alias("marks"), F.collect_list("many").alias("many"))
-    text = docs.join(asked, _same(docs, asked, "id")).drop(asked["id"])
-    names = text.mapInArrow(_sides(window, gram), f"id {kind}, mark long, n long, level int, name long")
-    alone = names.withColumn("all", F.sum("n").over(_over("name"))).where(F.col("all") == 1)
-    alone = alone.select("id", "mark", F.col("level") % 2 == 0, F.element_at(F.array(*map(F.lit, OFFSETS)), (F.col("level") / 2).cast("int") + 1) - 1)
-    alone = alone.toDF("id", "mark", "to_left", "reach")
-    rest = window - gram
-    # one row for each opened block: how far windows can repeat to the left and right of its anchor
-    reach = (
-        opened.select("id", "mark", "many", F.lit(rest).alias("left"), F.lit(rest).alias("right"))
-        .unionByName(alone.select("id", "mark", F.lit(None).cast("long").alias("many"), F.when(F.col("to_left"), F.col("reach")).alias("left"), F.when(~F.col("to_left"), F.col("reach")).alias("right")))
-        .groupBy("id", "mark")
-        .agg(F.max("many").alias("many"), F.min("left").alias("left"), F.min("right").alias("right"))
-        .where(F.col("left") + F.col("right") >= rest)
-        .groupBy("id")
-        .agg(F.collect_list(F.struct("mark", "many", "left", "right")).alias("asked"))
-        .select("id", *(F.col(f"asked.{c}").cast("array<long>").alias(n) for c, n in (("mark", "marks"), ("many", "many"), ("left", "left"), ("right", "right"))))
-    )
-    text = docs.join(reach, _same(docs, reach, "id")).drop(reach["id"])
-    found = text.mapInArrow(_windows("byte", window, gram), f"id {kind}, window long, n long, single boolean")
-    part = found.withColumn("all", F.sum("n").over(_over("window"))).where(F.col("single") & (F.col("all") > 1))
-    flags = (
-        rows.where("many > 1").select("id", "mark", F.lit(None).cast("long").alias("window"))
-        .union(part.select("id", F.lit(None).cast("long"), "window"))
-        .groupBy("id")
-        .agg(F.collect_list("mark").alias("marks"), F.collect_list("window").alias("windows"))
-    )
-    out = _result(docs, flags, _final("byte", window, gram, False, characters))
+    asked = _lists(opened, "mark", "many", "hot")
+    text = docs.join(asked, _same(docs, asked)).drop(asked["id"])
+    positions = text.mapInArrow(_stretches(window, gram), f"id {kind}, mark long, n long, side int, rank long, names array<long>, hot boolean")
+    far, rest, none = levels(window, gram), window - gram, F.lit(None).cast("long")
+    # how far windows can repeat to the left and right of each opened block's anchor
+    reach = opened.select("id", "mark", "many", "hot", F.lit(rest).alias("left"), F.lit(rest).alias("right"))
+    for to, ranked in zip(far, rounds(positions, far, hot is not None), strict=True):
+        ends = [F.when(F.col("side") == side, to - 1).alias(name) for side, name in enumerate(("left", "right"))]
+        reach = reach.unionByName(ranked.where("all = 1").select("id", "mark", none.alias("many"), none.alias("hot"), *ends))
+    reach = reach.groupBy("id", "mark").agg(F.max("many").alias("many"), F.max("hot").alias("hot"), F.min("left").alias("left"), F.min("right").alias("right"))
+    asked = _lists(reach.where(F.col("left") + F.col("right") >= rest), "mark", "many", "hot", "left", "right")
+    text = docs.join(asked, _same(docs, asked)).drop(asked["id"])
+    found = text.mapInArrow(_windows("byte", window, gram), f"id {kind}, window long, n long, single boolean, hot boolean")
+    part = _told(found, hot is not None, (["window"], {"all": F.sum("n")})).where(F.col("single") & (F.col("all") > 1))
+    nobody = F.lit(0).cast("long")
+    flags = rows.where("many > 1").select("id", "mark", none.alias("window"), nobody.alias("source")).union(part.select("id", none, "window", nobody))
+    out = _result(docs, flags, _final("byte", window, gram, characters))
     for i, c in enumerate(carry):
         out = out.withColumnRenamed(f"held_{i}", c)
     return out.withColumnRenamed("id", id_col)
