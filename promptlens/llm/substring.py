@@ -30,7 +30,7 @@ from promptlens.llm.blocks import Blocks
 from promptlens.llm.graph import cut
 
 #: One document in so many is looked at for hot anchors; an anchor is hot above this share of a partition's rows.
-SAMPLED, HOT = 256, 0.25
+SAMPLED, HOT = 64, 0.25
 
 
 class Chunk:
@@ -262,7 +262,7 @@ def _told(rows: DataFrame, hot: bool, *facts: tuple[list[str], dict[str, Column]
     return out.unionByName(some.select(*out.columns)) if hot else out
 
 
-def hot_anchors(docs: DataFrame, unit: str, width: int, gram: int, sampled: int = SAMPLED, least: int = 64) -> DataFrame | None:
+def hot_anchors(docs: DataFrame, unit: str, width: int, gram: int, sampled: int = SAMPLED, least: int = 16) -> DataFrame | None:
     """Anchors that hold more than HOT of a partition's rows in a sample of documents: at most partitions / HOT of them."""
     kind = docs.schema["id"].dataType.simpleString()
     some = docs.where(F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(sampled)) == 0).mapInArrow(_anchors(unit, width, gram), f"id {kind}, anchor long, mark long, n long")
@@ -307,7 +307,7 @@ def _result(docs: DataFrame, flags: DataFrame, run: Callable, extra: str = "") -
     return joined.mapInArrow(run, f"id {kind}, n_items long, n_removed long, n_spans long, spans array<long>, kept binary{held}{extra}")
 
 
-def rlz_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 16, sampled: int = SAMPLED, least: int = 64) -> DataFrame:
+def rlz_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 16, sampled: int = SAMPLED, least: int = 16) -> DataFrame:
     """Relative Lempel-Ziv parsing: remove words that an earlier document (a smaller id) holds as well.
 
     Every block of every document is a reference block, indexed with its first holder. A document is
@@ -355,7 +355,7 @@ def rounds(positions: DataFrame, far: list[int], hot: bool = False) -> list[Data
     return out
 
 
-def doubling_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 64, characters: bool = False, carry: tuple[str, ...] = (), sampled: int = SAMPLED, least: int = 64) -> DataFrame:
+def doubling_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 64, characters: bool = False, carry: tuple[str, ...] = (), sampled: int = SAMPLED, least: int = 16) -> DataFrame:
     """Prefix doubling: remove every byte of a `window`-byte string that occurs more than once anywhere.
 
     Positions are the anchors of `blocks.py`: equal windows hold equal anchors at equal places, so no
