@@ -5,8 +5,9 @@ per hundred items) travel for all text; single windows travel for the blocks whe
 end. The text itself is shuffled once by its id and that exchange is read again by each pass.
 
 Groups. Rows that share an anchor, a block or a window meet by it. Anchors that hold more than a
-share of all rows are found on a sample of documents first; their rows are counted before they are
-shuffled and the counts are joined back, so that Spark can split them; no other rows pay for that.
+partition's share of all rows are found on a sample of documents first; their rows are counted before
+they are shuffled, and the counts of the largest groups are broadcast, so that their rows stay where
+they are. What is hot changes no result.
 
 Edge cases, for both: a null or empty text has no items, is never changed and yields empty output.
 A null id is a document like any other (for `rlz_dedup`: later than all others, so never a source).
@@ -30,7 +31,7 @@ from promptlens.llm.blocks import Blocks
 from promptlens.llm.graph import cut
 
 #: One document in so many is looked at for hot anchors; an anchor is hot above this share of a partition's rows.
-SAMPLED, HOT = 64, 0.25
+SAMPLED, HOT = 64, 1.0
 
 
 class Chunk:
@@ -251,15 +252,22 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["id"].eqNullSafe(b["id"])
 
 
-def _told(rows: DataFrame, hot: bool, *facts: tuple[list[str], dict[str, Column]]) -> DataFrame:
-    """rows and, for each (keys, facts), facts about all that share the keys; of rows marked hot, facts are gathered before they meet their rows."""
-    out, some = rows.where("not hot") if hot else rows, cut(rows.where("hot")) if hot else None
-    for keys, named in facts:
-        out = out.withColumns({k: f.over(Window.partitionBy(*keys)) for k, f in named.items()})
-        if hot:
-            known = cut(some.groupBy(*keys).agg(*(f.alias(k) for k, f in named.items())))
-            some = some.join(known, keys)
-    return out.unionByName(some.select(*out.columns)) if hot else out
+def _gathered(rows: DataFrame, keys: list[str], facts: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """rows and facts about all that share the keys, gathered before they meet their rows; and the facts alone.
+
+    Keys of more rows than a partition's mean, at most as many as partitions, are broadcast: their rows stay where they are.
+    """
+    known = cut(rows.groupBy(*keys).agg(*(f.alias(k) for k, f in facts.items()), F.count("*").alias("c")))
+    mean = (known.agg(F.sum("c")).first()[0] or 0) / int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    big, told = known.where(F.col("c") > mean), known.drop("c")
+    out = rows.join(F.broadcast(big.drop("c")), keys).unionByName(rows.join(F.broadcast(big.select(*keys)), keys, "left_anti").join(told, keys))
+    return out, told
+
+
+def _told(rows: DataFrame, hot: bool, keys: list[str], facts: dict[str, Column]) -> DataFrame:
+    """rows and facts about all that share the keys; those of rows marked hot are gathered first."""
+    out = (rows.where("not hot") if hot else rows).withColumns({k: f.over(Window.partitionBy(*keys)) for k, f in facts.items()})
+    return out.unionByName(_gathered(rows.where("hot"), keys, facts)[0].select(*out.columns)) if hot else out
 
 
 def hot_anchors(docs: DataFrame, unit: str, width: int, gram: int, sampled: int = SAMPLED, least: int = 16) -> DataFrame | None:
@@ -277,12 +285,17 @@ def _index(docs: DataFrame, unit: str, width: int, gram: int, hot: DataFrame | N
     """Blocks by document that are not alone: their copies, their first holder, whether other blocks share the anchor."""
     kind = docs.schema["id"].dataType.simpleString()
     anchors = docs.mapInArrow(_anchors(unit, width, gram), f"id {kind}, anchor long, mark long, n long")
-    if hot is None:
-        anchors = anchors.withColumn("hot", F.lit(False))
-    else:
-        anchors = anchors.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    # the first exchange, by anchor, serves both groupings
-    rows = _told(anchors, hot is not None, (["anchor"], {"low": F.min("mark"), "high": F.max("mark")}), (["anchor", "mark"], {"many": F.sum("n"), "first": F.min("id")}))
+    ends = {"low": F.min("mark"), "high": F.max("mark")}
+    block = ["anchor", "mark"], {"many": F.sum("n"), "first": F.min("id")}
+    if hot is not None:
+        anchors, often = anchors.join(F.broadcast(hot), "anchor", "left_anti"), anchors.join(F.broadcast(hot), "anchor", "left_semi")
+    # the exchange by anchor serves both groupings
+    rows = anchors.withColumns({k: f.over(Window.partitionBy("anchor")) for k, f in ends.items()})
+    rows = _told(rows, False, *block).withColumn("hot", F.lit(False))
+    if hot is not None:
+        found, blocks = _gathered(often, *block)
+        sides = blocks.groupBy("anchor").agg(*(f.alias(k) for k, f in ends.items()))
+        rows = rows.unionByName(found.join(F.broadcast(sides), "anchor").withColumn("hot", F.lit(True)))
     rows = rows.withColumn("opened", F.col("low") != F.col("high"))
     return cut(rows.where("many > 1 or opened").select("id", "mark", "many", "first", "opened", "hot"))
 
@@ -332,7 +345,7 @@ def rlz_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     asked = _lists(_asked(rows), "mark", "many", "hot")
     text = docs.join(asked, _same(docs, asked)).drop(asked["id"])
     found = text.mapInArrow(_windows("word", window, gram), "id long, window long, n long, single boolean, hot boolean")
-    part = _told(found, hot is not None, (["window"], {"first": F.min("id")})).where(later)
+    part = _told(found, hot is not None, ["window"], {"first": F.min("id")}).where(later)
     none = F.lit(None).cast("long")
     flags = rows.where(later).select("id", "mark", none.alias("window"), F.col("first").alias("source")).union(part.select("id", none, "window", "first"))
     out = _result(docs, flags, _final("word", window, gram), ", factors array<struct<begin:long,end:long,source:long>>")
@@ -349,7 +362,7 @@ def rounds(positions: DataFrame, far: list[int], hot: bool = False) -> list[Data
     out = []
     for j in range(len(far)):
         here = positions.where(F.size("names") > j).withColumns({"old": F.col("rank"), "name": F.element_at("names", j + 1)}).drop("rank")
-        ranked = _told(here, hot, (["side", "old", "name"], {"all": F.sum("n"), "rank": F.min(F.xxhash64("id", "mark"))}))
+        ranked = _told(here, hot, ["side", "old", "name"], {"all": F.sum("n"), "rank": F.min(F.xxhash64("id", "mark"))})
         out.append(ranked)
         positions = ranked.where("all > 1").drop("old", "name", "all")
     return out
@@ -391,7 +404,7 @@ def doubling_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     asked = _lists(reach.where(F.col("left") + F.col("right") >= rest), "mark", "many", "hot", "left", "right")
     text = docs.join(asked, _same(docs, asked)).drop(asked["id"])
     found = text.mapInArrow(_windows("byte", window, gram), f"id {kind}, window long, n long, single boolean, hot boolean")
-    part = _told(found, hot is not None, (["window"], {"all": F.sum("n")})).where(F.col("single") & (F.col("all") > 1))
+    part = _told(found, hot is not None, ["window"], {"all": F.sum("n")}).where(F.col("single") & (F.col("all") > 1))
     nobody = F.lit(0).cast("long")
     flags = rows.where("many > 1").select("id", "mark", none.alias("window"), nobody.alias("source")).union(part.select("id", none, "window", nobody))
     out = _result(docs, flags, _final("byte", window, gram, characters))
