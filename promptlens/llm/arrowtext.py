@@ -50,9 +50,9 @@ def trimmed(run: Callable) -> Callable:
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 PRIME = (1 << 61) - 1
-_P, _HALF, _LOW29 = U(PRIME), U(0xFFFFFFFF), U((1 << 29) - 1)
+_P, _HALF, _LOW29, _PIECE = U(PRIME), U(0xFFFFFFFF), U((1 << 29) - 1), 1 << 14
 _ODD, _BASE = 0x9E3779B97F4A7C15 | 1, 0x1D5C3F7A9B24E681
-_BYTE = np.random.RandomState(20240229).randint(1, PRIME, 256, dtype=np.int64).astype(U)
+_BYTE = np.arange(1, 257).astype(U)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], U)
@@ -74,7 +74,12 @@ def _reduced(x: np.ndarray) -> np.ndarray:
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a * b modulo the prime, of numbers below it: 2**61 counts as 1."""
+    """a * b modulo the prime, of numbers below it: 2**61 counts as 1. Long arrays go in pieces that stay in the cache."""
+    if len(a) > _PIECE:
+        out = np.empty(len(a), U)
+        for i in range(0, len(a), _PIECE):
+            out[i : i + _PIECE] = product(a[i : i + _PIECE], b[i : i + _PIECE])
+        return out
     a1, a0, b1, b0 = a >> U(32), a & _HALF, b >> U(32), b & _HALF
     cross, low = a1 * b0 + a0 * b1, a0 * b0
     return _reduced(((a1 * b1) << U(3)) + (cross >> U(29)) + ((cross & _LOW29) << U(32)) + (low & _P) + (low >> U(61)))
@@ -106,12 +111,17 @@ def powers(n: int, modulus: int = PRIME) -> tuple[np.ndarray, np.ndarray]:
 class Prefix:
     """Fingerprints of all slices of a sequence of 64-bit values, modulo 2**61 - 1."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, small: bool = False):
+        """small: all values are below 512, so that sums of eight million products of them fit."""
         power, self.inverse = powers(len(values) + 1)
-        terms = product(_reduced(values), power[:-1])
         self.high, self.low = np.zeros(len(values) + 1, U), np.zeros(len(values) + 1, U)
-        np.cumsum(terms >> U(32), out=self.high[1:])
-        np.cumsum(terms & _HALF, out=self.low[1:])
+        if small and len(values) < 1 << 23:
+            high, low = values * (power[:-1] >> U(32)), values * (power[:-1] & _HALF)
+        else:
+            terms = product(_reduced(values), power[:-1])
+            high, low = terms >> U(32), terms & _HALF
+        np.cumsum(high, out=self.high[1:])
+        np.cumsum(low, out=self.low[1:])
 
     def slices(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         high, low = self.high[hi] - self.high[lo], self.low[hi] - self.low[lo]

@@ -45,7 +45,7 @@ class Chunk:
         else:
             self.first = off
             self.values = byte_values(data)
-        self.prefix = Prefix(self.values)
+        self.prefix = Prefix(self.values, small=unit == "byte")
 
     def kept(self, unit: str, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes that stay, with one space between words, and each row's offset in them."""
