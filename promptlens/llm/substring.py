@@ -6,8 +6,8 @@ end. The text itself is shuffled once by its id and that exchange is read again
 
 Groups. Rows that share an anchor, a block or a window meet by it. Anchors that hold more than a
 partition's share of all rows are found on a sample of documents first; their rows are counted before
-they are shuffled, and the counts of the largest groups are broadcast, so that their rows stay where
-they are. What is hot changes no result.
+they are shuffled, and the counts are joined back, where Spark splits a key of many rows. What is hot
+changes no result.
 
 Edge cases, for both: a null or empty text has no items, is never changed and yields empty output.
 A null id is a document like any other (for `rlz_dedup`: later than all others, so never a source).
@@ -111,7 +111,6 @@ def _windows(unit: str, width: int, gram: int) -> Callable[[Iterator[pa.RecordBa
                 chunk = Chunk(unit, data, off)
                 b, pick, at = _asked_blocks(batch, lo, hi, chunk, width, gram)
                 many, _ = _arrays(batch, "many", lo, hi)
-                hot, _ = _arrays(batch, "hot", lo, hi)
                 begin, end = b.lo[pick], b.hi[pick]
                 if unit == "byte":
                     left, _ = _arrays(batch, "left", lo, hi)
@@ -126,12 +125,12 @@ def _windows(unit: str, width: int, gram: int) -> Callable[[Iterator[pa.RecordBa
                     continue
                 s, size = spread(begin, end + 1), end - begin + 1
                 key = chunk.prefix.slices(s, s + width)
-                row, n, of = np.repeat(b.row[pick], size), np.repeat(many[at].astype(np.int64), size), np.repeat(hot[at], size)
+                row, n = np.repeat(b.row[pick], size), np.repeat(many[at].astype(np.int64), size)
                 _, first, inverse = np.unique(mix(key + row.astype(U) * U(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True)
                 total = np.bincount(inverse, weights=n).astype(np.int64)
                 single = np.bincount(inverse, weights=n == 1) > 0
                 ids = batch.column("id").slice(lo, hi - lo).take(pa.array(row[first]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(signed(key[first])), pa.array(total), pa.array(single), pa.array(of[first] > 0)], ["id", "window", "n", "single", "hot"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(signed(key[first])), pa.array(total), pa.array(single)], ["id", "window", "n", "single"])
 
     return trimmed(run)
 
@@ -155,7 +154,6 @@ def _stretches(width: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], It
                 if not len(pick):
                     continue
                 many, _ = _arrays(batch, "many", lo, hi)
-                hot, _ = _arrays(batch, "hot", lo, hi)
                 place = b.place[pick]
                 room = place - b.lo[pick], b.hi[pick] + width - place - gram
                 for side in (0, 1):
@@ -168,8 +166,8 @@ def _stretches(width: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], It
                         names[ok, k] = chunk.prefix.slices(*ends)
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(reach[some]))).astype(np.int32)), pa.array(signed(names[np.arange(len(far)) < reach[some][:, None]])))
                     ids = batch.column("id").slice(lo, hi - lo).take(pa.array(b.row[pick[some]]))
-                    columns = [ids, pa.array(signed(b.mark[pick[some]])), pa.array(many[at[some]].astype(np.int64)), pa.array(np.full(len(some), side, np.int32)), pa.array(signed(b.anchor[pick[some]])), lists, pa.array(hot[at[some]] > 0)]
-                    yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "n", "side", "rank", "names", "hot"])
+                    columns = [ids, pa.array(signed(b.mark[pick[some]])), pa.array(many[at[some]].astype(np.int64)), pa.array(np.full(len(some), side, np.int32)), pa.array(signed(b.anchor[pick[some]])), lists]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "n", "side", "rank", "names"])
 
     return trimmed(run)
 
@@ -253,21 +251,14 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 
 
 def _gathered(rows: DataFrame, keys: list[str], facts: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """rows and facts about all that share the keys, gathered before they meet their rows; and the facts alone.
-
-    Keys of more rows than a partition's mean, at most as many as partitions, are broadcast: their rows stay where they are.
-    """
-    known = cut(rows.groupBy(*keys).agg(*(f.alias(k) for k, f in facts.items()), F.count("*").alias("c")))
-    mean = (known.agg(F.sum("c")).first()[0] or 0) / int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    big, told = known.where(F.col("c") > mean), known.drop("c")
-    out = rows.join(F.broadcast(big.drop("c")), keys).unionByName(rows.join(F.broadcast(big.select(*keys)), keys, "left_anti").join(told, keys))
-    return out, told
+    """rows and facts about all that share the keys, and the facts alone: gathered first, so that rows of a hot key can be split as they meet them."""
+    known = cut(rows.groupBy(*keys).agg(*(f.alias(k) for k, f in facts.items())))
+    return rows.join(known, keys), known
 
 
-def _told(rows: DataFrame, hot: bool, keys: list[str], facts: dict[str, Column]) -> DataFrame:
-    """rows and facts about all that share the keys; those of rows marked hot are gathered first."""
-    out = (rows.where("not hot") if hot else rows).withColumns({k: f.over(Window.partitionBy(*keys)) for k, f in facts.items()})
-    return out.unionByName(_gathered(rows.where("hot"), keys, facts)[0].select(*out.columns)) if hot else out
+def _beside(rows: DataFrame, keys: list[str], facts: dict[str, Column]) -> DataFrame:
+    """rows and facts about all that share the keys, where no key is hot: one exchange."""
+    return rows.withColumns({k: f.over(Window.partitionBy(*keys)) for k, f in facts.items()})
 
 
 def hot_anchors(docs: DataFrame, unit: str, width: int, gram: int, sampled: int = SAMPLED, least: int = 16) -> DataFrame | None:
@@ -288,10 +279,9 @@ def _index(docs: DataFrame, unit: str, width: int, gram: int, hot: DataFrame | N
     ends = {"low": F.min("mark"), "high": F.max("mark")}
     block = ["anchor", "mark"], {"many": F.sum("n"), "first": F.min("id")}
     if hot is not None:
-        anchors, often = anchors.join(F.broadcast(hot), "anchor", "left_anti"), anchors.join(F.broadcast(hot), "anchor", "left_semi")
+        anchors, often = anchors.join(F.broadcast(hot), "anchor", "left_anti"), cut(anchors.join(F.broadcast(hot), "anchor", "left_semi"))
     # the exchange by anchor serves both groupings
-    rows = anchors.withColumns({k: f.over(Window.partitionBy("anchor")) for k, f in ends.items()})
-    rows = _told(rows, False, *block).withColumn("hot", F.lit(False))
+    rows = _beside(_beside(anchors, ["anchor"], ends), *block).withColumn("hot", F.lit(False))
     if hot is not None:
         found, blocks = _gathered(often, *block)
         sides = blocks.groupBy("anchor").agg(*(f.alias(k) for k, f in ends.items()))
@@ -310,6 +300,19 @@ def _lists(asked: DataFrame, *names: str) -> DataFrame:
     return asked.groupBy("id").agg(F.collect_list(F.struct(*names)).alias("asked")).select("id", *(F.col(f"asked.{c}").cast("array<long>").alias("marks" if c == "mark" else c) for c in names))
 
 
+def _looked_up(docs: DataFrame, asked: DataFrame, names: tuple[str, ...], run: Callable, facts: dict[str, Column], hot: bool) -> DataFrame:
+    """The windows that asked blocks leave in question, and facts about all equal ones. Equal windows share an anchor, so both are hot or none."""
+
+    def windows(some: DataFrame) -> DataFrame:
+        lists = _lists(some, *names)
+        kind = docs.schema["id"].dataType.simpleString()
+        return docs.join(lists, _same(docs, lists)).drop(lists["id"]).mapInArrow(run, f"id {kind}, window long, n long, single boolean")
+
+    if not hot:
+        return _beside(windows(asked), ["window"], facts)
+    return _beside(windows(asked.where("hot = 0")), ["window"], facts).unionByName(_gathered(windows(asked.where("hot = 1")), ["window"], facts)[0])
+
+
 def _result(docs: DataFrame, flags: DataFrame, run: Callable, extra: str = "") -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
     held = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name.startswith("held_"))
@@ -342,10 +345,7 @@ def rlz_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     hot = hot_anchors(docs, "word", window, gram, sampled, least)
     rows = _index(docs, "word", window, gram, hot)
     later = F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("first")))
-    asked = _lists(_asked(rows), "mark", "many", "hot")
-    text = docs.join(asked, _same(docs, asked)).drop(asked["id"])
-    found = text.mapInArrow(_windows("word", window, gram), "id long, window long, n long, single boolean, hot boolean")
-    part = _told(found, hot is not None, ["window"], {"first": F.min("id")}).where(later)
+    part = _looked_up(docs, _asked(rows), ("mark", "many"), _windows("word", window, gram), {"first": F.min("id")}, hot is not None).where(later)
     none = F.lit(None).cast("long")
     flags = rows.where(later).select("id", "mark", none.alias("window"), F.col("first").alias("source")).union(part.select("id", none, "window", "first"))
     out = _result(docs, flags, _final("word", window, gram), ", factors array<struct<begin:long,end:long,source:long>>")
@@ -355,14 +355,15 @@ def rlz_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 def rounds(positions: DataFrame, far: list[int], hot: bool = False) -> list[DataFrame]:
     """Prefix doubling from ranked positions: each round's rows with their new rank and how many positions share it.
 
-    positions: id, mark, n (copies), side, rank, names (of the stretches that each round adds), hot.
+    positions: id, mark, n (copies), side, rank, names (of the stretches that each round adds).
     In round j those whose side reaches far[j] are sorted by (rank, name of the next stretch). The
     smallest position of each such pair is the pair's rank. Positions of a unique rank go no further.
     """
     out = []
     for j in range(len(far)):
         here = positions.where(F.size("names") > j).withColumns({"old": F.col("rank"), "name": F.element_at("names", j + 1)}).drop("rank")
-        ranked = _told(here, hot, ["side", "old", "name"], {"all": F.sum("n"), "rank": F.min(F.xxhash64("id", "mark"))})
+        by = ["side", "old", "name"], {"all": F.sum("n"), "rank": F.min(F.xxhash64("id", "mark"))}
+        ranked = cut(_gathered(here, *by)[0]) if hot else _beside(here, *by)
         out.append(ranked)
         positions = ranked.where("all > 1").drop("old", "name", "all")
     return out
@@ -391,9 +392,9 @@ def doubling_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot = hot_anchors(slim, "byte", window, gram, sampled, least)
     rows = _index(slim, "byte", window, gram, hot)
     opened = _asked(rows)
-    asked = _lists(opened, "mark", "many", "hot")
+    asked = _lists(opened, "mark", "many")
     text = docs.join(asked, _same(docs, asked)).drop(asked["id"])
-    positions = text.mapInArrow(_stretches(window, gram), f"id {kind}, mark long, n long, side int, rank long, names array<long>, hot boolean")
+    positions = text.mapInArrow(_stretches(window, gram), f"id {kind}, mark long, n long, side int, rank long, names array<long>")
     far, rest, none = levels(window, gram), window - gram, F.lit(None).cast("long")
     # how far windows can repeat to the left and right of each opened block's anchor
     reach = opened.select("id", "mark", "many", "hot", F.lit(rest).alias("left"), F.lit(rest).alias("right"))
@@ -401,10 +402,8 @@ def doubling_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ends = [F.when(F.col("side") == side, to - 1).alias(name) for side, name in enumerate(("left", "right"))]
         reach = reach.unionByName(ranked.where("all = 1").select("id", "mark", none.alias("many"), none.alias("hot"), *ends))
     reach = reach.groupBy("id", "mark").agg(F.max("many").alias("many"), F.max("hot").alias("hot"), F.min("left").alias("left"), F.min("right").alias("right"))
-    asked = _lists(reach.where(F.col("left") + F.col("right") >= rest), "mark", "many", "hot", "left", "right")
-    text = docs.join(asked, _same(docs, asked)).drop(asked["id"])
-    found = text.mapInArrow(_windows("byte", window, gram), f"id {kind}, window long, n long, single boolean, hot boolean")
-    part = _told(found, hot is not None, ["window"], {"all": F.sum("n")}).where(F.col("single") & (F.col("all") > 1))
+    reach = reach.where(F.col("left") + F.col("right") >= rest)
+    part = _looked_up(docs, reach, ("mark", "many", "left", "right"), _windows("byte", window, gram), {"all": F.sum("n")}, hot is not None).where(F.col("single") & (F.col("all") > 1))
     nobody = F.lit(0).cast("long")
     flags = rows.where("many > 1").select("id", "mark", none.alias("window"), nobody.alias("source")).union(part.select("id", none, "window", nobody))
     out = _result(docs, flags, _final("byte", window, gram, characters))

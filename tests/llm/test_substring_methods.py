@@ -59,8 +59,8 @@ def test_ranks_of_each_round(spark):
     texts = ["a" * 8 + tail for tail in ("b" * 32, "b" * 32, "b" * 31 + "c", "b" * 9 + "d" * 23, "b" * 3 + "e" * 29, "b" * 16 + "f" * 16, "b" * 16 + "f" * 16)]
     spans = [(a, b) for a, b in zip([0, *far], far)]
     name = lambda t: [hash(t[gram + a : gram + b]) % 2**40 for a, b in spans]
-    rows = [(i, i, 1, 1, 77, name(t), False) for i, t in enumerate(texts)]
-    positions = spark.createDataFrame(rows, "id long, mark long, n long, side int, rank long, names array<long>, hot boolean")
+    rows = [(i, i, 1, 1, 77, name(t)) for i, t in enumerate(texts)]
+    positions = spark.createDataFrame(rows, "id long, mark long, n long, side int, rank long, names array<long>")
     want = brute_ranks([t.encode() for t in texts], [0] * len(texts), far, gram)
     alive = set(range(len(texts)))
     for ranked, counts in zip(rounds(positions, far), want, strict=True):
