@@ -34,7 +34,7 @@ from promptlens.llm.arrowtext import U, mix
 from promptlens.llm.graph import components, cut
 
 #: Vectors of a leaf; trees; margin in deviations of a linked pair's difference; sample of a node; levels of a round.
-LEAF, TREES, MARGIN, SAMPLE, LEVELS = 32, 3, 0.75, 1_024, 6
+LEAF, TREES, MARGIN, SAMPLE, LEVELS = 48, 3, 0.5, 1_024, 6
 #: Vectors of a block; the share of vectors on both sides from which a node is dense; bytes of thresholds to broadcast.
 BLOCK, DENSE, BROADCAST = 1_024, 0.5, 32 << 20
 #: In place of a threshold: the node is a leaf, to be split on if it is full; the node is a dense leaf.
@@ -208,13 +208,15 @@ def _compare(least: float):
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, leaf: int = LEAF, trees: int = TREES, margin_sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row; links join equal labels with cosine >= least."""
     spark = df.sparkSession
-    base = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("raw"), F.col(f"`{label_col}`").alias("label"))
+    # floats travel as they are; they are compared as doubles
+    kind = "float" if df.select(F.col(f"`{vector_col}`")).schema[0].dataType.simpleString() == "array<float>" else "double"
+    base = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast(f"array<{kind}>").alias("raw"), F.col(f"`{label_col}`").alias("label"))
     good = F.coalesce(
         F.col("label").isNotNull() & (F.size("raw") > 0) & F.forall("raw", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & (F.array_max(F.transform("raw", F.abs)) > 0),
         F.lit(False),
     )
     # adding zero makes both zeros equal
-    rows = base.withColumn("vector", F.when(good, F.transform("raw", lambda x: x + F.lit(0.0))))
+    rows = base.withColumn("vector", F.when(good, F.transform("raw", lambda x: x + F.lit(0.0).cast(kind))))
     key = F.struct("label", "vector")
     # the fingerprint names a node; two of its kind keep apart what one would not
     named = rows.withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(1), key))).withColumn("other", F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(2), F.col("vector"), F.col("label"))))
