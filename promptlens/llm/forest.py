@@ -35,8 +35,8 @@ from promptlens.llm.graph import components, cut
 
 #: Vectors of a leaf; trees; margin in deviations of a linked pair's difference; sample of a node; levels of a round.
 LEAF, TREES, MARGIN, SAMPLE, LEVELS = 48, 3, 0.5, 1_024, 6
-#: Vectors of a block; the share of vectors on both sides from which a node is dense; bytes of thresholds to broadcast.
-BLOCK, DENSE, BROADCAST = 1_024, 0.5, 32 << 20
+#: Vectors of a block; the share of vectors on both sides from which a split saves no comparisons; bytes of thresholds to broadcast.
+BLOCK, DENSE, BROADCAST = 1_024, 0.3, 32 << 20
 #: In place of a threshold: the node is a leaf, to be split on if it is full; the node is a dense leaf.
 STOP, WHOLE = float("nan"), float("inf")
 
