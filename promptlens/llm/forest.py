@@ -222,7 +222,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     named = rows.withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(1), key))).withColumn("other", F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(2), F.col("vector"), F.col("label"))))
     nodes = cut(named.where("node is not null").groupBy("node", "other").agg(F.count("*").alias("many"), F.min("id").alias("first"), F.first("label").alias("label"), F.first("vector").alias("vector")))
     leaves = cut(grow(nodes, least, leaf, trees, margin_sample))
-    sizes = leaves.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that Spark can split the rows of a large leaf as they meet its size
+    sizes = cut(leaves.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
     held = leaves.join(sizes, "g").groupBy("node").agg(F.array_sort(F.collect_set("g")).alias("leaves"), F.collect_set(F.struct("g", "n")).alias("at"))
     rows = nodes.select("node", "many", "vector").join(held, "node").select("node", "many", "vector", "leaves", F.explode("at").alias("at"))
     rows = rows.select("node", "many", "vector", "leaves", "at.g", F.ceil(F.col("at.n") / BLOCK).cast("int").alias("nb")).withColumn("b", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("nb")).cast("int"))

@@ -36,11 +36,12 @@ from promptlens.llm.arrowtext import U, frugal, lowered, mix, spans, trimmed, wo
 from promptlens.llm.graph import cut
 
 BEGIN, END = U(0x0101010101010100 & (2**56 - 1)), U(0x0202020202020200 & (2**56 - 1))
-NOBODY = U(2**64 - 1)
+#: In place of a successor: what a hot context holds in all partitions; the discounts.
+EVERYWHERE, DISCOUNTS = -1, -2
 #: Counts up to this are discounted.
 CUT = 5
-#: Bytes of text in a chunk.
-CHUNK = 8 << 20
+#: Bytes of text in a chunk; training tokens for each partition of the contexts, from which their number follows.
+CHUNK, TOKENS = 8 << 20, 4_000_000
 _X = "p int, b long, heads binary, sizes binary, tails binary, times binary, rows binary, train binary, ids binary"
 
 
@@ -118,7 +119,7 @@ def _home(head: np.ndarray, partitions: int) -> np.ndarray:
     return ((head >> U(24)) * U(partitions)) >> U(32)
 
 
-def _blobs(head: np.ndarray, tail: np.ndarray, rows: np.ndarray, p: np.ndarray | None, partitions: int) -> Iterator[tuple[int, dict[str, bytes], bool]]:
+def _blobs(head: np.ndarray, tail: np.ndarray, rows: np.ndarray, p: np.ndarray | None, partitions: int) -> Iterator[tuple[int, dict[str, bytes]]]:
     """Tokens sorted by partition, context and successor, as columns of bytes; without p, a context's own partition."""
     order = np.lexsort((tail, head) if p is None else (tail, head, p))
     head, tail, rows = head[order], tail[order], rows[order].astype(np.uint16)
@@ -134,9 +135,9 @@ def _blobs(head: np.ndarray, tail: np.ndarray, rows: np.ndarray, p: np.ndarray |
     heads, tails = head[head_at], tail[at]
     cuts = np.searchsorted(p[head_at], np.arange(partitions + 1).astype(U))
     pair_cut, token_cut = np.append(pair_of, len(at))[cuts], np.append(head_at, len(head))[cuts]
-    for i in range(partitions):
+    for i in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
         h0, h1, p0, p1, t0, t1 = cuts[i], cuts[i + 1], pair_cut[i], pair_cut[i + 1], token_cut[i], token_cut[i + 1]
-        yield i, {"heads": _squeezed(heads[h0:h1]), "sizes": _squeezed(size[h0:h1]), "tails": _seven(tails[p0:p1]), "times": _squeezed(times[p0:p1]), "rows": _squeezed(rows[t0:t1])}, h1 > h0
+        yield i, {"heads": _squeezed(heads[h0:h1]), "sizes": _squeezed(size[h0:h1]), "tails": _seven(tails[p0:p1]), "times": _squeezed(times[p0:p1]), "rows": _squeezed(rows[t0:t1])}
 
 
 def _pack(partitions: int, hot: np.ndarray):
@@ -161,22 +162,20 @@ def _pack(partitions: int, hot: np.ndarray):
                 head[inner] = word
                 b = (part << 32) + serial
                 serial += 1
-                home = b % partitions
                 out = {k: [] for k in ("p", "b", "heads", "sizes", "tails", "times", "rows", "train", "ids")}
                 flags = np.packbits(train).tobytes() + len(train).to_bytes(4, "little")
-                texts = json.dumps([ids[lo:hi], n.tolist()]).encode()
+                texts = json.dumps([ids[lo:hi], n.tolist()]).encode()  # with the first blob; every row has an end, so there is one
                 spread = np.isin(head, hot) if len(hot) else np.zeros(len(head), bool)
                 cold = ~spread
                 sets = [(head[cold], tail[cold], rows[cold], None)]
                 if spread.any():
                     h, t = head[spread], tail[spread]
                     sets.append((h, t, rows[spread], ((mix(h + mix(t)) >> U(32)) * U(partitions)) >> U(32)))
-                for k, (h, t, r, p) in enumerate(sets):
-                    for i, columns, some in _blobs(h, t, r, p, partitions):
-                        mine = k == 0 and i == home
-                        if some or mine:
-                            for name, v in (columns | {"p": i, "b": b, "train": flags, "ids": texts if mine else None}).items():
-                                out[name].append(v)
+                for h, t, r, p in sets:
+                    for i, columns in _blobs(h, t, r, p, partitions):
+                        for name, v in (columns | {"p": i, "b": b, "train": flags, "ids": texts}).items():
+                            out[name].append(v)
+                        texts = None
                 kinds = {"p": pa.int32(), "b": pa.int64()}
                 yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()], list(out))
 
@@ -233,7 +232,11 @@ def _bigrams(least: int):
 
 
 def _score(uni: list[float], most_: float, hot: np.ndarray, hot_count: np.ndarray, total: int, distinct: int, unseen: float):
-    """Sums over one partition's tokens for each row of each chunk."""
+    """Sums over one partition's tokens for each row of each chunk.
+
+    grams has the partition's bigrams (h, w) with their count and their successor's; besides, without a
+    count, the bigrams' discounts, and what hot contexts hold in all partitions: probability and counts.
+    """
 
     def low(c: np.ndarray) -> np.ndarray:
         """Unigram probabilities by count."""
@@ -244,12 +247,16 @@ def _score(uni: list[float], most_: float, hot: np.ndarray, hot_count: np.ndarra
         if not table.num_rows:
             return pa.table({k: pa.array([], t) for k, t in (("b", pa.int64()), ("sums", pa.binary()), ("ids", pa.binary()))})
         part = _Part(table)
+        own = grams.column("c").is_valid().combine_chunks().to_numpy(zero_copy_only=False)
+        facts = grams.filter(pa.array(~own)).select(["h", "w", "extra"]).to_pylist()
+        grams = grams.filter(pa.array(own))
+        factor = np.array([0.0, *next((x["extra"] for x in facts if x["w"] == DISCOUNTS), [1.0] * CUT), 1.0])
+        facts = [x for x in facts if x["w"] != DISCOUNTS]
+        hot_h = np.array([x["h"] for x in facts], np.int64).view(U)
+        hot_mass, hot_held = (np.array([x["extra"][k] for x in facts]) for k in (0, 1))
         h, w = (grams.column(k).to_numpy().view(U) for k in ("h", "w"))
-        pw, held = (grams.column(k).to_numpy() for k in ("pw", "held"))
-        # rows without a successor: what hot contexts hold in all partitions
-        whole = w == NOBODY
-        hot_h, hot_mass, hot_held = h[whole], pw[whole], held[whole]
-        h, w, pw, held = h[~whole], w[~whole], pw[~whole], held[~whole]
+        c = grams.column("c").to_numpy()
+        pw, held = low(grams.column("cw").to_numpy()), factor[np.minimum(c, CUT + 1)] * c
         # contexts
         order = np.argsort(part.head, kind="stable")
         sorted_ = part.head[order]
@@ -335,10 +342,10 @@ def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    partitions = partitions or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     uni = cut(docs.mapInArrow(trimmed(_unigrams), "w long, c long").groupBy("w").agg(F.sum("c").alias("c")))
     few = {r["r"]: r for r in uni.groupBy(F.least("c", F.lit(CUT + 2)).alias("r")).agg(F.count("*").alias("n"), F.sum("c").alias("all")).collect()}
     total, distinct = sum(r["all"] for r in few.values()), sum(r["n"] for r in few.values())
+    partitions = partitions or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TOKENS))
     ends = uni.where(F.col("w") == int(END)).first()
     ends = ends["c"] if ends else 0
     # the sum of counts over CUT + 1 is undiscounted
@@ -366,15 +373,17 @@ def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     line = stats.agg(*n).select(F.array(*(f"n{r}" for r in range(1, CUT + 2))).alias("n"))
     line = line.select(_discount_column(F.col("n")).alias("d"))
     grams = by_part.applyInArrow(_bigrams(least), "p int, h long, w long, c long")
-    # a bigram's unigram probability and discounted count; six numbers are broadcast, not sent with each row
-    star = F.element_at(F.concat("d", F.array(F.lit(1.0))), F.least("c", F.lit(CUT + 1)).cast("int")) * F.col("c")
-    known = uni.select("w", low.alias("pw"))
-    table = grams.crossJoin(F.broadcast(line)).select("p", "h", "w", star.alias("held")).join(known, "w").select("p", "h", "w", "pw", "held")
+    # counts travel, not probabilities: they are small numbers; the discounts go to each partition once
+    none, every = F.lit(None), F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))).alias("p")
+    count = F.lit(None).cast("long")
+    table = grams.join(uni.select("w", F.col("c").alias("cw")), "w").select("p", "h", "w", "c", "cw", none.cast("array<double>").alias("extra"))
+    table = table.unionByName(line.select(every, F.lit(0).cast("long").alias("h"), F.lit(DISCOUNTS).cast("long").alias("w"), count.alias("c"), count.alias("cw"), F.col("d").alias("extra")))
     if often:
+        star = F.element_at(F.concat("d", F.array(F.lit(1.0))), F.least("c", F.lit(CUT + 1)).cast("int")) * F.col("c")
         some = spark.createDataFrame([(h,) for h in often], "h long")
-        held = grams.join(F.broadcast(some), "h").crossJoin(F.broadcast(line)).select("h", "w", star.alias("held")).join(known, "w").groupBy("h").agg(F.sum("pw").alias("pw"), F.sum("held").alias("held"))
-        everywhere = held.select(F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))).alias("p"), "h", F.lit(-1).cast("long").alias("w"), "pw", "held")
-        table = table.unionByName(everywhere)
+        held = grams.join(F.broadcast(some), "h").crossJoin(F.broadcast(line)).select("h", "w", star.alias("held")).join(uni.select("w", low.alias("pw")), "w")
+        held = held.groupBy("h").agg(F.array(F.sum("pw"), F.sum("held")).alias("extra"))
+        table = table.unionByName(held.select(every, "h", F.lit(EVERYWHERE).cast("long").alias("w"), count.alias("c"), count.alias("cw"), "extra"))
     sums = by_part.cogroup(table.groupBy("p")).applyInArrow(_score(d1, shrink, hot.view(U), hot_count, total, distinct, unseen), "b long, sums binary, ids binary")
     out = sums.groupBy("b").applyInArrow(_gather(total, distinct, ends, float(np.log10(p_end))), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
