@@ -9,8 +9,8 @@ as well; with least=1, as op6 has it, every bigram is stored.
 
 Distribution. Words travel as 56-bit fingerprints. Each chunk of texts is packed into one blob for
 each partition of the contexts: contexts, their successors, and the rows where each pair stands. The
-blobs are shuffled once and read by all branches of one plan: count statistics, the table of bigrams,
-and the scoring, which meets the table's partition. Contexts of more tokens than a partition's mean
+blobs are shuffled once and read by all branches of one plan: count statistics, the words that end
+bigrams, and the scoring, which counts its partition's bigrams and meets its words' unigram counts. Contexts of more tokens than a partition's mean
 are dealt over all partitions by their successors; what they hold in all is added to each. A context is never a row a token: equal
 pairs of a chunk are one entry. Each branch holds one partition at a time; `partitions` grows with
 the corpus. Sums go back to the chunk, not to the driver.
@@ -36,8 +36,8 @@ from promptlens.llm.arrowtext import U, frugal, lowered, mix, spans, trimmed, wo
 from promptlens.llm.graph import cut
 
 BEGIN, END = U(0x0101010101010100 & (2**56 - 1)), U(0x0202020202020200 & (2**56 - 1))
-#: In place of a successor: what a hot context holds in all partitions; the discounts.
-EVERYWHERE, DISCOUNTS = -1, -2
+#: In place of a word: the discounts.
+DISCOUNTS = -1
 #: Counts up to this are discounted.
 CUT = 5
 #: Bytes of text in a chunk; training tokens for each partition of the contexts, from which their number follows.
@@ -204,37 +204,51 @@ class _Part:
         #: Occurrences of each entry in training rows.
         self.seen = np.add.reduceat(train.astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """One entry of each distinct pair, and its training count."""
+    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One entry of each distinct pair, its training count, and the pair of each entry."""
         order = np.argsort(self.key)
         key = self.key[order]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
-        at = np.flatnonzero(new)
-        return order[at], np.add.reduceat(self.seen[order], at) if len(at) else np.zeros(0, np.int64)
+        at, pair = np.flatnonzero(new), np.empty(len(key), np.int64)
+        pair[order] = np.cumsum(new) - 1
+        return order[at], np.add.reduceat(self.seen[order], at) if len(at) else np.zeros(0, np.int64), pair
 
 
 def _statistics(table: pa.Table) -> pa.Table:
-    _, n = _Part(table).counts()
+    _, n, _ = _Part(table).counts()
     n = np.bincount(np.minimum(n, CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
     return pa.table({"r": pa.array(np.arange(1, CUT + 2)), "n": pa.array(n)})
 
 
-def _bigrams(least: int):
+def _successors(least: int):
+    """The words that end a stored bigram of a partition, each once: their unigram counts come back to it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part = _Part(table)
+        at, n, _ = part.counts()
+        w = np.unique(part.tail[at[n >= least]])
+        return pa.table({"p": pa.array(np.full(len(w), table.column("p")[0].as_py(), np.int32)), "w": pa.array(w.view(np.int64))})
+
+    return run
+
+
+def _hot_bigrams(least: int, hot: np.ndarray):
+    """The stored bigrams of hot contexts, which stand in all partitions."""
+
     def run(table: pa.Table) -> pa.Table:
         part = _Part(table)
-        at, n = part.counts()
-        at, n = at[n >= least], n[n >= least]
-        p = np.full(len(at), table.column("p")[0].as_py())
-        return pa.table({"p": pa.array(p.astype(np.int32)), "h": pa.array(part.head[at].view(np.int64)), "w": pa.array(part.tail[at].view(np.int64)), "c": pa.array(n)})
+        at, n, _ = part.counts()
+        some = (n >= least) & np.isin(part.head[at], hot)
+        return pa.table({"h": pa.array(part.head[at[some]].view(np.int64)), "w": pa.array(part.tail[at[some]].view(np.int64)), "c": pa.array(n[some])})
 
     return run
 
 
-def _score(uni: list[float], most_: float, hot: np.ndarray, hot_count: np.ndarray, total: int, distinct: int, unseen: float):
+def _score(uni: list[float], most_: float, hot: np.ndarray, hot_count: np.ndarray, total: int, distinct: int, unseen: float, least: int):
     """Sums over one partition's tokens for each row of each chunk.
 
-    grams has the partition's bigrams (h, w) with their count and their successor's; besides, without a
+    words_ has the unigram counts of the words that end the partition's bigrams; besides, without a
     count, the bigrams' discounts, and what hot contexts hold in all partitions: probability and counts.
     """
 
@@ -243,20 +257,24 @@ def _score(uni: list[float], most_: float, hot: np.ndarray, hot_count: np.ndarra
         d = np.array([0.0, *uni, most_])[np.minimum(c, CUT + 1)]
         return np.where(c > 0, d * c / max(total, 1), unseen)
 
-    def run(table: pa.Table, grams: pa.Table) -> pa.Table:
+    def run(table: pa.Table, words_: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({k: pa.array([], t) for k, t in (("b", pa.int64()), ("sums", pa.binary()), ("ids", pa.binary()))})
         part = _Part(table)
-        own = grams.column("c").is_valid().combine_chunks().to_numpy(zero_copy_only=False)
-        facts = grams.filter(pa.array(~own)).select(["h", "w", "extra"]).to_pylist()
-        grams = grams.filter(pa.array(own))
+        own = words_.column("c").is_valid().combine_chunks().to_numpy(zero_copy_only=False)
+        facts = words_.filter(pa.array(~own)).to_pylist()
+        words_ = words_.filter(pa.array(own))
         factor = np.array([0.0, *next((x["extra"] for x in facts if x["w"] == DISCOUNTS), [1.0] * CUT), 1.0])
         facts = [x for x in facts if x["w"] != DISCOUNTS]
-        hot_h = np.array([x["h"] for x in facts], np.int64).view(U)
+        hot_h = np.array([x["w"] for x in facts], np.int64).view(U)
         hot_mass, hot_held = (np.array([x["extra"][k] for x in facts]) for k in (0, 1))
-        h, w = (grams.column(k).to_numpy().view(U) for k in ("h", "w"))
-        c = grams.column("c").to_numpy()
-        pw, held = low(grams.column("cw").to_numpy()), factor[np.minimum(c, CUT + 1)] * c
+        at, c, pair = part.counts()
+        stored = c >= least
+        h, w, c = part.head[at[stored]], part.tail[at[stored]], c[stored]
+        word = words_.column("w").to_numpy().view(U)
+        order = np.argsort(word)
+        cw = words_.column("c").to_numpy()[order[np.searchsorted(word[order], w)]] if len(w) else np.zeros(0, np.int64)
+        pw, held = low(cw), factor[np.minimum(c, CUT + 1)] * c
         # contexts
         order = np.argsort(part.head, kind="stable")
         sorted_ = part.head[order]
@@ -288,16 +306,13 @@ def _score(uni: list[float], most_: float, hot: np.ndarray, hot_count: np.ndarra
         alpha = np.log10(np.maximum((1 - kept * scale) / np.maximum(1 - mass, 1e-12), 1e-300))
         alpha[kept == 0] = 0.0
         gain = np.log10(star * scale[g]) - np.log10(pw) - alpha[g] if len(g) else np.zeros(0)
-        known = np.argsort(keys := mix(h + mix(w)))
-        place = np.searchsorted(keys[known], part.key)
-        place[place == len(keys)] = 0
-        hit = keys[known][place] == part.key if len(keys) else np.zeros(len(part.key), bool)
+        # each entry's gain, if its pair is stored
+        of_pair = np.zeros(len(stored))
+        of_pair[stored] = gain
         real = heads != BEGIN
         base = np.where(real, np.log10((count + 0.1) / (total + 0.1 * (distinct + 1))), 0.0)
         own = np.where(real, np.log10(low(count)), 0.0) + alpha
-        entry = own[of]
-        if len(keys):
-            entry = entry + np.where(hit, gain[known][place], 0.0)
+        entry = own[of] + (of_pair[pair] if len(pair) else 0.0)
         n = int(part.start[-1])
         sums = []
         for each, kind in ((base[of], np.float64), (entry, np.float64), ((real & (count > 0))[of].astype(np.float64), np.float32)):
@@ -372,19 +387,16 @@ def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     n = [F.coalesce(F.max(F.when(F.col("r") == r, F.col("n"))), F.lit(0)).alias(f"n{r}") for r in range(1, CUT + 2)]
     line = stats.agg(*n).select(F.array(*(f"n{r}" for r in range(1, CUT + 2))).alias("n"))
     line = line.select(_discount_column(F.col("n")).alias("d"))
-    grams = by_part.applyInArrow(_bigrams(least), "p int, h long, w long, c long")
     # counts travel, not probabilities: they are small numbers; the discounts go to each partition once
-    none, every = F.lit(None), F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))).alias("p")
-    count = F.lit(None).cast("long")
-    table = grams.join(uni.select("w", F.col("c").alias("cw")), "w").select("p", "h", "w", "c", "cw", none.cast("array<double>").alias("extra"))
-    table = table.unionByName(line.select(every, F.lit(0).cast("long").alias("h"), F.lit(DISCOUNTS).cast("long").alias("w"), count.alias("c"), count.alias("cw"), F.col("d").alias("extra")))
+    every, none = F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))).alias("p"), F.lit(None).cast("long").alias("c")
+    table = by_part.applyInArrow(_successors(least), "p int, w long").join(uni, "w").select("p", "w", "c", F.lit(None).cast("array<double>").alias("extra"))
+    table = table.unionByName(line.select(every, F.lit(DISCOUNTS).cast("long").alias("w"), none, F.col("d").alias("extra")))
     if often:
         star = F.element_at(F.concat("d", F.array(F.lit(1.0))), F.least("c", F.lit(CUT + 1)).cast("int")) * F.col("c")
-        some = spark.createDataFrame([(h,) for h in often], "h long")
-        held = grams.join(F.broadcast(some), "h").crossJoin(F.broadcast(line)).select("h", "w", star.alias("held")).join(uni.select("w", low.alias("pw")), "w")
+        held = by_part.applyInArrow(_hot_bigrams(least, hot.view(U)), "h long, w long, c long").crossJoin(F.broadcast(line)).select("h", "w", star.alias("held")).join(uni.select("w", low.alias("pw")), "w")
         held = held.groupBy("h").agg(F.array(F.sum("pw"), F.sum("held")).alias("extra"))
-        table = table.unionByName(held.select(every, "h", F.lit(EVERYWHERE).cast("long").alias("w"), count.alias("c"), count.alias("cw"), "extra"))
-    sums = by_part.cogroup(table.groupBy("p")).applyInArrow(_score(d1, shrink, hot.view(U), hot_count, total, distinct, unseen), "b long, sums binary, ids binary")
+        table = table.unionByName(held.select(every, F.col("h").alias("w"), none, "extra"))
+    sums = by_part.cogroup(table.groupBy("p")).applyInArrow(_score(d1, shrink, hot.view(U), hot_count, total, distinct, unseen, least), "b long, sums binary, ids binary")
     out = sums.groupBy("b").applyInArrow(_gather(total, distinct, ends, float(np.log10(p_end))), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
 
