@@ -36,12 +36,10 @@ from promptlens.llm.arrowtext import U, frugal, lowered, mix, spans, trimmed, wo
 from promptlens.llm.graph import cut
 
 BEGIN, END = U(0x0101010101010100 & (2**56 - 1)), U(0x0202020202020200 & (2**56 - 1))
-#: In place of a word: the discounts.
-DISCOUNTS = -1
 #: Counts up to this are discounted.
 CUT = 5
 #: Bytes of text in a chunk; training tokens for each partition of the contexts, from which their number follows.
-CHUNK, TOKENS = 8 << 20, 4_000_000
+CHUNK, TOKENS = 8 << 20, 1_000_000
 _X = "p int, b long, heads binary, sizes binary, tails binary, times binary, rows binary, train binary, ids binary"
 
 
@@ -264,10 +262,13 @@ def _score(uni: list[float], most_: float, hot: np.ndarray, hot_count: np.ndarra
         own = words_.column("c").is_valid().combine_chunks().to_numpy(zero_copy_only=False)
         facts = words_.filter(pa.array(~own)).to_pylist()
         words_ = words_.filter(pa.array(own))
-        factor = np.array([0.0, *next((x["extra"] for x in facts if x["w"] == DISCOUNTS), [1.0] * CUT), 1.0])
-        facts = [x for x in facts if x["w"] != DISCOUNTS]
+        factor = np.ones(CUT + 2)
+        for x in facts:
+            if x["w"] < 0:
+                factor[-x["w"]] = x["mass"]
+        facts = [x for x in facts if x["w"] >= 0]
         hot_h = np.array([x["w"] for x in facts], np.int64).view(U)
-        hot_mass, hot_held = (np.array([x["extra"][k] for x in facts]) for k in (0, 1))
+        hot_mass, hot_held = (np.array([x[k] for x in facts], float) for k in ("mass", "held"))
         at, c, pair = part.counts()
         stored = c >= least
         h, w, c = part.head[at[stored]], part.tail[at[stored]], c[stored]
@@ -388,14 +389,16 @@ def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     line = stats.agg(*n).select(F.array(*(f"n{r}" for r in range(1, CUT + 2))).alias("n"))
     line = line.select(_discount_column(F.col("n")).alias("d"))
     # counts travel, not probabilities: they are small numbers; the discounts go to each partition once
-    every, none = F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))).alias("p"), F.lit(None).cast("long").alias("c")
-    table = by_part.applyInArrow(_successors(least), "p int, w long").join(uni, "w").select("p", "w", "c", F.lit(None).cast("array<double>").alias("extra"))
-    table = table.unionByName(line.select(every, F.lit(DISCOUNTS).cast("long").alias("w"), none, F.col("d").alias("extra")))
+    every, none, number = F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))).alias("p"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("double")
+    table = by_part.applyInArrow(_successors(least), "p int, w long").join(uni, "w").select("p", "w", "c", number.alias("mass"), number.alias("held"))
+    # in place of a word: -r, with the factor of counts r
+    factors = line.select(F.posexplode("d").alias("r", "mass")).select(every, (-F.col("r") - 1).cast("long").alias("w"), none, "mass", number.alias("held"))
+    table = table.unionByName(factors)
     if often:
         star = F.element_at(F.concat("d", F.array(F.lit(1.0))), F.least("c", F.lit(CUT + 1)).cast("int")) * F.col("c")
         held = by_part.applyInArrow(_hot_bigrams(least, hot.view(U)), "h long, w long, c long").crossJoin(F.broadcast(line)).select("h", "w", star.alias("held")).join(uni.select("w", low.alias("pw")), "w")
-        held = held.groupBy("h").agg(F.array(F.sum("pw"), F.sum("held")).alias("extra"))
-        table = table.unionByName(held.select(every, F.col("h").alias("w"), none, "extra"))
+        held = held.groupBy("h").agg(F.sum("pw").alias("mass"), F.sum("held").alias("held"))
+        table = table.unionByName(held.select(every, F.col("h").alias("w"), none, "mass", "held"))
     sums = by_part.cogroup(table.groupBy("p")).applyInArrow(_score(d1, shrink, hot.view(U), hot_count, total, distinct, unseen, least), "b long, sums binary, ids binary")
     out = sums.groupBy("b").applyInArrow(_gather(total, distinct, ends, float(np.log10(p_end))), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
