@@ -224,7 +224,7 @@ ORACLE: dict[str, str] = {
     "ag16_summary_by_repetition": _summary("v_generations", _G, "model_key, repetition"),
     "ag17_finish_counts": f"WITH {_G} SELECT model_key, status, finish_reason, count(*) AS n FROM v_generations GROUP BY ALL",
     "ag18_inconsistent_prompts": f"WITH {_R}, c AS (SELECT prompt_id, repetition, " + ", ".join(f"count(DISTINCT {a}) + max(({a} IS NULL)::INT) AS n_{a}" for a in ("domain", "category", "subject", "prompt")) + " FROM v_repeated GROUP BY ALL) SELECT * FROM c WHERE n_domain <> 1 OR n_category <> 1 OR n_subject <> 1 OR n_prompt <> 1",
-    "ag19_jn4_jn5_paired_grid": f"WITH {_R}, s AS (SELECT * FROM v_repeated WHERE ord % 11 <> 3), c AS (SELECT prompt_id, repetition, model_key, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT DISTINCT prompt_id, repetition FROM s) SELECT k.prompt_id, k.repetition, m.model_key, coalesce(n, 0) AS n_records FROM k CROSS JOIN (SELECT unnest(['base', 'post', 'other']) AS model_key) m LEFT JOIN c ON c.prompt_id = k.prompt_id AND c.repetition = k.repetition AND c.model_key = m.model_key",
+    "ag19_jn4_jn5_paired_grid": f"WITH {_R}, s AS (SELECT * FROM v_repeated), c AS (SELECT prompt_id, repetition, model_key, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT DISTINCT prompt_id, repetition FROM s) SELECT k.prompt_id, k.repetition, m.model_key, coalesce(n, 0) AS n_records FROM k CROSS JOIN (SELECT unnest(['base', 'post', 'other']) AS model_key) m LEFT JOIN c ON c.prompt_id = k.prompt_id AND c.repetition = k.repetition AND c.model_key = m.model_key",
     "ag20_jn2_replica_diversity": f"WITH {_DIVERSITY} SELECT * FROM d",
     "ag21_diversity_distribution": f"WITH {_DIVERSITY.replace('v_repeated', 'v_generations').replace(_R.replace('v_repeated', 'v_generations'), _G)} SELECT model_key, domain, category, replica_group_invalid, n_valid, n_unique_normalized, count(*) AS n_prompts FROM d GROUP BY ALL",
     "jn3_equal_replicas": f"WITH {_G}, {_audited('v_generations')}, v AS (SELECT *, {_norm('generation')} AS generation_normalized FROM a WHERE audit_status_ok AND audit_has_text) SELECT ord, model_key, prompt_id, repetition, generation_normalized, count(*) OVER (PARTITION BY model_key, prompt_id, generation_normalized) AS n_same_normalized FROM v QUALIFY n_same_normalized >= 2",
@@ -242,8 +242,8 @@ ORACLE: dict[str, str] = {
     "sc7_repeated_keys": f"WITH {_R} SELECT model_key, prompt_id, repetition, count(*) AS n FROM v_repeated GROUP BY ALL HAVING count(*) > 1",
     "ge1_model_input": f"WITH {_G} SELECT ord, 'Continue: ' || prompt AS model_input FROM v_generations",
     "ge3_completion": f"WITH {_G}, i AS (SELECT ord, [((ord + 3) * x) % 29 for x in range(1, 13)] AS ids FROM v_generations), p AS (SELECT ord, list_min(list_filter(range(1, 13), lambda x: ids[x] IN (0, 7))) AS spot FROM i) SELECT ord, coalesce(spot - 1, 12)::INT AS n_ids, CASE WHEN spot IS NULL THEN 'max_new_tokens' ELSE 'eos_token' END AS finish_reason FROM p",
-    "jn11_unexpected_ids": f"WITH {_G} SELECT prompt_id, repetition, model_key FROM v_generations WHERE ord % 17 = 2",
-    "jn12_so4_setdiff": f"WITH {_P} SELECT categoria FROM v_prompts EXCEPT ALL SELECT categoria FROM v_prompts WHERE ord % 3 = 0",
+    "jn11_unexpected_ids": f"WITH {_R}, r AS (SELECT ord, model_key || ':' || prompt_id || ':r' || lpad(repetition::VARCHAR, 3, '0') AS record_id, prompt_id, repetition, model_key FROM v_repeated) SELECT * FROM r WHERE model_key <> 'base' OR repetition > 4",
+    "jn12_so4_setdiff": f"WITH {_P} SELECT categoria FROM v_prompts EXCEPT ALL SELECT lower(trim(categoria, ' ')) FROM v_prompts",
     "so1_bind_rows": f"WITH {_P}, {_G} SELECT ord, prompt, NULL AS generation FROM v_prompts UNION ALL SELECT ord, NULL, generation FROM v_generations",
     "so2_distinct": f"WITH {_P} SELECT DISTINCT dominio, categoria, entita FROM v_prompts",
     "so3_union": f"WITH {_P}, {_G} SELECT dominio FROM v_prompts UNION SELECT domain FROM v_generations",
@@ -252,6 +252,10 @@ ORACLE: dict[str, str] = {
     "wn8_row_ids": f"WITH {_P} SELECT ord, row_number() OVER (PARTITION BY dominio ORDER BY ord) AS id_riga FROM v_prompts",
     "wn9_first_per_group": f"WITH {_P}, c AS (SELECT dominio, categoria, count(*) AS n_prompt FROM v_prompts GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY dominio ORDER BY n_prompt, categoria) AS posizione FROM c QUALIFY posizione <= 3",
     "jn1_labels": f"WITH {_QA} " + " UNION ALL ".join(f"SELECT '{c}' AS controllo, '{k}' AS classe, {_ROUNDED(c)} AS n_prompt, {_PCT.format(_ROUNDED(c))} AS percentuale, '{k}' AS etichetta FROM qa" for k, c in _ALL_FLAGS),
-    "ag26_completeness": f"WITH {_G}, c AS (SELECT model_key, count(*) AS observed_records, max(repetition) AS observed_repetitions FROM v_generations WHERE ord % 19 <> 4 GROUP BY model_key) SELECT m.model_key, coalesce(observed_records, 0) AS observed_records, 500 AS expected_records, observed_repetitions, 5 AS expected_repetitions, coalesce(observed_records, 0) = 500 AS complete FROM (SELECT unnest(['base', 'post', 'other']) AS model_key) m LEFT JOIN c ON c.model_key = m.model_key",
+    "ag26_completeness": f"WITH {_G}, c AS (SELECT model_key, count(*) AS observed_records, max(repetition) AS observed_repetitions FROM v_generations GROUP BY model_key) SELECT m.model_key, coalesce(observed_records, 0) AS observed_records, 500 AS expected_records, observed_repetitions, 5 AS expected_repetitions, coalesce(observed_records, 0) = 500 AS complete FROM (SELECT unnest(['base', 'post', 'other']) AS model_key) m LEFT JOIN c ON c.model_key = m.model_key",
+    "ge9_first_sentence": rf"WITH {_G} SELECT ord, coalesce(nullif(regexp_extract(generation, '(?s)^(.*?[.!?])(?:[{_SPACE}]|\z)', 1), ''), generation) AS first_sentence FROM v_generations",
+    "ga7_han_share": rf"WITH {_G}, c AS (SELECT ord, {_count('generation', chr(92) + 'p{Han}')} AS han, {_count('generation', chr(92) + 'p{L}')} AS letters, len(list_filter(regexp_extract_all(generation, '\p{{L}}'), lambda x: regexp_matches(x, '\p{{Han}}'))) AS both_ FROM v_generations) SELECT ord, both_ AS audit_n_han_letters, both_ / nullif(letters, 0) AS audit_han_share_letters FROM c",
+    "pl7_ttr_bars": f"WITH {_TTR}, j AS (SELECT n.dominio, n.categoria, ttr, n_prompt FROM n LEFT JOIN r ON n.dominio = r.dominio AND n.categoria = r.categoria) SELECT dominio, categoria, ttr, row_number() OVER (PARTITION BY dominio ORDER BY ttr NULLS FIRST, categoria) AS posizione FROM j",
+    "pl2_entity_histogram": f"WITH {_ENTITIES}, v AS (SELECT dominio, log10(n_prompt_entita) AS x FROM e), m AS (SELECT min(x) AS lo, max(x) AS hi FROM v) SELECT dominio, least(floor((x - lo) / ((hi - lo) / 40)), 39)::INT AS bin, count(*) AS n FROM v, m WHERE x IS NOT NULL GROUP BY ALL",
     "ge10_few_shot": f"WITH {_G} SELECT ord, 'Continue.' || chr(10) || chr(10) || 'Prompt: A' || chr(10) || 'Continuation: b.' || chr(10) || chr(10) || 'Prompt: ' || prompt || chr(10) || 'Continuation:' AS model_input FROM v_generations",
 }

@@ -142,7 +142,7 @@ _simple("ag16_summary_by_category", lambda s, d: audit.summarize(_flags(s, d), (
 _simple("ag16_summary_by_repetition", lambda s, d: audit.summarize(_flags(s, d), ("model_key", "repetition")), "model_key", "repetition", *_SUMMARY)
 _simple("ag17_finish_counts", lambda s, d: audit.finish_counts(view(s, d, "v_generations")))
 _simple("ag18_inconsistent_prompts", lambda s, d: audit.inconsistent_prompts(view(s, d, "v_repeated")))
-_simple("ag19_jn4_jn5_paired_grid", lambda s, d: audit.paired_grid(view(s, d, "v_repeated").where("ord % 11 <> 3"), ["base", "post", "other"]))
+_simple("ag19_jn4_jn5_paired_grid", lambda s, d: audit.paired_grid(view(s, d, "v_repeated"), ["base", "post", "other"]))
 _simple("ag20_jn2_replica_diversity", lambda s, d: audit.replica_diversity(_flags(s, d, "v_repeated"), "ord"))
 _simple("jn3_equal_replicas", lambda s, d: audit.equal_replicas(_flags(s, d)), "ord", "model_key", "prompt_id", "repetition", "generation_normalized", "n_same_normalized")
 _simple("ag21_diversity_distribution", lambda s, d: audit.diversity_distribution(audit.replica_diversity(_flags(s, d), "ord")))
@@ -202,9 +202,10 @@ _simple("ge9_first_sentence", lambda s, d: view(s, d, "v_generations").select("o
 
 @query("ge2_batches")
 def ge2(spark: SparkSession, d: str) -> DataFrame:
-    """Batches of eight, done again where a record is missing from what an earlier run left."""
-    base = view(spark, d, "v_generations").select((F.col("ord") + 1).alias("record_order"), source.record_id(F.col("model_key"), F.col("prompt_id"), F.col("repetition")).alias("record_id"), F.col("prompt").alias("model_input"))
-    done = base.where("record_order % 50 <> 7").select("record_id")
+    """Batches of eight, done again where a record is missing from what an earlier run left: here, those that went well."""
+    base = view(spark, d, "v_generations").select((F.col("ord") + 1).alias("record_order"), source.record_id(F.col("model_key"), F.col("prompt_id"), F.col("repetition")).alias("record_id"), F.col("prompt").alias("model_input"), "status")
+    done = base.where("status = 'ok'").select("record_id")
+    base = base.drop("status")
     return generation.generate(base, lambda texts, seed: [f"{len(t)}:{seed}" for t in texts], done=done).select("record_order", "batch_index", "batch_seed", "status", "generation")
 
 
@@ -242,12 +243,19 @@ def pr1_nul(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Relational steps that the scripts take by themselves
-def _keys(spark, d, where):
-    return view(spark, d, "v_generations").where(where).select("prompt_id", "repetition", "model_key")
+def _records(spark, d, name):
+    return view(spark, d, name).select("ord", source.record_id(F.col("model_key"), F.col("prompt_id"), F.col("repetition")).alias("record_id"), "prompt_id", "repetition", "model_key", "status")
 
 
-_simple("jn11_unexpected_ids", lambda s, d: _keys(s, d, "true").join(_keys(s, d, "ord % 17 <> 2"), ["prompt_id", "repetition", "model_key"], "left_anti"))
-_simple("jn12_so4_setdiff", lambda s, d: _p(s, d).select("categoria").exceptAll(_p(s, d).where("ord % 3 = 0").select("categoria")))
+def _planned(spark, d):
+    """A plan of four repetitions by one model more than there are."""
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("model_key"), F.lit(r).alias("repetition")) for m in ("base", "other") for r in range(1, 5)))).alias("x")
+    keys = view(spark, d, "v_generations").select("prompt_id").distinct().select("prompt_id", each)
+    return keys.select(source.record_id(F.col("x.model_key"), F.col("prompt_id"), F.col("x.repetition")).alias("record_id"))
+
+
+_simple("jn11_unexpected_ids", lambda s, d: generation.unexpected(_records(s, d, "v_repeated"), _planned(s, d)).select("ord", "record_id", "prompt_id", "repetition", "model_key"))
+_simple("jn12_so4_setdiff", lambda s, d: _p(s, d).select("categoria").exceptAll(_p(s, d).select(F.lower(F.trim("categoria")).alias("categoria"))))
 _simple("so1_bind_rows", lambda s, d: _p(s, d).select("ord", "prompt").unionByName(view(s, d, "v_generations").select("ord", "generation"), allowMissingColumns=True))
 _simple("so2_distinct", lambda s, d: _p(s, d).select("dominio", "categoria", "entita").distinct())
 _simple("so3_union", lambda s, d: _p(s, d).select("dominio").union(view(s, d, "v_generations").select("domain")).distinct())
@@ -256,7 +264,7 @@ _simple("sl2_first_n", lambda s, d: _p(s, d).orderBy("ord").limit(50).select("or
 _simple("wn8_row_ids", lambda s, d: _p(s, d).select("ord", (F.row_number().over(Window.partitionBy("dominio").orderBy("ord"))).alias("id_riga")))
 _simple("wn9_first_per_group", lambda s, d: eda.bars(eda.category_counts(_p(s, d))).where("posizione <= 3"))
 _simple("jn1_labels", lambda s, d: quality.flag_summary(_audit(s, d)).join(F.broadcast(s.createDataFrame([(c, k) for k, cs in quality.FLAGS.items() for c in cs], "controllo string, etichetta string")), "controllo", "left"))
-_simple("ag26_completeness", lambda s, d: audit.completeness(view(s, d, "v_generations").where("ord % 19 <> 4"), s.createDataFrame([("base", 500, 5), ("post", 500, 5), ("other", 500, 5)], "model_key string, expected_records long, expected_repetitions int")))
+_simple("ag26_completeness", lambda s, d: audit.completeness(view(s, d, "v_generations"), s.createDataFrame([("base", 500, 5), ("post", 500, 5), ("other", 500, 5)], "model_key string, expected_records long, expected_repetitions int")))
 _simple("sl7_ne10_pilot_sample", lambda s, d: spans.pilot_sample(spans.ner_input(_prepared(s, d)), 50, "Mrs. Brown"), "text_id", "sample_kind")
 _simple("ge10_few_shot", lambda s, d: view(s, d, "v_generations").select("ord", generation.few_shot(F.col("prompt"), [("A", "b.")], "Continue.").alias("model_input")))
 
