@@ -26,6 +26,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """id and component (its smallest reachable id) for each end of the edges (a, b: long).
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptlens.llm.arrowtext import U, frugal, lowered, mix, runs, signed, spans, trimmed, word_values, words
-from promptlens.llm.graph import components, cut
+from promptlens.llm.graph import components, cut, unused
 
 #: Hubs that a shingle offers; the most nodes on a side of a block; bits of the filter on nodes.
 HUBS, BLOCK, FILTER_BITS = 2, 512, 1 << 26
@@ -146,10 +146,15 @@ def _groups(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("node", "n").distinct().join(best, "node", "left").select("node", "n", F.coalesce("g", "node").alias("g"))
 
 
-def _held(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Prefix rows with their node's group and its size, least and greatest member, and the groups of their token."""
-    about = groups.groupBy("g").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
-    held = rows.join(groups.select("node", "g"), "node").join(about, "g")
+def _about(groups: DataFrame) -> DataFrame:
+    """node, g, and the group's size, least and greatest member. Both sides are written first, so that Spark can split a large group's nodes."""
+    about = cut(groups.groupBy("g").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high")))
+    return cut(groups.join(about, "g").select("node", "g", "members", "low", "high"))
+
+
+def _held(rows: DataFrame, about: DataFrame) -> DataFrame:
+    """Prefix rows with their node's group and what is known about it, and the groups of their token."""
+    held = rows.join(about, "node")
     spread = held.select("token", "g").distinct().groupBy("token").agg(F.count("*").alias("groups"))
     # few rows are left, and each later plan begins with them
     return cut(held.join(spread.where("groups > 1"), "token"))
@@ -167,9 +172,9 @@ def _met(query: DataFrame, held: DataFrame, percent: int, which: Column, spared:
 
 def _opened(rows: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, gb): nodes with the groups they open; groups of two or more open themselves."""
-    about = groups.groupBy("g").agg(F.count("*").alias("members"))
-    own = groups.join(about.where("members > 1").select("g"), "g").select(F.col("node").alias("a"), F.col("g").alias("gb"))
-    held = _held(rows, groups)
+    about = _about(groups)
+    own = about.where("members > 1").select(F.col("node").alias("a"), F.col("g").alias("gb"))
+    held = _held(rows, about)
     common = held.groupBy("node", "n").agg(F.count_if(F.col("groups") > COMMON).alias("common"))
     n = F.col("n")
     full = _least(n, F.lit(1), n * 2 + 2, percent) <= F.col("common")
@@ -182,7 +187,7 @@ def _opened(rows: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -
     counted = some.join(some.groupBy("token").agg(F.count("*").alias("c")), "token")
     place = F.row_number().over(Window.partitionBy("node").orderBy("c", "token"))
     prefix = counted.withColumn("r", place).where((F.col("r") <= n - _rest(n, percent)) & (F.col("c") > 1)).select("token", "node", "n")
-    again = _held(prefix, groups.join(left.select("node"), "node", "left_semi"))
+    again = _held(prefix, _about(groups.join(left.select("node"), "node", "left_semi")))
     smaller = (F.col("members") < F.col("mb")) | ((F.col("members") == F.col("mb")) & (F.col("g") < F.col("gb")))
     return own.union(first).union(_met(again, again, percent, smaller, F.lit(0)))
 
@@ -191,7 +196,7 @@ def _blocks(opened: DataFrame, groups: DataFrame) -> DataFrame:
     """node, block, asks: who stands on which side of which block of a group and the nodes that opened it."""
     asking = opened.groupBy("gb").agg(F.count("*").alias("asking"))
     sizes = groups.groupBy("g").agg(F.count("*").alias("members")).join(asking, F.col("g") == F.col("gb")).drop("gb")
-    cuts = sizes.select("g", F.ceil(F.col("members") / BLOCK).cast("int").alias("nm"), F.ceil(F.col("asking") / BLOCK).cast("int").alias("nq"))
+    cuts = cut(sizes.select("g", F.ceil(F.col("members") / BLOCK).cast("int").alias("nm"), F.ceil(F.col("asking") / BLOCK).cast("int").alias("nq")))
     deal = lambda c, n: F.pmod(F.xxhash64(F.lit(5), c), n).cast("int")
     ask = opened.join(cuts, F.col("gb") == F.col("g")).select(F.col("a").alias("node"), "g", deal("a", F.col("nq")).alias("q"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"), F.lit(True).alias("asks"))
     stand = groups.join(cuts, "g").select("node", "g", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), deal("node", F.col("nm")).alias("m"), F.lit(False).alias("asks"))
@@ -336,8 +341,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     """
     found = jaccard_components(df, id_col, text_col, width, percent).where("n_shingles > 0")
     first = F.struct(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`").alias("id"), "node")
-    stays = found.groupBy("group").agg(F.min(first).alias("s")).select(F.col("s.id").alias("__of"), F.col("s.node").alias("__at"))
-    names, at = [*df.columns, "__node", "__n"], df.columns.index(text_col)
+    node, size, of, row = unused(df, "node", "n", "of", "row")
+    stays = found.groupBy("group").agg(F.min(first).alias("s")).select(F.col("s.id").alias(of), F.col("s.node").alias("at"))
+    names, at = [*df.columns, node, size], df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,9 +351,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
                 s = Sets(data, off, width)
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), pa.array(s.node), pa.array(s.size)], names)
 
-    schema = T.StructType([*df.schema.fields, T.StructField("__node", T.LongType()), T.StructField("__n", T.LongType())])
+    schema = T.StructType([*df.schema.fields, T.StructField(node, T.LongType()), T.StructField(size, T.LongType())])
     marked = df.mapInArrow(trimmed(run), schema)
-    grouped = marked.where("__n > 0").join(stays, marked[f"`{id_col}`"].eqNullSafe(F.col("__of")) & (F.col("__node") == F.col("__at")))
+    grouped = marked.where(F.col(size) > 0).join(stays, marked[f"`{id_col}`"].eqNullSafe(stays[of]) & (marked[node] == stays["at"])).select(*(marked[f"`{c}`"] for c in names))
     # rows that repeat an id and a set: the first by all columns, so that reruns agree
-    one = grouped.groupBy(F.col(f"`{id_col}`"), "__node").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("__row")).select("__row.*")
-    return one.unionByName(marked.where("__n = 0").select(*df.columns))
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    one = grouped.groupBy(F.col(f"`{id_col}`"), node).agg(F.min(whole).alias(row)).select(f"{row}.*")
+    return one.unionByName(marked.where(F.col(size) == 0).select(*(F.col(f"`{c}`") for c in df.columns)))

@@ -11,8 +11,9 @@ counted by (source, cell) and ranked inside a cell; the counts of earlier cells
 start. No source is gathered in one task, however large.
 
 Edge cases: a null text has size 0; a null source is a source of its own, the last; a source without
-words has target 0 and is not taken; rows that repeat an id are documents of their own; an empty
-table gives an empty one.
+words has target 0 and is not taken; rows that repeat an id are documents of their own, and those
+that repeat a size too are ordered by a hash of all their columns, so that reruns agree; other columns
+stay, whatever their names, but for those that the operator adds; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from promptlens.llm.graph import cut, unused
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Cells for sizes that agree in length and leading bits; an octave of sizes has 8 times as many.
-CELLS = 16
+CELLS = 4096
 
 
 def unit(text: Column) -> Column:
@@ -68,19 +71,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
 def systematic_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """All columns, and size, source_size, target, copies, taken (words, copies counted)."""
     added = ("size", "source_size", "target", "copies", "taken")
-    base = df.drop(*added)
+    base = df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in added))
     names = base.columns
+    tie = F.xxhash64(*(F.col(f"`{f.name}`") for f in base.schema.fields if "map" not in f.dataType.simpleString()))
     size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
     name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
     small = base.select(
-        F.col(f"`{source_col}`").alias("source"), size.alias("size"), _cell(size, unit(F.concat(F.lit(seed), name))).alias("cell"), F.col(f"`{id_col}`").alias("id"), F.struct(*(base[f"`{c}`"] for c in names)).alias("row")
+        F.col(f"`{source_col}`").alias("source"), size.alias("size"), _cell(size, unit(F.concat(F.lit(seed), name))).alias("cell"), F.col(f"`{id_col}`").alias("id"), tie.alias("tie"), F.struct(*(base[f"`{c}`"] for c in names)).alias("row")
     )
-    cells = small.groupBy("source", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    # written: the words are counted here once, and once more where documents are ranked
+    cells = cut(small.groupBy("source", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     sizes = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
     goal = targets(sizes, weights, share, cap).withColumn("offset", unit(F.concat(F.lit(seed + ":"), F.coalesce(F.col("source"), F.lit(""))))).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     starts = cells.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     plan = starts.alias("s").join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select(F.col("s.source").alias("source"), "cell", "start", "source_size", "target", "offset", "rate")
-    inside = Window.partitionBy("source", "cell").orderBy("size", "id")
+    inside = Window.partitionBy("source", "cell").orderBy("size", "id", "tie")
     ranked = small.withColumn("at", F.row_number().over(inside)).alias("d")
     p = plan.alias("p")
     upto = F.col("start") + F.col("at")
@@ -91,4 +96,5 @@ def systematic_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "sou
 
 def repeated(df: DataFrame) -> DataFrame:
     """Each row as often as its copies say; sequence(1, 0) would count down, so rows without copies go first."""
-    return df.where(F.col("copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy") if "copies" in df.columns else df
+    (name,) = unused(df, "copy")
+    return df.where(F.col("copies") > 0).withColumn(name, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop(name) if "copies" in df.columns else df
