@@ -7,7 +7,9 @@ nothing. Votes are counted by pattern first, so that the model is fitted on one
 most 3 ** rules patterns.
 
 Edge cases: a null or empty text has no words, all counts are 0 and it fails the base rule; a line
-without a word is no line; with an empty table the model keeps its prior. Other columns stay.
+without a word is no line; with an empty table the model keeps its prior. Texts, words and lines of
+any length are counted whole; rows that repeat are judged, and counted by the model, one by one. Other
+columns stay, but for those named like the output.
 """
 
 from __future__ import annotations
@@ -115,16 +117,17 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(odds, -700, 700)))
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, strength: float = 0.1, rounds: int = 200) -> LabelModel:
+def fit(votes: np.ndarray, counts: np.ndarray, strength: float = 1000.0, rounds: int = 200) -> LabelModel:
     """Expectation-maximisation over vote patterns and how often each occurs.
 
-    It starts from, and is held to by imaginary votes worth `strength` of all documents: 85 per cent
-    good documents, rules that call them good 96 times in 100, and say either of bad ones.
+    It starts from, and is held to by as many imaginary documents as `strength` says, whatever the size
+    of the corpus: 85 per cent good ones, rules that call them good 96 times in 100, and say either of
+    bad ones. The more documents there are, the less they count.
     """
     k = votes.shape[1]
     start, share = np.tile(np.array([[[0.5, 0.5]], [[0.04, 0.96]]]), (1, k, 1)), 0.85
     model, total = LabelModel(share, start), counts.sum()
-    weight = strength * total
+    weight = strength
     cast = np.stack([votes < 0, votes > 0], 2).astype(float)
     for _ in range(rounds if total else 0):
         good = model.posterior(votes)
