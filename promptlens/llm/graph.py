@@ -37,12 +37,23 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Places that the neighbours of a node are dealt to.
+SALTS = 8
+
+
+def _meet(pairs: DataFrame, least: DataFrame) -> DataFrame:
+    """(v, m): every neighbour v of u with m, the least of u's neighbours."""
+    dealt = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(dealt, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """id and component (its smallest reachable id) for each end of the edges (a, b: long).
 
     Alternating large and small stars: in each round every node links its larger neighbours, then its
     smaller ones and itself, to the smallest of them. Neighbours are reduced to a minimum before they
-    are shuffled, so a node of any degree is no hot group. Null ends and loops are left out; no edges
+    are shuffled, and each minimum meets a node's neighbours in SALTS places, so that a node of high
+    degree is dealt. Null ends and loops are left out; no edges
     give no rows.
     """
     links = cut(edges.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct())
@@ -50,10 +61,10 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     for _ in range(most_rounds):
         both = links.select("u", "v").union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _meet(both.where("v > u"), least)
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
+        small = _meet(large, least).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         links = cut(small)
         now = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if state == now:

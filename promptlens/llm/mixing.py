@@ -83,7 +83,11 @@ def systematic_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "sou
     cells = cut(small.groupBy("source", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     sizes = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
     goal = targets(sizes, weights, share, cap).withColumn("offset", unit(F.concat(F.lit(seed + ":"), F.coalesce(F.col("source"), F.lit(""))))).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    starts = cells.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # a cell's start: what is in earlier octave parts of its source, few of them, and earlier cells of its own
+    before = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = cells.groupBy("source", F.floor(F.col("cell") / CELLS).alias("part")).agg(F.sum("n").alias("n")).select(F.col("source").alias("of"), F.col("part").alias("whole"), before(["source"], "part").alias("earlier"))
+    own = cells.withColumn("part", F.floor(F.col("cell") / CELLS)).withColumn("inner", before(["source", "part"], "cell"))
+    starts = own.join(parts, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("whole"))).select("source", "cell", (F.col("inner") + F.col("earlier")).alias("start"))
     plan = starts.alias("s").join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select(F.col("s.source").alias("source"), "cell", "start", "source_size", "target", "offset", "rate")
     inside = Window.partitionBy("source", "cell").orderBy("size", "id", "tie")
     ranked = small.withColumn("at", F.row_number().over(inside)).alias("d")
