@@ -246,8 +246,8 @@ def _hot_bigrams(least: int, hot: np.ndarray):
 def _score(uni: list[float], most_: float, hot: np.ndarray, hot_count: np.ndarray, total: int, distinct: int, unseen: float, least: int):
     """Sums over one partition's tokens for each row of each chunk.
 
-    words_ has the unigram counts of the words that end the partition's bigrams; besides, without a
-    count, the bigrams' discounts, and what hot contexts hold in all partitions: probability and counts.
+    words_ has the unigram counts of the words that end the partition's bigrams, if over 1; besides, without
+    a count, the bigrams' discounts, and what hot contexts hold in all partitions: counts and probability.
     """
 
     def low(c: np.ndarray) -> np.ndarray:
@@ -262,19 +262,23 @@ def _score(uni: list[float], most_: float, hot: np.ndarray, hot_count: np.ndarra
         own = words_.column("c").is_valid().combine_chunks().to_numpy(zero_copy_only=False)
         facts = words_.filter(pa.array(~own)).to_pylist()
         words_ = words_.filter(pa.array(own))
-        factor = np.ones(CUT + 2)
+        factor, hot_held = np.ones(CUT + 2), {x["w"]: x["x"] for x in facts if x["w"] >= 0}
         for x in facts:
-            if x["w"] < 0:
-                factor[-x["w"]] = x["mass"]
-        facts = [x for x in facts if x["w"] >= 0]
-        hot_h = np.array([x["w"] for x in facts], np.int64).view(U)
-        hot_mass, hot_held = (np.array([x[k] for x in facts], float) for k in ("mass", "held"))
+            if -CUT <= x["w"] < 0:
+                factor[-x["w"]] = x["x"]
+        hot_mass = {-x["w"] - CUT - 1: x["x"] for x in facts if x["w"] < -CUT}
+        hot_h = np.array(list(hot_held), np.int64).view(U)
+        hot_mass, hot_held = np.array([hot_mass[h] for h in hot_held], float), np.array(list(hot_held.values()), float)
         at, c, pair = part.counts()
         stored = c >= least
         h, w, c = part.head[at[stored]], part.tail[at[stored]], c[stored]
         word = words_.column("w").to_numpy().view(U)
         order = np.argsort(word)
-        cw = words_.column("c").to_numpy()[order[np.searchsorted(word[order], w)]] if len(w) else np.zeros(0, np.int64)
+        # words that occur once do not come back
+        cw = np.ones(len(w), np.int64)
+        if len(word):
+            spot = order[np.minimum(np.searchsorted(word[order], w), len(word) - 1)]
+            cw = np.where(word[spot] == w, words_.column("c").to_numpy()[spot], 1)
         pw, held = low(cw), factor[np.minimum(c, CUT + 1)] * c
         # contexts
         order = np.argsort(part.head, kind="stable")
@@ -389,16 +393,17 @@ def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     line = stats.agg(*n).select(F.array(*(f"n{r}" for r in range(1, CUT + 2))).alias("n"))
     line = line.select(_discount_column(F.col("n")).alias("d"))
     # counts travel, not probabilities: they are small numbers; the discounts go to each partition once
-    every, none, number = F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))).alias("p"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("double")
-    table = by_part.applyInArrow(_successors(least), "p int, w long").join(uni, "w").select("p", "w", "c", number.alias("mass"), number.alias("held"))
+    every, none = F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))).alias("p"), F.lit(None).cast("long").alias("c")
+    table = by_part.applyInArrow(_successors(least), "p int, w long").join(uni.where("c > 1"), "w").select("p", "w", "c", F.lit(None).cast("double").alias("x"))
     # in place of a word: -r, with the factor of counts r
-    factors = line.select(F.posexplode("d").alias("r", "mass")).select(every, (-F.col("r") - 1).cast("long").alias("w"), none, "mass", number.alias("held"))
-    table = table.unionByName(factors)
+    table = table.unionByName(line.select(F.posexplode("d").alias("r", "x")).select(every, (-F.col("r") - 1).cast("long").alias("w"), none, "x"))
     if often:
         star = F.element_at(F.concat("d", F.array(F.lit(1.0))), F.least("c", F.lit(CUT + 1)).cast("int")) * F.col("c")
         held = by_part.applyInArrow(_hot_bigrams(least, hot.view(U)), "h long, w long, c long").crossJoin(F.broadcast(line)).select("h", "w", star.alias("held")).join(uni.select("w", low.alias("pw")), "w")
         held = held.groupBy("h").agg(F.sum("pw").alias("mass"), F.sum("held").alias("held"))
-        table = table.unionByName(held.select(every, F.col("h").alias("w"), none, "mass", "held"))
+        # two rows for a hot context: h with its counts, and a number below those of the factors with its probability
+        both = F.explode(F.array(F.struct(F.col("h").alias("w"), F.col("held").alias("x")), F.struct((-F.col("h") - CUT - 1).alias("w"), F.col("mass").alias("x")))).alias("f")
+        table = table.unionByName(held.select("h", both).select(every, "f.w", none, "f.x"))
     sums = by_part.cogroup(table.groupBy("p")).applyInArrow(_score(d1, shrink, hot.view(U), hot_count, total, distinct, unseen, least), "b long, sums binary, ids binary")
     out = sums.groupBy("b").applyInArrow(_gather(total, distinct, ends, float(np.log10(p_end))), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
