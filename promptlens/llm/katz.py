@@ -246,8 +246,7 @@ def _hot_bigrams(least: int, hot: np.ndarray):
 def _score(uni: list[float], most_: float, hot: np.ndarray, hot_count: np.ndarray, total: int, distinct: int, unseen: float, least: int):
     """Sums over one partition's tokens for each row of each chunk.
 
-    words_ has the unigram counts of the words that end the partition's bigrams, if over 1; besides, without
-    a count, the bigrams' discounts, and what hot contexts hold in all partitions: counts and probability.
+    words_ has the unigram counts of the words that end the partition's bigrams; besides, without a count, the bigrams' discounts, and what hot contexts hold in all partitions: counts and probability.
     """
 
     def low(c: np.ndarray) -> np.ndarray:
@@ -274,11 +273,7 @@ def _score(uni: list[float], most_: float, hot: np.ndarray, hot_count: np.ndarra
         h, w, c = part.head[at[stored]], part.tail[at[stored]], c[stored]
         word = words_.column("w").to_numpy().view(U)
         order = np.argsort(word)
-        # words that occur once do not come back
-        cw = np.ones(len(w), np.int64)
-        if len(word):
-            spot = order[np.minimum(np.searchsorted(word[order], w), len(word) - 1)]
-            cw = np.where(word[spot] == w, words_.column("c").to_numpy()[spot], 1)
+        cw = words_.column("c").to_numpy()[order[np.searchsorted(word[order], w)]] if len(w) else np.zeros(0, np.int64)
         pw, held = low(cw), factor[np.minimum(c, CUT + 1)] * c
         # contexts
         order = np.argsort(part.head, kind="stable")
@@ -394,7 +389,7 @@ def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     line = line.select(_discount_column(F.col("n")).alias("d"))
     # counts travel, not probabilities: they are small numbers; the discounts go to each partition once
     every, none = F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))).alias("p"), F.lit(None).cast("long").alias("c")
-    table = by_part.applyInArrow(_successors(least), "p int, w long").join(uni.where("c > 1"), "w").select("p", "w", "c", F.lit(None).cast("double").alias("x"))
+    table = by_part.applyInArrow(_successors(least), "p int, w long").join(uni, "w").select("p", "w", "c", F.lit(None).cast("double").alias("x"))
     # in place of a word: -r, with the factor of counts r
     table = table.unionByName(line.select(F.posexplode("d").alias("r", "x")).select(every, (-F.col("r") - 1).cast("long").alias("w"), none, "x"))
     if often:
