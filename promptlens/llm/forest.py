@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptlens.llm.arrowtext import U, mix
-from promptlens.llm.graph import components, cut
+from promptlens.llm.graph import components, cut, forget
 
 #: Vectors of a leaf; trees; margin in deviations of a linked pair's difference; sample of a node; levels of a round.
 LEAF, TREES, MARGIN, SAMPLE, LEVELS = 48, 3, 0.5, 1_024, 6
@@ -138,7 +138,7 @@ def grow(nodes: DataFrame, least: float, leaf: int, trees: int, sample: int, rou
         chosen = F.pmod(F.xxhash64(F.lit(3), "node", "g"), F.lit(1 << 20)) * F.col("n") < F.lit(sample << 20)
         splits = cut(open_.where(chosen).join(vectors, "node").groupBy("g").applyInArrow(_fitted(least, leaf), "g long, splits array<double>"))
         rest = open_.select("node", "g").join(vectors, "node").join(near(splits), "g")
-        full = cut(rest.mapInArrow(_placed(least), "node long, g long, dense boolean"))
+        full = forget(cut(rest.mapInArrow(_placed(least), "node long, g long, dense boolean")))
     else:
         raise RuntimeError("the trees did not settle")
     out = done[0]

@@ -26,6 +26,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(df: DataFrame) -> DataFrame:
+    """The same rows, of a size that Spark takes as unknown.
+
+    Spark estimates a join's size as the product of its sides', and checkpoints keep the estimate: in a
+    loop its digits multiply with each round, until the number alone fills the driver.
+    """
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), spark)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until no column of df has it."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -56,7 +66,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     degree is dealt. Null ends and loops are left out; no edges
     give no rows.
     """
-    links = cut(edges.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct())
+    links = forget(cut(edges.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct()))
     state = None
     for _ in range(most_rounds):
         both = links.select("u", "v").union(links.select("v", "u"))
@@ -65,7 +75,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _meet(large, least).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        links = cut(small)
+        links = forget(cut(small))
         now = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if state == now:
             break
