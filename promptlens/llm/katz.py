@@ -8,12 +8,15 @@ never seen. Bigrams below a count of `least` are counted but not stored, and the
 as well; with least=1, as op6 has it, every bigram is stored.
 
 Distribution. Words travel as 56-bit fingerprints. Each chunk of texts is packed into one blob for
-each partition of the contexts: contexts, their successors, and the rows where each pair stands. The
-blobs are shuffled once and read by all branches of one plan: count statistics, the words that end
-bigrams, and the scoring, which counts its partition's bigrams and meets its words' unigram counts. Contexts of more tokens than a partition's mean
+each partition of the contexts: contexts, their successors, and how often training texts have each pair.
+The rows where the pairs stand go to the chunk's own place. All are shuffled once and read by all branches
+of one plan: count statistics, the words that end bigrams, the facts, and the scoring. A partition counts its bigrams, meets
+its words' unigram counts, and answers each blob with facts, in the blob's order: a context's count and weight, a pair's count.
+The chunk adds up its rows from them, so what travels follows the text, however many partitions there are. Backoff weights
+are worked out and sent only for contexts with a pair that is not stored. Contexts of more tokens than a partition's mean
 are dealt over all partitions by their successors; what they hold in all is added to each. A context is never a row a token: equal
-pairs of a chunk are one entry. Each branch holds one partition at a time; `partitions` grows with
-the corpus. Sums go back to the chunk, not to the driver.
+pairs of a chunk are one entry. Each branch holds one partition or chunk at a time; `partitions` grows with
+the corpus.
 
 Edge cases: a null or empty text is one end token; a null id counts as the empty string for the
 split; rows that repeat an id are scored one by one; an empty table gives an empty result; with no
@@ -40,7 +43,9 @@ BEGIN, END = U(0x0101010101010100 & (2**56 - 1)), U(0x0202020202020200 & (2**56
 CUT = 5
 #: Bytes of text in a chunk; training tokens for each partition of the contexts, from which their number follows.
 CHUNK, TOKENS = 8 << 20, 1_000_000
-_X = "p int, b long, heads binary, sizes binary, tails binary, times binary, rows binary, train binary, ids binary"
+_X = "p long, b long, i int, heads binary, sizes binary, tails binary, seen binary, times binary, rows binary, ids binary"
+_ROWS = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_FACTS = "p long, i int, counts binary, scales binary, alphas binary, seen binary, factors binary"
 
 
 def discounts(n: dict[int, int], k: int = CUT) -> list[float]:
@@ -117,29 +122,46 @@ def _home(head: np.ndarray, partitions: int) -> np.ndarray:
     return ((head >> U(24)) * U(partitions)) >> U(32)
 
 
-def _blobs(head: np.ndarray, tail: np.ndarray, rows: np.ndarray, p: np.ndarray | None, partitions: int) -> Iterator[tuple[int, dict[str, bytes]]]:
-    """Tokens sorted by partition, context and successor, as columns of bytes; without p, a context's own partition."""
-    order = np.lexsort((tail, head) if p is None else (tail, head, p))
-    head, tail, rows = head[order], tail[order], rows[order].astype(np.uint16)
-    p = _home(head, partitions) if p is None else p[order]
-    new_head = np.ones(len(head), bool)
-    new_head[1:] = (head[1:] != head[:-1]) | (p[1:] != p[:-1])
-    new = new_head.copy()
-    new[1:] |= tail[1:] != tail[:-1]
-    at, head_at = np.flatnonzero(new), np.flatnonzero(new_head)
-    times = np.diff(np.append(at, len(head))).astype(np.uint32)
-    pair_of = np.searchsorted(at, head_at)
-    size = np.diff(np.append(pair_of, len(at))).astype(np.uint32)
-    heads, tails = head[head_at], tail[at]
-    cuts = np.searchsorted(p[head_at], np.arange(partitions + 1).astype(U))
-    pair_cut, token_cut = np.append(pair_of, len(at))[cuts], np.append(head_at, len(head))[cuts]
-    for i in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-        h0, h1, p0, p1, t0, t1 = cuts[i], cuts[i + 1], pair_cut[i], pair_cut[i + 1], token_cut[i], token_cut[i + 1]
-        yield i, {"heads": _squeezed(heads[h0:h1]), "sizes": _squeezed(size[h0:h1]), "tails": _seven(tails[p0:p1]), "times": _squeezed(times[p0:p1]), "rows": _squeezed(rows[t0:t1])}
-
-
-def _pack(partitions: int, hot: np.ndarray):
-    """Blobs of a chunk's pairs by the context's partition; its rows' ids go with one of them.
+class _Pairs:
+    """Tokens sorted by partition, context and successor; without p, a context's own partition. train: the token's row is learnt from."""
+
+    def __init__(self, head: np.ndarray, tail: np.ndarray, rows: np.ndarray, train: np.ndarray, p: np.ndarray | None, partitions: int):
+        order = np.lexsort((tail, head) if p is None else (tail, head, p))
+        head, tail, train = head[order], tail[order], train[order]
+        p = _home(head, partitions) if p is None else p[order]
+        new_head = np.ones(len(head), bool)
+        new_head[1:] = (head[1:] != head[:-1]) | (p[1:] != p[:-1])
+        new = new_head.copy()
+        new[1:] |= tail[1:] != tail[:-1]
+        at, head_at = np.flatnonzero(new), np.flatnonzero(new_head)
+        pair_of = np.searchsorted(at, head_at)
+        self.rows, self.heads, self.tails = rows[order].astype(np.uint16), head[head_at], tail[at]
+        self.times = np.diff(np.append(at, len(head))).astype(np.uint32)
+        self.seen = np.add.reduceat(train.astype(np.uint32), at, dtype=np.uint32) if len(at) else np.zeros(0, np.uint32)
+        self.sizes = np.diff(np.append(pair_of, len(at))).astype(np.uint32)
+        self.cuts = np.searchsorted(p[head_at], np.arange(partitions + 1).astype(U))
+        self.pair_cuts = np.append(pair_of, len(at))[self.cuts]
+
+    def blobs(self) -> Iterator[tuple[int, dict[str, bytes]]]:
+        for i in np.flatnonzero(self.cuts[1:] > self.cuts[:-1]).tolist():
+            h, p = slice(self.cuts[i], self.cuts[i + 1]), slice(self.pair_cuts[i], self.pair_cuts[i + 1])
+            yield i, {"heads": _squeezed(self.heads[h]), "sizes": _squeezed(self.sizes[h]), "tails": _seven(self.tails[p]), "seen": _squeezed(self.seen[p])}
+
+
+def _own(sets: list[_Pairs], least: int) -> dict[str, bytes]:
+    """What a chunk keeps: where its pairs stand, and for pairs that may not be stored, where the successor is a context (for an end, where the begin is: it occurs as often)."""
+    heads, tails, seen = (np.concatenate([getattr(x, k) for x in sets]) for k in ("heads", "tails", "seen"))
+    doubt = seen < least
+    order = np.argsort(heads, kind="stable")
+    want = np.where(tails[doubt] == END, BEGIN, tails[doubt])
+    spots = order[np.searchsorted(heads[order], want)].astype(np.uint32)
+    columns = {"heads": np.flatnonzero(heads == BEGIN).astype(np.uint32), "tails": spots, "seen": np.packbits(doubt)}
+    columns |= {k: np.concatenate([getattr(x, k) for x in sets]) for k in ("sizes", "times", "rows")}
+    return {k: _squeezed(v) for k, v in columns.items()}
+
+
+def _pack(partitions: int, hot: np.ndarray, least: int):
+    """Blobs of a chunk's pairs by the context's partition, numbered by i; the rest, with its rows' ids, at a negative p of its own.
 
     The pairs of a hot context are dealt over all partitions by context and successor.
     """
@@ -160,21 +182,20 @@ def _pack(partitions: int, hot: np.ndarray):
                 head[inner] = word
                 b = (part << 32) + serial
                 serial += 1
-                out = {k: [] for k in ("p", "b", "heads", "sizes", "tails", "times", "rows", "train", "ids")}
-                flags = np.packbits(train).tobytes() + len(train).to_bytes(4, "little")
-                texts = json.dumps([ids[lo:hi], n.tolist()]).encode()  # with the first blob; every row has an end, so there is one
+                out = {k.split()[0]: [] for k in _X.split(", ")}
+                learnt = train[rows]
                 spread = np.isin(head, hot) if len(hot) else np.zeros(len(head), bool)
                 cold = ~spread
-                sets = [(head[cold], tail[cold], rows[cold], None)]
+                sets = [_Pairs(head[cold], tail[cold], rows[cold], learnt[cold], None, partitions)]
                 if spread.any():
                     h, t = head[spread], tail[spread]
-                    sets.append((h, t, rows[spread], ((mix(h + mix(t)) >> U(32)) * U(partitions)) >> U(32)))
-                for h, t, r, p in sets:
-                    for i, columns in _blobs(h, t, r, p, partitions):
-                        for name, v in (columns | {"p": i, "b": b, "train": flags, "ids": texts}).items():
-                            out[name].append(v)
-                        texts = None
-                kinds = {"p": pa.int32(), "b": pa.int64()}
+                    sets.append(_Pairs(h, t, rows[spread], learnt[spread], ((mix(h + mix(t)) >> U(32)) * U(partitions)) >> U(32), partitions))
+                blobs = [{"p": i, "b": b, "i": k * partitions + i} | columns for k, x in enumerate(sets) for i, columns in x.blobs()]
+                texts = json.dumps([ids[lo:hi], n.tolist()]).encode()
+                for columns in [{"p": -1 - b, "b": b, "i": -1, "ids": texts} | _own(sets, least), *blobs]:
+                    for name in out:
+                        out[name].append(columns.get(name))
+                kinds = {"p": pa.int64(), "b": pa.int64(), "i": pa.int32()}
                 yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()], list(out))
 
     return run
@@ -184,23 +205,18 @@ class _Part:
     """One partition's blobs, put together."""
 
     def __init__(self, table: pa.Table):
-        self.b = table.column("b").to_pylist()
-        get = lambda k: [x.as_py() for x in table.column(k)]
-        self.flags = [np.unpackbits(np.frombuffer(x[:-4], np.uint8))[: int.from_bytes(x[-4:], "little")].astype(bool) for x in get("train")]
-        self.start = np.concatenate(([0], np.cumsum([len(x) for x in self.flags]))).astype(np.int64)
-        heads = [_spread_out(x, U) for x in get("heads")]
-        sizes = np.concatenate([_spread_out(x, np.uint32) for x in get("sizes")])
-        self.head = np.repeat(np.concatenate(heads), sizes)
-        self.tail = np.concatenate([_from_seven(x) for x in get("tails")])
-        self.times = np.concatenate([_spread_out(x, np.uint32) for x in get("times")])
-        rows = [_spread_out(x, np.uint16) for x in get("rows")]
-        self.row = np.concatenate([r + np.int32(s) for r, s in zip(rows, self.start, strict=False)])
-        self.ids = table.column("ids")
-        self.key = mix(self.head + mix(self.tail))
-        train = np.concatenate(self.flags)[self.row]
-        at = np.concatenate(([0], np.cumsum(self.times, dtype=np.int64)[:-1])) if len(self.times) else np.zeros(0, np.int64)
+        get = lambda k, kind: [_spread_out(x.as_py(), kind) for x in table.column(k)]
+        heads = get("heads", U)
+        sizes = np.concatenate(get("sizes", np.uint32)).astype(np.int64)
+        #: The contexts of each blob, and of each entry which of them it has.
+        self.heads, self.which = np.concatenate(heads), np.repeat(np.arange(len(sizes)), sizes)
+        self.head = self.heads[self.which]
+        self.tail = np.concatenate([_from_seven(x.as_py()) for x in table.column("tails")])
         #: Occurrences of each entry in training rows.
-        self.seen = np.add.reduceat(train.astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+        seen = get("seen", np.uint32)
+        self.seen = np.concatenate(seen).astype(np.int64)
+        self.head_cuts, self.cuts = (np.cumsum([0, *map(len, x)]) for x in (heads, seen))
+        self.key = mix(self.head + mix(self.tail))
 
     def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One entry of each distinct pair, its training count, and the pair of each entry."""
@@ -212,6 +228,25 @@ class _Part:
         pair[order] = np.cumsum(new) - 1
         return order[at], np.add.reduceat(self.seen[order], at) if len(at) else np.zeros(0, np.int64), pair
 
+    def backed_off(self, at: np.ndarray, n: np.ndarray, least: int, hot: np.ndarray) -> np.ndarray:
+        """Which pairs are stored and share a context, not a hot one, with a pair that is not: its backoff weight needs them."""
+        head, stored = self.head[at], n >= least
+        return stored & np.isin(head, head[~stored]) & ~np.isin(head, hot)
+
+
+def _blank(fields: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    return pa.table({k: pa.array([], kinds[kind]) for k, kind in (x.split() for x in fields.split(", "))})
+
+
+def _partitions(fields: str, f):
+    """f for partitions; for what chunks keep, nothing."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return f(table) if table.column("p")[0].as_py() >= 0 else _blank(fields)
+
+    return run
+
 
 def _statistics(table: pa.Table) -> pa.Table:
     _, n, _ = _Part(table).counts()
@@ -219,14 +254,14 @@ def _statistics(table: pa.Table) -> pa.Table:
     return pa.table({"r": pa.array(np.arange(1, CUT + 2)), "n": pa.array(n)})
 
 
-def _successors(least: int):
-    """The words that end a stored bigram of a partition, each once: their unigram counts come back to it."""
+def _successors(least: int, hot: np.ndarray):
+    """The words that end a partition's bigrams whose contexts back off, each once: their unigram counts come back to it."""
 
     def run(table: pa.Table) -> pa.Table:
         part = _Part(table)
         at, n, _ = part.counts()
-        w = np.unique(part.tail[at[n >= least]])
-        return pa.table({"p": pa.array(np.full(len(w), table.column("p")[0].as_py(), np.int32)), "w": pa.array(w.view(np.int64))})
+        w = np.unique(part.tail[at[part.backed_off(at, n, least, hot)]])
+        return pa.table({"p": pa.array(np.full(len(w), table.column("p")[0].as_py(), np.int64)), "w": pa.array(w.view(np.int64))})
 
     return run
 
@@ -243,20 +278,21 @@ def _hot_bigrams(least: int, hot: np.ndarray):
     return run
 
 
-def _score(uni: list[float], most_: float, hot: np.ndarray, hot_count: np.ndarray, total: int, distinct: int, unseen: float, least: int):
-    """Sums over one partition's tokens for each row of each chunk.
+def _low(c: np.ndarray, uni: list[float], most: float, total: int, unseen: float) -> np.ndarray:
+    """Unigram probabilities by count."""
+    d = np.array([0.0, *uni, most])[np.minimum(c, CUT + 1)]
+    return np.where(c > 0, d * c / max(total, 1), unseen)
 
-    words_ has the unigram counts of the words that end the partition's bigrams; besides, without a count, the bigrams' discounts, and what hot contexts hold in all partitions: counts and probability.
-    """
 
-    def low(c: np.ndarray) -> np.ndarray:
-        """Unigram probabilities by count."""
-        d = np.array([0.0, *uni, most_])[np.minimum(c, CUT + 1)]
-        return np.where(c > 0, d * c / max(total, 1), unseen)
+def _facts(uni: list[float], most_: float, hot: np.ndarray, hot_count: np.ndarray, total: int, unseen: float, least: int):
+    """For each blob of a partition: its contexts' counts, factors and backoff weights, and its pairs' counts.
+
+    words_ has the unigram counts of _successors; besides, without a count, the bigrams' discounts, and what hot contexts hold in all partitions: counts and probability.
+    """
 
     def run(table: pa.Table, words_: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in (("b", pa.int64()), ("sums", pa.binary()), ("ids", pa.binary()))})
+        if not table.num_rows or table.column("p")[0].as_py() < 0:
+            return _blank(_FACTS)
         part = _Part(table)
         own = words_.column("c").is_valid().combine_chunks().to_numpy(zero_copy_only=False)
         facts = words_.filter(pa.array(~own)).to_pylist()
@@ -269,30 +305,20 @@ def _score(uni: list[float], most_: float, hot: np.ndarray, hot_count: np.ndarra
         hot_h = np.array(list(hot_held), np.int64).view(U)
         hot_mass, hot_held = np.array([hot_mass[h] for h in hot_held], float), np.array(list(hot_held.values()), float)
         at, c, pair = part.counts()
-        stored = c >= least
-        h, w, c = part.head[at[stored]], part.tail[at[stored]], c[stored]
-        word = words_.column("w").to_numpy().view(U)
-        order = np.argsort(word)
-        cw = words_.column("c").to_numpy()[order[np.searchsorted(word[order], w)]] if len(w) else np.zeros(0, np.int64)
-        pw, held = low(cw), factor[np.minimum(c, CUT + 1)] * c
-        # contexts
-        order = np.argsort(part.head, kind="stable")
-        sorted_ = part.head[order]
-        new = np.ones(len(sorted_), bool)
-        new[1:] = sorted_[1:] != sorted_[:-1]
-        at = np.flatnonzero(new)
-        heads = sorted_[at]
-        of = np.empty(len(order), np.int64)
-        of[order] = np.cumsum(new) - 1
-        count = np.add.reduceat(part.seen[order], at) if len(at) else np.zeros(0, np.int64)
+        heads, of = np.unique(part.head, return_inverse=True)
+        count = np.bincount(of, weights=part.seen, minlength=len(heads)).astype(np.int64)
         known_hot = np.searchsorted(hot, heads) if len(hot) else np.zeros(len(heads), np.int64)
         known_hot[known_hot == len(hot)] = 0
         is_hot = hot[known_hot] == heads if len(hot) else np.zeros(len(heads), bool)
         count[is_hot] = hot_count[known_hot[is_hot]]
-        g = np.searchsorted(heads, h)
-        star = held / np.maximum(count[g] if len(g) else 1, 1)
+        g, stored = of[at], c >= least
+        star = np.where(stored, factor[np.minimum(c, CUT + 1)] * c, 0.0) / np.maximum(count[g], 1)
         kept = np.bincount(g, weights=star, minlength=len(heads)).astype(float)
-        mass = np.bincount(g, weights=pw, minlength=len(heads)).astype(float)
+        back = part.backed_off(at, c, least, hot)
+        word, w = words_.column("w").to_numpy().view(U), part.tail[at[back]]
+        order = np.argsort(word)
+        cw = words_.column("c").to_numpy()[order[np.searchsorted(word[order], w)]] if len(w) else np.zeros(0, np.int64)
+        mass = np.bincount(g[back], weights=_low(cw, uni, most_, total, unseen), minlength=len(heads)).astype(float)
         if len(hot_h):
             order_h = np.argsort(hot_h)
             spot = np.searchsorted(hot_h[order_h], heads)
@@ -305,44 +331,53 @@ def _score(uni: list[float], most_: float, hot: np.ndarray, hot_count: np.ndarra
         scale = np.where(kept > most, most / np.maximum(kept, 1e-300), 1.0)
         alpha = np.log10(np.maximum((1 - kept * scale) / np.maximum(1 - mass, 1e-12), 1e-300))
         alpha[kept == 0] = 0.0
-        gain = np.log10(star * scale[g]) - np.log10(pw) - alpha[g] if len(g) else np.zeros(0)
-        # each entry's gain, if its pair is stored
-        of_pair = np.zeros(len(stored))
-        of_pair[stored] = gain
-        real = heads != BEGIN
-        base = np.where(real, np.log10((count + 0.1) / (total + 0.1 * (distinct + 1))), 0.0)
-        own = np.where(real, np.log10(low(count)), 0.0) + alpha
-        entry = own[of] + (of_pair[pair] if len(pair) else 0.0)
-        n = int(part.start[-1])
-        sums = []
-        for each, kind in ((base[of], np.float64), (entry, np.float64), ((real & (count > 0))[of].astype(np.float64), np.float32)):
-            sums.append(np.bincount(part.row, weights=np.repeat(each, part.times), minlength=n).astype(kind))
-        blob = [b"".join(x[lo:hi].tobytes() for x in sums) for lo, hi in zip(part.start[:-1], part.start[1:], strict=True)]
-        return pa.table({"b": pa.array(part.b, pa.int64()), "sums": pa.array(blob, pa.binary()), "ids": part.ids.cast(pa.binary())})
+        held, context, times = c[pair], np.searchsorted(heads, part.heads), factor.tobytes()
+        out = {k.split()[0]: [] for k in _FACTS.split(", ")}
+        for j, (b, i) in enumerate(zip(table.column("b").to_pylist(), table.column("i").to_pylist(), strict=True)):
+            mine, entries = context[part.head_cuts[j] : part.head_cuts[j + 1]], slice(part.cuts[j], part.cuts[j + 1])
+            off = np.unique(part.which[entries][held[entries] < least])  # contexts that back off in this blob
+            row = (-1 - b, i, _squeezed(count[mine]), _squeezed(scale[mine]), _squeezed(alpha[context[off]]), _squeezed(held[entries]), times)
+            for name, v in zip(out, row, strict=True):
+                out[name].append(v)
+        return pa.table({k: pa.array(v, _blank(_FACTS).schema.field(k).type) for k, v in out.items()})
 
     return run
 
 
-def _gather(total: int, distinct: int, end_count: int, end: float):
-    """Each chunk's rows, from the sums of all partitions."""
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, words_ = next(json.loads(x.as_py()) for x in table.column("ids") if x.is_valid)
-        n = len(ids)
-        sums = [np.zeros(n) for _ in range(3)]
-        for x in table.column("sums"):
-            raw = x.as_py()
-            for total_, part in zip(sums, (np.frombuffer(raw, np.float64, n), np.frombuffer(raw, np.float64, n, 8 * n), np.frombuffer(raw, np.float32, n, 16 * n)), strict=True):
-                total_ += part
-        base = sums[0] + np.log10((end_count + 0.1) / (total + 0.1 * (distinct + 1)))
+def _gather(uni: list[float], most: float, total: int, distinct: int, unseen: float, end_count: int, least: int):
+    """A chunk's rows, from what it kept and the facts of its blobs."""
+
+    def run(own: pa.Table, facts: pa.Table) -> pa.Table:
+        if not own.num_rows or own.column("p")[0].as_py() >= 0:
+            return _blank(_ROWS)
+        get = lambda k, kind: _spread_out(own.column(k)[0].as_py(), kind)
+        facts = facts.sort_by("i")
+        all_ = lambda k, kind: np.concatenate([_spread_out(x.as_py(), kind) for x in facts.column(k)])
+        count, scale, held, factor = all_("counts", np.int64), all_("scales", float), all_("seen", np.int64), np.frombuffer(facts.column("factors")[0].as_py(), float)
+        of = np.repeat(np.arange(len(count)), get("sizes", np.uint32))
+        times, rows = get("times", np.uint32), get("rows", np.uint16)
+        ids, words_ = json.loads(own.column("ids")[0].as_py())
+        stored = held >= least
+        entry = np.zeros(len(held))
+        h, c = of[stored], held[stored]
+        entry[stored] = np.log10(factor[np.minimum(c, CUT + 1)] * c / np.maximum(count[h], 1) * scale[h])
+        alpha, off = np.zeros(len(count)), of[~stored]
+        alpha[np.unique(off)] = all_("alphas", float)
+        spot = np.zeros(len(held), np.int64)
+        spot[np.unpackbits(get("seen", np.uint8), count=len(held)).astype(bool)] = get("tails", np.uint32)
+        entry[~stored] = alpha[off] + np.log10(_low(count[spot[~stored]], uni, most, total, unseen))
+        real = np.ones(len(count), bool)
+        real[get("heads", np.uint32)] = False
+        base = np.where(real, np.log10((count + 0.1) / (total + 0.1 * (distinct + 1))), 0.0)
+        base, score, known = (np.bincount(rows, weights=np.repeat(x, times), minlength=len(ids)) for x in (base[of], entry, (real & (count > 0))[of].astype(float)))
         columns = [
             pa.array(ids, pa.int64()),
             pa.array([not in_training(x) for x in ids]),
             pa.array(np.array(words_, np.int64) + 1),
-            pa.array(np.rint(sums[2]).astype(np.int64) + (end_count > 0)),
+            pa.array(np.rint(known).astype(np.int64) + (end_count > 0)),
             pa.array(np.full(len(ids), total)),
-            pa.array(base),
-            pa.array(sums[1] + end),
+            pa.array(base + np.log10((end_count + 0.1) / (total + 0.1 * (distinct + 1)))),
+            pa.array(score),
         ]
         return pa.table(columns, ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -371,7 +406,6 @@ def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     unseen = 1 - shrink * given / total if total else 1.0
     d1 = [shrink * d for d in d1]
     low = F.element_at(F.array(*map(F.lit, [*d1, shrink])), F.least("c", F.lit(CUT + 1)).cast("int")) * F.col("c") / F.lit(max(total, 1))
-    p_end = (d1[ends - 1] if ends <= CUT else shrink) * ends / total if ends else unseen
 
     # contexts of more tokens than a partition's mean, at most as many as partitions
     most = total * (hot_share or 1 / partitions)
@@ -380,27 +414,27 @@ def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         often[int(BEGIN)] = ends
     hot = np.array(sorted(often), np.int64)
     hot_count = np.array([often[int(h)] for h in hot], np.int64)
-    packed = docs.mapInArrow(trimmed(_pack(partitions, hot.view(U))), _X)
+    packed = docs.mapInArrow(trimmed(_pack(partitions, hot.view(U), least)), _X)
     by_part = packed.groupBy("p")
-    stats = by_part.applyInArrow(_statistics, "r long, n long").groupBy("r").agg(F.sum("n").alias("n"))
+    stats = by_part.applyInArrow(_partitions("r long, n long", _statistics), "r long, n long").groupBy("r").agg(F.sum("n").alias("n"))
     # six numbers, as one row: broadcast to the table's rows
     n = [F.coalesce(F.max(F.when(F.col("r") == r, F.col("n"))), F.lit(0)).alias(f"n{r}") for r in range(1, CUT + 2)]
     line = stats.agg(*n).select(F.array(*(f"n{r}" for r in range(1, CUT + 2))).alias("n"))
     line = line.select(_discount_column(F.col("n")).alias("d"))
     # counts travel, not probabilities: they are small numbers; the discounts go to each partition once
-    every, none = F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))).alias("p"), F.lit(None).cast("long").alias("c")
-    table = by_part.applyInArrow(_successors(least), "p int, w long").join(uni, "w").select("p", "w", "c", F.lit(None).cast("double").alias("x"))
+    every, none = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(partitions - 1).cast("long"))).alias("p"), F.lit(None).cast("long").alias("c")
+    table = by_part.applyInArrow(_partitions("p long, w long", _successors(least, hot.view(U))), "p long, w long").join(uni, "w").select("p", "w", "c", F.lit(None).cast("double").alias("x"))
     # in place of a word: -r, with the factor of counts r
     table = table.unionByName(line.select(F.posexplode("d").alias("r", "x")).select(every, (-F.col("r") - 1).cast("long").alias("w"), none, "x"))
     if often:
         star = F.element_at(F.concat("d", F.array(F.lit(1.0))), F.least("c", F.lit(CUT + 1)).cast("int")) * F.col("c")
-        held = by_part.applyInArrow(_hot_bigrams(least, hot.view(U)), "h long, w long, c long").crossJoin(F.broadcast(line)).select("h", "w", star.alias("held")).join(uni.select("w", low.alias("pw")), "w")
+        held = by_part.applyInArrow(_partitions("h long, w long, c long", _hot_bigrams(least, hot.view(U))), "h long, w long, c long").crossJoin(F.broadcast(line)).select("h", "w", star.alias("held")).join(uni.select("w", low.alias("pw")), "w")
         held = held.groupBy("h").agg(F.sum("pw").alias("mass"), F.sum("held").alias("held"))
         # two rows for a hot context: h with its counts, and a number below those of the factors with its probability
         both = F.explode(F.array(F.struct(F.col("h").alias("w"), F.col("held").alias("x")), F.struct((-F.col("h") - CUT - 1).alias("w"), F.col("mass").alias("x")))).alias("f")
         table = table.unionByName(held.select("h", both).select(every, "f.w", none, "f.x"))
-    sums = by_part.cogroup(table.groupBy("p")).applyInArrow(_score(d1, shrink, hot.view(U), hot_count, total, distinct, unseen, least), "b long, sums binary, ids binary")
-    out = sums.groupBy("b").applyInArrow(_gather(total, distinct, ends, float(np.log10(p_end))), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    facts = by_part.cogroup(table.groupBy("p")).applyInArrow(_facts(d1, shrink, hot.view(U), hot_count, total, unseen, least), _FACTS)
+    out = by_part.cogroup(facts.groupBy("p")).applyInArrow(_gather(d1, shrink, total, distinct, unseen, ends, least), _ROWS)
     return out.withColumnRenamed("id", id_col)
 
 
