@@ -30,21 +30,43 @@ def frugal(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
 
 
+#: What a worker keeps from task to task: the modules whose tasks use it, and a function that drops it and says whether there was any.
+_KEPT: list[tuple[tuple[str, ...], Callable[[], bool]]] = []
+
+
+def keeps(modules: tuple[str, ...], drop: Callable[[], bool]) -> None:
+    """Have what tasks of these modules keep in a worker dropped when a task of another one begins there."""
+    _KEPT.append((modules, drop))
+
+
+def release() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def begin(module: str) -> None:
+    """Drop what only tasks of other modules use."""
+    if any([drop() for modules, drop in _KEPT if module not in modules]):
+        release()
+
+
 def trimmed(run: Callable) -> Callable:
-    """A function over batches that gives freed memory back to the system at its end: workers are kept between tasks."""
+    """A function over batches that gives memory back to the system: at its begin what other operators kept, at its end what it freed. Workers are kept between tasks."""
+    module = run.__module__
 
     @wraps(run)
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def wrapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(module)
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):
-                pass  # another C library
+            release()
 
-    return wrapped
+    return wrapper
 
 
 SPACE = np.zeros(256, dtype=bool)
@@ -108,6 +130,16 @@ def powers(n: int, modulus: int = PRIME) -> tuple[np.ndarray, np.ndarray]:
     return held[0][:n], held[1][:n]
 
 
+def _without_powers() -> bool:
+    any_ = max(len(held[0]) for held in _powers.values()) > 1
+    for held in _powers.values():
+        held[:] = [np.ones(1, U)] * 2
+    return any_
+
+
+keeps(("promptlens.llm.blocks", "promptlens.llm.substring"), _without_powers)
+
+
 class Prefix:
     """Fingerprints of all slices of a sequence of 64-bit values, modulo 2**61 - 1."""
 

@@ -7,6 +7,9 @@ A chunk's distinct words are found by their fingerprints, and compared by their
 worker does not remember are split and normalised together, cut into fragments by one look at all
 their byte pairs, and each distinct fragment goes through the merge rules once. What words became is
 remembered in flat arrays (about 50 bytes a word), of at most CACHE words: the least lately used go.
+Words of more than LONGEST bytes are encoded each time, not remembered. A worker's memory is bounded by
+these and by CHUNK: ids become text inside Arrow, and freed memory goes back with each chunk. What is
+remembered goes when the worker turns to another operator.
 
 Edge cases: a null or empty text has no ids and decodes to the empty string. The strings of special
 tokens in a text become their ids, as in the tokenizers library. Rows that repeat are encoded one by
@@ -24,14 +27,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptlens.llm.arrowtext import U, frugal, spans, spread, trimmed, word_values, words
+from promptlens.llm.arrowtext import U, frugal, keeps, release, spans, spread, trimmed, word_values, words
 
-#: Words that a worker remembers; bytes of texts that are encoded together.
-CACHE, CHUNK = 500_000, 1 << 21
+#: Words that a worker remembers, and the most bytes of each; bytes of texts that are encoded together.
+CACHE, LONGEST, CHUNK = 500_000, 64, 1 << 19
 _PLAIN = np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = True
 # How the vocabulary's file splits and normalises texts.
@@ -57,27 +61,31 @@ class ForcedBoundaryBPE:
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
+        # only what splits texts is kept of the library's tokenizer, not its model; that goes before the rest is built
+        whole = Tokenizer.from_file(path)
+        self.normalizer, self.pre_tokenizer = whole.normalizer, whole.pre_tokenizer
+        del whole
+        release()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, split = spec["model"], (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         if spec["normalizer"] != NORMALIZER or [x["type"] for x in split] != ["Split", "ByteLevel"] or split[0]["pattern"] != {"Regex": PATTERN} or split[1]["add_prefix_space"] or split[1]["use_regex"]:
             raise ValueError("the file splits or normalises texts in another way")
-        # only what splits texts is kept of the library's tokenizer, not its model
-        whole = Tokenizer.from_file(path)
-        self.normalizer, self.pre_tokenizer = whole.normalizer, whole.pre_tokenizer
         self.suffix = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         # the merge rules, once for fragments that end a word and once for the others
         self.ends = BPE(vocab=vocab, merges=merges, end_of_word_suffix=self.suffix, cache_capacity=0) if self.suffix else BPE(vocab=vocab, merges=merges, cache_capacity=0)
         self.inside = BPE(vocab=vocab, merges=merges, cache_capacity=0)
-        self.tokens = {i: t for t, i in vocab.items()}
+        tokens = {i: t for t, i in vocab.items()}
         special = {}
         for t in spec["added_tokens"]:
             if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]:
                 raise ValueError("only added tokens that match as they are can be handled")
             special[t["content"].encode()] = t["id"]
-            self.tokens[t["id"]] = t["content"]
+            tokens[t["id"]] = t["content"]
+        #: The tokens by id.
+        self.table = pa.array([tokens.get(i) for i in range(max(tokens) + 1)], pa.string())
         self.special = special
         self.at_special = re.compile(b"(" + b"|".join(map(re.escape, special)) + b")") if special else None
         self.shown = _alphabet()
@@ -93,7 +101,7 @@ class ForcedBoundaryBPE:
         self.mark = self._split(f"a {_MARK} a")[1]
         # what words became, sorted by fingerprint: place and size of their bytes and ids, when they were last met
         self.key = np.zeros(0, U)
-        self.at = np.zeros((5, 0), np.int64)
+        self.at = np.zeros((5, 0), np.int32)
         self.bytes, self.ids, self.clock = np.zeros(0, np.uint8), np.zeros(0, np.int32), 0
 
     def _split(self, text: str) -> list[str]:
@@ -180,9 +188,9 @@ class ForcedBoundaryBPE:
             keep = np.sort(np.argsort(-self.at[4], kind="stable")[: max(0, CACHE // 2 - len(key))])
             lo, n, ilo, m, seen = self.at[:, keep]
             self.bytes, self.ids = self.bytes[spread(lo, lo + n)], self.ids[spread(ilo, ilo + m)]
-            self.key, self.at = self.key[keep], np.stack([np.cumsum(n) - n, n, np.cumsum(m) - m, m, seen])
+            self.key, self.at = self.key[keep], np.stack([np.cumsum(n) - n, n, np.cumsum(m) - m, m, seen]).astype(np.int32)
         n = np.array(list(map(len, words_)), np.int64)
-        new = np.stack([len(self.bytes) + np.cumsum(n) - n, n, len(self.ids) + np.cumsum(size) - size, size, np.full(len(key), self.clock)])
+        new = np.stack([len(self.bytes) + np.cumsum(n) - n, n, len(self.ids) + np.cumsum(size) - size, size, np.full(len(key), self.clock)]).astype(np.int32)
         order = np.argsort(key, kind="stable")
         spot = np.searchsorted(self.key, key[order])
         self.key, self.at = np.insert(self.key, spot, key[order]), np.insert(self.at, spot, new[:, order], axis=1)
@@ -218,6 +226,7 @@ class ForcedBoundaryBPE:
             _, named = np.unique(key[missing], return_index=True)
             if len(self.key):
                 named = named[self.key[spot[missing[named]]] != key[missing[named]]]
+            named = named[(hi - lo)[missing[named]] <= LONGEST]
             if len(named) <= CACHE // 2:
                 keep = np.zeros(len(missing), bool)
                 keep[named] = True
@@ -232,7 +241,11 @@ class ForcedBoundaryBPE:
 
     def decode(self, ids: list[int]) -> str:
         """As the library without a decoder: the tokens with one space between."""
-        return " ".join(map(self.tokens.__getitem__, ids))
+        return " ".join(self.table.take(pa.array(ids, pa.int32())).to_pylist())
+
+    def texts(self, lists: pa.ListArray) -> pa.Array:
+        """What decode gives for each list of ids, without a Python object for each."""
+        return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, self.table.take(lists.values)), " ")
 
 
 def _equal(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, other: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -269,8 +282,19 @@ def _distinct(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, kind: np.ndarray
 
 @lru_cache(maxsize=2)
 def coder(path: str) -> ForcedBoundaryBPE:
-    """The encoder of a file; a worker keeps it, and what it remembers, from task to task."""
-    return ForcedBoundaryBPE(path)
+    """The encoder of a file; a worker keeps it, and what it remembers, from task to task of this operator."""
+    out = ForcedBoundaryBPE(path)
+    release()  # the file as JSON
+    return out
+
+
+def _without_coders() -> bool:
+    any_ = coder.cache_info().currsize > 0
+    coder.cache_clear()
+    return any_
+
+
+keeps((__name__,), _without_coders)
 
 
 def _beside(df: DataFrame, added: tuple[str, ...], name: str, value) -> tuple[DataFrame, T.StructType]:
@@ -282,6 +306,23 @@ def _beside(df: DataFrame, added: tuple[str, ...], name: str, value) -> tuple[Da
     return out, T.StructType(out.schema.fields[:-1])
 
 
+def _encoded(path: str, names: list[str], decoded: bool):
+    """Batches without their last column, the text, and with its ids and, if asked for, their decoded text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = coder(path)
+        for batch in batches:
+            for lo, hi, data, off in spans(batch.column(batch.num_columns - 1), CHUNK):
+                values, ends = bpe.chunk(data, off)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+                added = [lists, bpe.texts(lists)] if decoded else [lists]
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), *added], names)
+                del values, ends, lists, added
+                release()
+
+    return run
+
+
 def encode(df: DataFrame, path: str, text_col: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """All columns, the text's ids (array of int) and, if decoded names a column, their decoded text."""
     frugal(df.sparkSession)
@@ -290,20 +331,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids: str = "ids", d
     if decoded:
         schema = schema.add(decoded, "string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(path)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            for lo, hi, data, off in spans(texts, CHUNK):
-                values, ends = bpe.chunk(data, off)
-                columns = [c.slice(lo, hi - lo) for c in batch.columns[:-1]]
-                columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values)))
-                if decoded:
-                    flat, ends = values.tolist(), ends.tolist()
-                    columns.append(pa.array([bpe.decode(flat[ends[i] : ends[i + 1]]) for i in range(hi - lo)], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
-
-    return source.mapInArrow(trimmed(run), schema)
+    return source.mapInArrow(trimmed(_encoded(path, schema.names, decoded is not None)), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
