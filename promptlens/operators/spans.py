@@ -1,19 +1,20 @@
 """Entity spans: finding dictionary terms, merging them with recognised entities, splicing, review.
 
 Spans count code points from 0, their end excluded. Finding and merging walk a text from left to
-right with state, so they run as Arrow functions over whole batches; all else is column expressions.
+right with state, so they run in Python, a piece of an Arrow batch at a time; all else is column expressions.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from promptlens.functions import rows
 from promptlens.functions import text as T
 from promptlens.operators.anonymize import PEOPLE, residual_name, review_columns, terms_by_domain
 
@@ -21,6 +22,9 @@ _STRUCT = "struct<start_char:int,end_char:int,source:string>"
 _ENTITY = "struct<start_char:int,end_char:int,entity:string>"
 ENTITY_JSON = f"array<{_ENTITY}>"
 RESULT = f"struct<spans:array<{_STRUCT}>,decisions:array<struct<start_char:int,end_char:int,entity:string,decision:string>>,conflict:boolean>"
+_SPANS = pa.list_(pa.struct({"start_char": pa.int32(), "end_char": pa.int32(), "source": pa.string()}))
+_DECISIONS = pa.list_(pa.struct({"start_char": pa.int32(), "end_char": pa.int32(), "entity": pa.string(), "decision": pa.string()}))
+_MERGED = pa.struct({"spans": _SPANS, "decisions": _DECISIONS, "conflict": pa.bool_()})
 
 
 def clean_person_span(text: str, start: int, end: int) -> tuple[int, int] | None:
@@ -82,16 +86,13 @@ def merge(text: str, dictionary: list[dict], entities: list[dict]) -> dict:
     return {"spans": sorted(spans, key=lambda s: s["start_char"]), "decisions": decisions, "conflict": conflict}
 
 
-def merge_spans(text: Column, dictionary: Column, entities: Column) -> Column:
-    """merge() for each row, as a struct of spans, decisions and conflict."""
+def _merged(text: str | None, dictionary: list[dict] | None, entities: list[dict] | None) -> dict:
+    return {"spans": [], "decisions": [], "conflict": False} if text is None else merge(text, dictionary or [], entities or [])
 
-    @F.pandas_udf(RESULT)
-    def run(texts: pd.Series, found: pd.Series, named: pd.Series) -> pd.DataFrame:
-        rows = [merge(t, [dict(x) for x in d], [dict(x) for x in e]) if t is not None else {"spans": [], "decisions": [], "conflict": False} for t, d, e in zip(texts, found, named, strict=True)]
-        return pd.DataFrame(rows, columns=["spans", "decisions", "conflict"])
 
-    none = F.array().cast(f"array<{_STRUCT}>")
-    return run(text, F.coalesce(dictionary, none), F.coalesce(entities, F.array().cast(ENTITY_JSON)))
+def merge_spans(text: Column, dictionary: Column, entities: Column) -> Column:
+    """merge() for each row, as a struct of spans, decisions and conflict."""
+    return rows.mapped(lambda: _merged, _MERGED, text, dictionary, entities, returns=RESULT)
 
 
 def splice(text: Column, spans: Column, placeholder: str = "Person") -> Column:
@@ -104,17 +105,34 @@ def splice(text: Column, spans: Column, placeholder: str = "Person") -> Column:
     return F.when(text.isNotNull() & spans.isNotNull(), F.concat(end["out"], F.substring(text, end["at"] + 1, F.length(text)))).otherwise(text)
 
 
-def dictionary_spans(df: DataFrame, dictionary: DataFrame, text: str = "text_full", out: str = "dictionary_spans") -> DataFrame:
-    """All places of the terms of a row's domain, then those of its subject; domain and subject must be there."""
+def _finder(dictionary: DataFrame) -> Callable[[], Callable[[str | None, str, str], list[dict]]]:
+    """Makes a function, once for a task, of a text, its domain and subject: the places of the domain's terms, then of the subject's."""
     base, own = terms_by_domain(dictionary)
 
-    @F.pandas_udf(f"array<{_STRUCT}>")
-    def run(texts: pd.Series, domains: pd.Series, subjects: pd.Series) -> pd.Series:
+    def make():
         by_domain = {d: compiled(a) for d, a in base.items()}
         by_subject = {(d, s): compiled(a) for d, each in own.items() for s, a in each.items()}
-        return pd.Series([locate(t, by_domain.get(d)) + locate(t, by_subject.get((d, s))) for t, d, s in zip(texts, domains, subjects, strict=True)])
+        return lambda t, d, s: locate(t, by_domain.get(d)) + locate(t, by_subject.get((d, s)))
 
-    return df.withColumn(out, run(F.col(text), F.col("domain"), F.col("subject")))
+    return make
+
+
+def dictionary_spans(df: DataFrame, dictionary: DataFrame, text: str = "text_full", out: str = "dictionary_spans") -> DataFrame:
+    """All places of the terms of a row's domain, then those of its subject; domain and subject must be there."""
+    rows.small_batches(df.sparkSession)
+    return df.withColumn(out, rows.mapped(_finder(dictionary), _SPANS, F.col(text), F.col("domain"), F.col("subject"), returns=f"array<{_STRUCT}>"))
+
+
+def found_and_merged(df: DataFrame, dictionary: DataFrame, text: str, entities: str, out: str) -> DataFrame:
+    """dictionary_spans() and merge_spans() in one: a text goes to one worker, once."""
+    rows.small_batches(df.sparkSession)
+    finder = _finder(dictionary)
+
+    def make():
+        find = finder()
+        return lambda t, d, s, e: _merged(t, find(t, d, s), e)
+
+    return df.withColumn(out, rows.mapped(make, _MERGED, F.col(text), F.col("domain"), F.col("subject"), F.col(entities), returns=RESULT))
 
 
 def ner_input(df: DataFrame) -> DataFrame:
@@ -129,17 +147,19 @@ def recognize(texts: DataFrame, recognizer, batch: int = 64) -> DataFrame:
     Only PERSON is kept, without outer white space and possessives.
     """
 
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for lo in range(0, len(pdf), batch):
-                part = pdf["text_full"].iloc[lo : lo + batch].tolist()
+    rows.small_batches(texts.sparkSession)
+
+    def run(batches):
+        for some in batches:
+            for lo in range(0, some.num_rows, batch):
+                ids, part = (c.slice(lo, batch) for c in some.columns)
+                part, out = part.to_pylist(), []
                 for text, found in zip(part, recognizer(part), strict=True):
                     spans = [clean_person_span(text, a, b) for a, b, label in found if label == "PERSON"]
                     out.append(json.dumps([{"start_char": a, "end_char": b, "entity": text[a:b]} for a, b in filter(None, spans)], ensure_ascii=False))
-            yield pd.DataFrame({"text_id": pdf["text_id"], "entities_json": out})
+                yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.string())], ["text_id", "entities_json"])
 
-    return texts.select("text_id", "text_full").mapInPandas(run, "text_id string, entities_json string")
+    return texts.select("text_id", "text_full").mapInArrow(run, "text_id string, entities_json string")
 
 
 def combine(masked: DataFrame, dictionary: DataFrame, entities: DataFrame, version: str = "dictionary_ner_v1") -> DataFrame:
@@ -154,8 +174,7 @@ def combine(masked: DataFrame, dictionary: DataFrame, entities: DataFrame, versi
     df = df.withColumn("ner_text_id", F.when(scope, F.sha2("text_full", 256)))
     named = entities.select(F.col("text_id").alias("__t"), F.from_json("entities_json", ENTITY_JSON).alias("__e"))
     df = df.join(named, F.col("ner_text_id") == F.col("__t"), "left").drop("__t")
-    df = dictionary_spans(df.withColumn("__text", F.when(scope, F.col("text_full"))), dictionary, "__text", "__d")
-    df = df.withColumn("__m", merge_spans(F.col("__text"), F.col("__d"), F.col("__e")))
+    df = found_and_merged(df.withColumn("__text", F.when(scope, F.col("text_full"))), dictionary, "__text", "__e", "__m")
     df = df.withColumns({"ner_spans": F.when(scope, F.col("__m.spans")), "ner_decisions": F.when(scope, F.col("__m.decisions"))})
     only = F.filter("ner_spans", lambda s: s["source"] != "ner")
     replay = splice(F.col("text_full"), only)
@@ -177,7 +196,7 @@ def combine(masked: DataFrame, dictionary: DataFrame, entities: DataFrame, versi
             "ner_crosses_prompt_boundary": F.when(scope, F.exists("ner_spans", lambda s: (s["start_char"] < length) & (s["end_char"] > length))).otherwise(False),
         }
     )
-    return update_review(df.drop("__e", "__d", "__m", "__p", "__text"), dictionary)
+    return update_review(df.drop("__e", "__m", "__p", "__text"), dictionary)
 
 
 def update_review(df: DataFrame, dictionary: DataFrame) -> DataFrame:
