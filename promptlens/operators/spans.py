@@ -217,13 +217,18 @@ def combined_summary(df: DataFrame) -> DataFrame:
 
 
 def span_log(df: DataFrame, key: tuple[str, ...] = ("model_key", "prompt_id", "repetition")) -> DataFrame:
-    """One row a span with what stood there."""
-    out = df.where("ner_applied").select(*key, "text_full", F.explode("ner_spans").alias("s"))
+    """One row a span with what stood there.
+
+    The outer form, whose empty rows are dropped after it: Spark lets no filter on the spans slip below their
+    step, which would then run twice.
+    """
+    out = df.where("ner_applied").select(*key, "text_full", F.explode_outer("ner_spans").alias("s")).where("s IS NOT NULL")
     return out.select(*key, "s.*", F.substring("text_full", F.col("s.start_char") + 1, F.col("s.end_char") - F.col("s.start_char")).alias("entity"))
 
 
 def decision_log(df: DataFrame, key: tuple[str, ...] = ("model_key", "prompt_id", "repetition")) -> DataFrame:
-    return df.where("ner_applied").select(*key, F.inline("ner_decisions"))
+    """One row a recognised entity and what became of it; the outer form as in span_log()."""
+    return df.where("ner_applied").select(*key, F.inline_outer("ner_decisions")).where("decision IS NOT NULL")
 
 
 def person_preview(text: str, entities: list[dict]) -> str:

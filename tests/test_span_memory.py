@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from promptlens.functions import rows
 from promptlens.operators import anonymize, spans
-from tests.test_masking import CONFIG, masked, prepared
+from tests.test_masking import CASES, CONFIG, masked, prepared
 
 WORDS = ["Alice White", "Bob", "Jews", "漢字", "plain", "words", "\U0001f600"]
 
@@ -79,3 +79,15 @@ def test_one_step_is_two_steps(spark, monkeypatch):
     assert one == two and len(one) == len(cases)
     for r, (t, _, _, e) in zip(one, cases, strict=True):
         assert len(r.m.decisions) == len(e or []) and (t is not None or r.m.asDict(recursive=True) == {"spans": [], "decisions": [], "conflict": False})
+
+
+def test_logs_find_and_merge_once(spark):
+    cases = [*CASES, ("race", "Nobody", "No name", " here.", "ok", False)]
+    df = prepared(spark, cases)
+    found = lambda texts: [[(t.find("Hero"), t.find("Hero") + 4, "PERSON")] if "Hero" in t else [] for t in texts]
+    out = spans.combine(masked(spark, cases), anonymize.build_dictionary(df, CONFIG), spans.recognize(spans.ner_input(df), found))
+    rows_of = out.where("ner_applied").select("ner_spans", "ner_decisions").collect()
+    assert any(not r.ner_decisions for r in rows_of) and any(not r.ner_spans for r in rows_of)
+    for log, column in ((spans.span_log(out), "ner_spans"), (spans.decision_log(out), "ner_decisions")):
+        assert log._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+        assert log.count() == sum(len(r[column]) for r in rows_of) and log.where("start_char IS NULL").count() == 0
